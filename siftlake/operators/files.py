@@ -10,7 +10,7 @@ from siftlake.vocab import literal_map
 
 # Source extensions, directories that are not scanned, and languages by extension.
 SOURCE_EXTENSIONS = ("js", "ts", "jsx", "tsx", "py", "mjs", "cjs")
-IGNORED_DIRECTORIES = ("node_modules", ".git", "dist", "out", "build", "__pycache__", ".venv", "venv", ".codeguard")
+IGNORED_DIRECTORIES = ("node_modules", ".git", "dist", "out", "build", "__pycache__", ".venv", "venv")
 LANGUAGES = {
     "js": "javascript", "jsx": "javascriptreact", "ts": "typescript", "tsx": "typescriptreact",
     "mjs": "javascript", "cjs": "javascript", "py": "python", "pyw": "python", "java": "java",

@@ -1,6 +1,6 @@
 """Named queries over the given tables.  Importing this package fills the registry."""
 
-from siftlake.plans import scans  # noqa: F401
+from siftlake.plans import packages, scans  # noqa: F401
 from siftlake.plans.registry import PLANS
 
 __all__ = ["PLANS"]

@@ -61,7 +61,7 @@ AI_CONFIG_RULES = check((
     Rule("AICFG_03", "high", _SUP, r"(?i)(?:^|\n)\s*system\s*:\s*.{10,}", "Embedded system prompt", ("system",)),
     Rule("AICFG_04", "critical", _INJ, r"(?i)do\s+not\s+(mention|reveal|show|log|report|display|disclose|output)\s+(the|any|this)", "Instructions to hide information", ("not",)),
     Rule("AICFG_05", "critical", _SUP, r"(?i)suppress\s+(warning|error|security|diagnostic|alert|notification|message)", "Attempts to suppress security warnings", ("suppress",)),
-    Rule("AICFG_06", "critical", _SUP, r"(?i)disable\s+(codeguard|security|scanning|linting|eslint|snyk|sonar)", "Attempts to disable security tooling", ("disable",)),
+    Rule("AICFG_06", "critical", _SUP, r"(?i)disable\s+(security|scanning|linting|eslint|snyk|sonar)", "Attempts to disable security tooling", ("disable",)),
     Rule("AICFG_07", "high", _SUP, r"(?i)override\s+(security|safety|policy|restriction|guard|protection)", "Attempts to override security policies", ("override",)),
     Rule("AICFG_08", "critical", _SUP, r"(?i)never\s+(warn|alert|flag|report|mention|tell)\s+(the\s+)?(user|developer|human)", "Instructions to withhold information", ("never",)),
     Rule("AICFG_09", "high", _INJ, r"(?i)(?:always|must)\s+include\s+(?:this|the\s+following)\s+(?:script|code|import|package)", "Forced code inclusion", ("include",)),
