@@ -92,3 +92,10 @@ def planted_turns(spark: SparkSession, sf_dir: str, family: str) -> DataFrame:
 def planted_turns_sql(family: str) -> str:
     return ("SELECT conv_id, turn, role, text || chr(10) || "
             f"{sql_pick(EXAMPLES[family], 'conv_id * 7 + turn')} AS text FROM conversations")
+
+
+def fill(template: str, values: dict[str, str]) -> str:
+    """SQL text that puts expressions into a quoted template; reads the same in both dialects."""
+    for mark, expression in values.items():
+        template = f"replace({template}, '{mark}', {expression})"
+    return template
