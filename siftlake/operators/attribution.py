@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from siftlake.operators.scan import quote
+from siftlake.operators.scan import quote, strip
 from siftlake.operators.sequences import consecutive, running_total, time_bucket
 
 # Thresholds of the change signals.
@@ -69,7 +69,7 @@ def typing_velocity(changes: DataFrame) -> DataFrame:
 def change_signals(changes: DataFrame) -> DataFrame:
     """Signals, score and verdict of each change; ``high_speed`` counts when present."""
     lines = "split(text, '\\n')"
-    imports = f"size(filter({lines}, l -> trim(l) <> '' AND trim(l) RLIKE {quote(IMPORT_LINE)}))"
+    imports = f"size(filter({lines}, l -> {strip('l')} <> '' AND {strip('l')} RLIKE {quote(IMPORT_LINE)}))"
     fast = "high_speed" if "high_speed" in changes.columns else "false"
     conditions = {
         "burst-insertion": f"size({lines}) >= {BURST_LINES}",

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftlake.functions.versions import cleaned, without_operators
-from siftlake.operators.scan import quote, to_lines
+from siftlake.operators.scan import quote, strip, to_lines
 
 # Modules of the Python standard library that are not packages.
 PYTHON_STDLIB = (
@@ -136,8 +136,8 @@ def read_package_lock(corpus: DataFrame, text: str = "text") -> DataFrame:
 
 def looks_like_requirements(text: str) -> str:
     """SQL condition: more than half of the lines that say something pin a version."""
-    lines = f"filter(split({text}, '\\n'), l -> trim(l) <> '' AND NOT trim(l) LIKE '#%')"
-    pinned = f"size(filter({lines}, l -> trim(l) RLIKE {quote(PINNED)}))"
+    lines = f"filter(split({text}, '\\n'), l -> {strip('l')} <> '' AND NOT {strip('l')} LIKE '#%')"
+    pinned = f"size(filter({lines}, l -> {strip('l')} RLIKE {quote(PINNED)}))"
     return f"size({lines}) > 0 AND {pinned} / size({lines}) > 0.5"
 
 
@@ -145,7 +145,7 @@ def read_requirements(corpus: DataFrame, text: str = "text", only_pinned_files:
     """Requirements of Python projects, one row per line."""
     keys = _identifying(corpus, text)
     source = corpus.filter(looks_like_requirements(f"`{text}`")) if only_pinned_files else corpus
-    lines = to_lines(source, text=text).withColumn("line", F.trim("line"))
+    lines = to_lines(source, text=text).withColumn("line", F.expr(strip("line")))
     kept = lines.filter(f"line <> '' AND NOT line LIKE '#%' AND NOT line LIKE '-%' AND line RLIKE {quote(REQUIREMENT)}")
     version = f"regexp_extract(line, {quote(REQUIREMENT)}, 3)"
     return kept.selectExpr(
@@ -160,7 +160,7 @@ def read_cargo_toml(corpus: DataFrame, text: str = "text") -> DataFrame:
     section = f"regexp_extract(`{text}`, {quote(CARGO_SECTION)}, 1)"
     lines = corpus.filter(f"contains(lower(`{text}`), '[dependencies]')").selectExpr(
         *keys, f"explode(split({section}, '\\n')) AS line"
-    ).withColumn("line", F.trim("line"))
+    ).withColumn("line", F.expr(strip("line")))
     simple, table = quote(CARGO_SIMPLE), quote(CARGO_TABLE)
     shape = f"CASE WHEN line RLIKE {simple} THEN {simple} ELSE {table} END"
     return lines.filter(f"line RLIKE {simple} OR line RLIKE {table}").selectExpr(
@@ -174,10 +174,10 @@ def read_go_mod(corpus: DataFrame, text: str = "text") -> DataFrame:
     keys = _identifying(corpus, text)
     blocks = f"flatten(transform(regexp_extract_all(`{text}`, {quote(GO_BLOCK)}, 1), b -> split(b, '\\n')))"
     singles = (f"filter(split(regexp_replace(`{text}`, {quote(GO_BLOCK)}, ''), '\\n'), "
-               "l -> startswith(trim(l), 'require '))")
+               f"l -> startswith({strip('l')}, 'require '))")
     lines = corpus.filter(f"contains(`{text}`, 'require')").selectExpr(
         *keys, f"explode(concat({blocks}, {singles})) AS line"
-    ).withColumn("line", F.trim("line"))
+    ).withColumn("line", F.expr(strip("line")))
     shape = quote(GO_MODULE)
     return lines.filter(f"line RLIKE {shape}").selectExpr(
         *keys, f"regexp_extract(line, {shape}, 1) AS name", f"regexp_extract(line, {shape}, 2) AS version",
@@ -203,7 +203,7 @@ INSTALL_COMMANDS = (
 def parse_install_commands(commands: DataFrame, column: str = "command") -> DataFrame:
     """One row per package named on an install command line."""
     keys = [c for c in commands.columns if c != column]
-    trimmed = f"trim(`{column}`)"
+    trimmed = strip(f"`{column}`")
 
     def strings(values: Sequence[str]) -> str:
         return "array(" + ", ".join(quote(v) for v in values) + ")" if values else "CAST(array() AS ARRAY<STRING>)"

@@ -31,6 +31,11 @@ def quote(value: str | None) -> str:
     return f"'{escaped}'"
 
 
+def strip(text: str) -> str:
+    """SQL text without surrounding white space; Spark's own trim only knows the space."""
+    return f"btrim({text}, ' \\t\\r\\n')"
+
+
 def _or(conditions: Iterable[str]) -> str:
     joined = " OR ".join(conditions)
     return f"({joined})" if joined else "false"

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftlake.operators.scan import _guard, _hits, may_match, quote, to_lines
+from siftlake.operators.scan import _guard, _hits, may_match, quote, strip, to_lines
 from siftlake.rules.flow import (
     ARROW_PARAMS, ASSIGNMENT, DESTRUCTURE, ES_IMPORT, EXPORTED, FUNCTION_PARAMS, PYTHON_IMPORT, REQUIRE_IMPORT, SINKS, SOURCES,
 )
@@ -28,7 +28,7 @@ def _pieces(text: str) -> str:
 
 def _code_lines(corpus: DataFrame, family) -> DataFrame:
     lines = to_lines(corpus.select("file_id", "lang", "text"))
-    return lines.filter(_guard("line", family)).withColumn("trimmed", F.trim("line"))
+    return lines.filter(_guard("line", family)).withColumn("trimmed", F.expr(strip("line")))
 
 
 def sources(corpus: DataFrame) -> DataFrame:
@@ -122,7 +122,7 @@ def _resolved(path: str) -> str:
 def import_edges(corpus: DataFrame) -> DataFrame:
     """Imported names by file and the file they come from, resolved against the whole project."""
     lines = to_lines(corpus.filter("text RLIKE 'import|require'").select("file_id", "project", "path", "text"))
-    t = lines.filter(_guard("line", SOURCES)).withColumn("trimmed", F.trim("line"))
+    t = lines.filter(_guard("line", SOURCES)).withColumn("trimmed", F.expr(strip("line")))
     es, cjs, py = quote(ES_IMPORT), quote(REQUIRE_IMPORT), quote(PYTHON_IMPORT)
 
     def names(pattern: str, split_on: str) -> str:

@@ -10,7 +10,8 @@ from siftlake.plans.derived import (
     AS_OF, EVENT_PUBLICATIONS, PUBLICATIONS, REGISTRY, REPORTS, SIGNALS, SUSPECTS, TELEMETRY,
 )
 from siftlake.plans.registry import plan
-from siftlake.plans.tables import sql_text, table
+from siftlake.operators.scan import quote
+from siftlake.plans.tables import fill, sql_text, table
 
 # --- publication histories -------------------------------------------------------------------
 
@@ -100,7 +101,7 @@ def ownership_change(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history.ownership_change(PUBLICATIONS.frame(spark, sf_dir), _maintained(spark, sf_dir))
 
 
-_HISTORY_END = "TIMESTAMP '2001-12-31 00:00:00'"
+_HISTORY_END = "TIMESTAMP '2001-03-01 00:00:00'"
 
 
 @plan(
@@ -299,9 +300,6 @@ _META_FILL = {"@F@": "CAST(o_orderkey % 23 AS STRING)", "@C@": "CAST(o_orderkey
     covers="G2 J13",
 )
 def scan_trends(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from siftlake.operators.scan import quote
-    from siftlake.plans.tables import fill
-
     scans = table(spark, sf_dir, "orders").selectExpr(
         "o_custkey % 100 AS project", "o_orderdate AS started_at", "o_orderkey AS scan_id", f"{fill(quote(_META), _META_FILL)} AS metadata")
     return telemetry.scan_trends(scans, _SCANS_END)

@@ -88,7 +88,7 @@ PUBLICATIONS = Derived("lineitem", (
 # Events as publications, for histories with many rows a day.
 EVENT_PUBLICATIONS = Derived("events", (
     "'npm' AS ecosystem", "concat('pkg-', CAST(user_id % 40 AS STRING)) AS package",
-    "concat(CAST(event_id % 3 AS STRING), '.', CAST(CAST(value AS INT) % 20 AS STRING), '.0') AS version",
+    "concat(CAST(event_id % 3 AS STRING), '.', CAST(CAST(floor(value) AS BIGINT) % 20 AS STRING), '.0') AS version",
     "ts AS published_at", "event_type AS publisher", "event_id AS ordinal",
 ))
 _EVENT_KIND = ("CASE event_type WHEN 'view' THEN 'install_checked' WHEN 'click' THEN 'hallucination_detected' WHEN 'error' THEN 'vulnerability_found' "
@@ -100,7 +100,7 @@ TELEMETRY = Derived("events", (
     "CASE event_id % 9 WHEN 0 THEN 'copilot' WHEN 1 THEN 'chatgpt' WHEN 2 THEN 'claude' WHEN 3 THEN 'cody' WHEN 4 THEN 'tabnine' WHEN 5 THEN 'manual' WHEN 6 THEN 'homegrown' ELSE NULL END AS ai_agent",
     f"{_ecosystem('event_id')} AS ecosystem", f"{_package('(event_id % 97)')} AS package_name",
     "CASE event_id % 5 WHEN 0 THEN 'blocked' WHEN 1 THEN 'allowed' WHEN 2 THEN 'patched' ELSE 'none' END AS action_taken",
-    "CASE CAST(value AS INT) % 5 WHEN 0 THEN 'critical' WHEN 1 THEN 'high' WHEN 2 THEN 'medium' WHEN 3 THEN 'low' ELSE NULL END AS severity",
+    "CASE CAST(floor(value) AS BIGINT) % 5 WHEN 0 THEN 'critical' WHEN 1 THEN 'high' WHEN 2 THEN 'medium' WHEN 3 THEN 'low' ELSE NULL END AS severity",
     "concat('client-', CAST(user_id AS STRING)) AS client_id", "ts AS created_at", "CAST(event_id % 101 AS INT) AS trust_score",
 ))
 # Events as crowd reports about 500 packages.
@@ -108,7 +108,7 @@ REPORTS = Derived("events", (
     "event_id AS report_id", f"{_ecosystem('(event_id % 500)')} AS ecosystem", "concat('ghost-', CAST(event_id % 500 AS STRING)) AS package_name",
     "CASE event_type WHEN 'view' THEN 'HALLUCINATION' WHEN 'click' THEN 'HALLUCINATION' WHEN 'error' THEN 'FALSE_POSITIVE' WHEN 'signup' THEN 'TYPOSQUAT' "
     "ELSE CASE WHEN event_id % 2 = 0 THEN 'MALICIOUS' ELSE 'OTHER' END END AS report_type",
-    "CAST(CAST(value AS INT) % 11 AS DOUBLE) / 10 AS confidence", "user_id % 9 = 0 AS confirmed_nonexistent", "ts AS created_at",
+    "CAST(CAST(floor(value) AS BIGINT) % 11 AS DOUBLE) / 10 AS confidence", "user_id % 9 = 0 AS confirmed_nonexistent", "ts AS created_at",
     "CASE WHEN event_id % 3 = 0 THEN concat('model-', CAST(user_id AS STRING)) END AS model",
     "CASE WHEN user_id % 4 = 0 THEN NULL ELSE 'vscode' END AS ide", "CASE WHEN event_id % 7 = 0 THEN 'copilot' WHEN event_id % 7 = 1 THEN 'claude' END AS agent",
     "CASE WHEN event_id % 2 = 0 THEN 'chat' END AS interaction",

@@ -62,8 +62,9 @@ def compare(spark, con, plan, sf_dir):
     if left_cols != right_cols:
         return f"columns {left_cols} != {right_cols}", len(left)
     if left != right:
-        only_left = [r for r in left if r not in set(right)][:4]
-        only_right = [r for r in right if r not in set(left)][:4]
+        lefts, rights = set(map(repr, left)), set(map(repr, right))
+        only_left = [r for r in left if repr(r) not in rights][:4]
+        only_right = [r for r in right if repr(r) not in lefts][:4]
         return f"{left_cols}\n  rows {len(left)} != {len(right)}\n  spark only {only_left}\n  check only {only_right}", len(left)
     return None, len(left)
 
