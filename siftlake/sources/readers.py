@@ -100,7 +100,11 @@ def read_events_stream(spark: SparkSession, path: str, schema: str | None = None
     reader = spark.readStream.schema(schema or EVENT_SCHEMA).format(fmt)
     if files_per_trigger is not None:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    events = reader.load(path)
+    return with_zones(reader.load(path))
+
+
+def with_zones(events: DataFrame) -> DataFrame:
+    """Times without a zone as UTC instants."""
     for field in events.schema.fields:
         if field.dataType.simpleString() == "timestamp_ntz":
             events = events.withColumn(field.name, F.col(field.name).cast("timestamp"))

@@ -22,6 +22,7 @@ from siftlake.rules.model import Family
 from siftlake.sources.sinks import Snapshots
 
 WATERMARK = "1 day"
+IDLE_MILLISECONDS = 3_600_000
 # Pauses after which a person's and a machine's edits are scanned.
 HUMAN_PAUSE, MACHINE_PAUSE = "500 milliseconds", "100 milliseconds"
 
@@ -110,18 +111,18 @@ def _velocity(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterato
         if now - reset > RESET_MILLISECONDS:
             characters, reset = 0, now
     state.update((last, characters, reset))
-    state.setTimeoutDuration(3_600_000)
+    state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + IDLE_MILLISECONDS)
     yield pd.DataFrame({"document_id": key[0], "change_id": changes["change_id"], "high_speed": flags})
 
 
-def stream_typing_velocity(changes: DataFrame) -> DataFrame:
-    """High-speed flags per change, from state kept by document and dropped after an idle hour.
+def stream_typing_velocity(changes: DataFrame, delay: str = "1 minute") -> DataFrame:
+    """High-speed flags per change, from state kept by document and dropped after an idle hour of event time.
 
     ``changes``: (document_id string, change_id long, created_at, text).
     """
-    return changes.groupBy("document_id").applyInPandasWithState(
+    return changes.withWatermark("created_at", delay).groupBy("document_id").applyInPandasWithState(
         _velocity, "document_id string, change_id long, high_speed boolean", "last bigint, characters bigint, reset bigint",
-        "append", GroupStateTimeout.ProcessingTimeTimeout)
+        "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def stream_fresh(requests: DataFrame, keys: list[str], ttl: timedelta = timedelta(hours=1)) -> DataFrame:
