@@ -27,10 +27,13 @@ def scan_ai_config(corpus: DataFrame, text: str = "text") -> DataFrame:
     patterns = scan(corpus, AI_CONFIG, text=text).select(
         *rest, "line_no", "rule_id", "severity", "category", "col_start", "evidence")
     names = "map(" + ", ".join(f"{quote(c)}, {quote(n)}" for c, n in HIDDEN_CHARACTERS) + ")"
-    hidden_class = quote("[" + HIDDEN_TEXT + "]")
-    suspect = corpus.filter(f"`{text}` RLIKE {hidden_class} OR length(`{text}`) > {LONG_LINE}")
+
+    def hides(column: str) -> str:
+        return _or(f"contains({column}, {quote(c)})" for c, _ in HIDDEN_CHARACTERS)
+
+    suspect = corpus.filter(f"{hides(f'`{text}`')} OR exists(split(`{text}`, '\\n'), l -> length(l) > {LONG_LINE})")
     lines = to_lines(suspect, text=text)
-    characters = lines.filter(f"line RLIKE {hidden_class}").selectExpr(*rest, "line_no", "posexplode(split(line, '')) AS (_pos, _char)")
+    characters = lines.filter(hides("line")).selectExpr(*rest, "line_no", "posexplode(split(line, '')) AS (_pos, _char)")
     hidden = characters.filter(f"contains({quote(HIDDEN_TEXT)}, _char) AND _char <> ''").selectExpr(
         *rest, "line_no", "'AICFG_HIDDEN' AS rule_id", "'critical' AS severity", "'hidden-unicode' AS category",
         "_pos + 1 AS col_start", f"{names}[_char] AS evidence")

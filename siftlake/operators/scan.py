@@ -5,7 +5,7 @@ once however many families are asked for and nothing is joined or shuffled.  Thr
 filters, each implied by the rules, cut the regular-expression work:
 
 * a text is only split into lines if some rule's anchor occurs in it;
-* a line is only considered if some rule's anchor occurs in it;
+* the lines of a text are only tried against the families with an anchor in it;
 * a rule's expression only runs on lines that hold one of its own anchors.
 """
 
@@ -132,10 +132,12 @@ def _hits(text: str, lowered: str, families: Sequence[Family], columns: Sequence
     for f in families:
         for r in f.rules:
             position += 1
-            parts = [f"_guard_{f.name}"] if guarded else []
+            parts = [f"_may_{f.name}"] if guarded else []
             parts += _gate(r, f, columns)
             if prefilter and r.anchors:
                 parts.append(_holds(lowered, r.anchors))
+            if guarded:
+                parts.append(_guard(text, f))
             parts.append(f"{text} RLIKE {quote(r.jvm)}")
             hits.append(f"CASE WHEN {' AND '.join(parts)} THEN {position} END")
     return "array_compact(array(" + ", ".join(hits) + "))"
@@ -153,17 +155,24 @@ def scan(corpus: DataFrame, *families: Family, text: str = "text", prefilter: bo
     if not families:
         raise ValueError("no rule family given")
     rest = [c for c in corpus.columns if c != text]
-    source = corpus.filter(may_match(text, *families)) if prefilter else corpus
-
+    kept = [f"`{c}`" for c in rest]
     splits = {f.split for f in families}
-    split = splits.pop() if len(splits) == 1 else r"\r?\n"
-    lines = to_lines(source, split, text).selectExpr("*", "lower(line) AS _low")
+    split = quote(splits.pop() if len(splits) == 1 else r"\r?\n")
     if prefilter:
-        lines = lines.filter(_candidates("line", "_low", families, False))
-    lines = lines.selectExpr("*", *[f"{_guard('line', f)} AS _guard_{f.name}" for f in families])
+        # One flag per family and text; a family whose flag is down costs nothing on the text's lines.
+        lowered = corpus.selectExpr(*kept, f"`{text}` AS _text", f"lower(`{text}`) AS _low")
+        flagged = lowered.selectExpr(*kept, "_text", *[f"{_candidates('_text', '_low', [f], True)} AS _may_{f.name}" for f in families])
+        wanted = _or(f"_may_{f.name}" for f in families)
+    else:
+        flagged = corpus.selectExpr(*kept, f"`{text}` AS _text", *[f"true AS _may_{f.name}" for f in families])
+        wanted = "true"
+    flags = [f"_may_{f.name}" for f in families]
+    # The condition sits inside the generator: as a filter it would be evaluated a second time below the flags.
+    lines = flagged.selectExpr(
+        *kept, *flags, f"posexplode(IF({wanted}, split(_text, {split}), CAST(array() AS ARRAY<STRING>))) AS (_pos, line)"
+    ).selectExpr(*kept, *flags, "_pos + 1 AS line_no", "line", "lower(line) AS _low")
     matched = lines.selectExpr(
-        *[f"`{c}`" for c in rest], "line_no", "line",
-        f"explode({_hits('line', '_low', families, rest, prefilter, True)}) AS _hit",
+        *kept, "line_no", "line", f"explode({_hits('line', '_low', families, rest, prefilter, True)}) AS _hit",
     )
     described = matched.selectExpr("*", f"element_at({_describe(families)}, _hit) AS _rule")
     located = described.selectExpr(

@@ -27,17 +27,19 @@ def consecutive(df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket
     """
     keys, order = list(keys), list(order)
     rest = [c for c in df.columns if c not in keys]
-    rows = df.select(*keys, bucket.alias("_bucket"), F.struct(*rest).alias("_row"), F.struct(*order).alias("_at"))
-    summary = rows.groupBy(*keys, "_bucket").agg(
-        F.min_by("_row", "_at").alias("_first"), F.max_by("_row", "_at").alias("_last")
-    )
-    by_bucket = W.partitionBy(*keys).orderBy("_bucket")
-    across = summary.select(*keys, F.lag("_last").over(by_bucket).alias("prev"), F.col("_first").alias("cur"))
-    pairs = across
-    if not edges_only:
-        inside = W.partitionBy(*keys, "_bucket").orderBy("_at")
-        pairs = rows.select(*keys, F.lag("_row").over(inside).alias("prev"), F.col("_row").alias("cur")).unionByName(across)
-    return pairs.filter(F.col("prev").isNotNull())
+    rows = df.select(*keys, bucket.alias("_bucket"), F.struct(*order).alias("_at"), F.struct(*rest).alias("_row"))
+    if edges_only:
+        summary = rows.groupBy(*keys, "_bucket").agg(F.min_by("_row", "_at").alias("_first"), F.max_by("_row", "_at").alias("_last"))
+        pairs = summary.select(*keys, F.lag("_last").over(W.partitionBy(*keys).orderBy("_bucket")).alias("prev"), F.col("_first").alias("cur"))
+        return pairs.filter(F.col("prev").isNotNull())
+    inside = W.partitionBy(*keys, "_bucket").orderBy("_at")
+    local = rows.select(*keys, "_at", F.col("_row").alias("cur"), F.lag("_row").over(inside).alias("prev"), F.lead("_at").over(inside).alias("_next"))
+    # The first and last row of each bucket, in order: before the first one stands the last of the bucket before.
+    edges = local.filter(F.col("prev").isNull() | F.col("_next").isNull())
+    across = edges.select(
+        *keys, F.lag("cur").over(W.partitionBy(*keys).orderBy("_at")).alias("prev"), "cur", F.col("prev").isNull().alias("_opens"))
+    return local.filter(F.col("prev").isNotNull()).select(*keys, "prev", "cur").unionByName(
+        across.filter(F.col("_opens") & F.col("prev").isNotNull()).select(*keys, "prev", "cur"))
 
 
 def running_total(df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column, value: Column, name: str) -> DataFrame:

@@ -82,8 +82,9 @@ def propagate(seeds: DataFrame, assigned: DataFrame, max_rounds: int | None = No
         frontier = checkpointed(fresh)
         if frontier.isEmpty():
             break
-        known = checkpointed(known.unionByName(frontier))
-        done += 1
+        known, done = known.unionByName(frontier), done + 1
+        if done % 8 == 0:
+            known = checkpointed(known)
     return known
 
 
@@ -180,7 +181,7 @@ def flows_by_severity(flows: DataFrame) -> DataFrame:
 
 def analyze(corpus: DataFrame) -> DataFrame:
     """All flows of a corpus."""
-    found_sources, found_sinks = sources(corpus), sinks(corpus)
+    found_sources, found_sinks = sources(corpus), checkpointed(sinks(corpus))
     tainted = propagate(tainted_seeds(found_sources), assignments(corpus))
     flows = local_flows(tainted, found_sinks).unionByName(
         cross_file_flows(tainted, found_sinks, import_edges(corpus), functions_defined(corpus)))

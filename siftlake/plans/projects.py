@@ -12,6 +12,7 @@ from siftlake.plans.oracle import findings_sql, lines_sql
 from siftlake.plans.registry import plan
 from siftlake.plans.tables import fill, pick, planted, planted_sql, sql_pick, sql_text, table
 from siftlake.rules import FAMILIES
+from siftlake.session import spread
 
 # --- manifests, one per order ---------------------------------------------------------------
 
@@ -38,7 +39,7 @@ PY_SOURCE = "# import ignored\nimport os\nimport lib_@A@ as x\nfrom tool_@B@.sub
 
 
 def _files(spark: SparkSession, sf_dir: str, template: str) -> DataFrame:
-    return table(spark, sf_dir, "orders").selectExpr("o_orderkey AS file_id", f"{fill(quote(template), _FILL)} AS text")
+    return spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), "o_orderkey").selectExpr("o_orderkey AS file_id", f"{fill(quote(template), _FILL)} AS text")
 
 
 _O = "(SELECT o_orderkey AS file_id, {A} AS a, {B} AS b, {V} AS v, {W} AS w FROM orders)".format(

@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftlake.operators import files, scan
+from siftlake.plans.examples import EXAMPLES
 from siftlake.plans.oracle import findings_sql, lines_sql
 from siftlake.plans.registry import plan
 from siftlake.plans.tables import (
-    planted, planted_pages, planted_pages_sql, planted_sql, planted_turns, planted_turns_sql, sql_text, table,
+    pick, planted, planted_pages, planted_pages_sql, planted_sql, planted_turns, planted_turns_sql, sql_pick, sql_text, table,
 )
 from siftlake.rules import FAMILIES
 from siftlake.session import spread
@@ -170,17 +171,39 @@ def policy_pattern_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _ALL_TEXT = ("secret", "jailbreak", "cryptojack", "api", "model_load", "install_script", "permission", "ai_config",
              "intent", "sast")
+_MIXED = tuple(e for n in _ALL_TEXT for e in EXAMPLES[n])
+_MIXED_SQL = (
+    f"SELECT 'documents' AS origin, CAST(doc_id AS STRING) AS file_id, text || chr(10) || {sql_pick(_MIXED, 'doc_id')} AS text FROM documents UNION ALL "
+    f"SELECT 'pages', CAST(page_id AS STRING), html || chr(10) || {sql_pick(_MIXED, 'page_id * 3')} FROM pages UNION ALL "
+    f"SELECT 'conversations', conv_id || ':' || turn, text || chr(10) || {sql_pick(_MIXED, 'conv_id * 11 + turn')} FROM conversations"
+)
+_ALL_SQL = " UNION ALL ".join(
+    f"SELECT origin, '{n}' AS family, rule_id, severity FROM ({findings_sql(FAMILIES[n], 'origin', False)})" for n in _ALL_TEXT)
 
 
-@plan("scan_all_families", None, covers="D1 K13 F6")
-def scan_all_families(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All catalogues over three text tables in one pass; every rule is checked by its own query."""
+def mixed_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three text tables, each row with one example line of any family."""
     docs = table(spark, sf_dir, "documents").select(
-        F.lit("documents").alias("origin"), F.col("doc_id").cast("string").alias("file_id"), "text")
+        F.lit("documents").alias("origin"), F.col("doc_id").cast("string").alias("file_id"),
+        F.concat("text", F.lit("\n"), pick(_MIXED, "doc_id")).alias("text"))
     pages = table(spark, sf_dir, "pages").select(
-        F.lit("pages").alias("origin"), F.col("page_id").cast("string").alias("file_id"), F.col("html").alias("text"))
+        F.lit("pages").alias("origin"), F.col("page_id").cast("string").alias("file_id"),
+        F.concat("html", F.lit("\n"), pick(_MIXED, "page_id * 3")).alias("text"))
     turns = table(spark, sf_dir, "conversations").select(
-        F.lit("conversations").alias("origin"), F.concat_ws(":", "conv_id", "turn").alias("file_id"), "text")
-    corpus = spread(docs.unionByName(pages).unionByName(turns), "file_id")
-    found = scan.scan(corpus, *[FAMILIES[n] for n in _ALL_TEXT])
+        F.lit("conversations").alias("origin"), F.concat_ws(":", "conv_id", "turn").alias("file_id"),
+        F.concat("text", F.lit("\n"), pick(_MIXED, "conv_id * 11 + turn")).alias("text"))
+    return spread(docs.unionByName(pages).unionByName(turns), "file_id")
+
+
+@plan(
+    "scan_all_families",
+    f"""WITH corpus AS ({_MIXED_SQL}), lines AS ({lines_sql('corpus', FAMILIES['api'].split, 'origin')}), found AS ({_ALL_SQL})
+    SELECT origin, family, rule_id, count(*) FILTER (WHERE severity = 'critical') AS critical, count(*) FILTER (WHERE severity = 'high') AS high,
+        count(*) FILTER (WHERE severity = 'medium') AS medium, count(*) FILTER (WHERE severity = 'low') AS low, count(*) FILTER (WHERE severity = 'info') AS info
+    FROM found GROUP BY ALL""",
+    covers="D1 K13 F6",
+)
+def scan_all_families(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten catalogues over three text tables in one pass."""
+    found = scan.scan(mixed_corpus(spark, sf_dir), *[FAMILIES[n] for n in _ALL_TEXT])
     return scan.severity_by_category(found, ["origin", "family", "rule_id"])

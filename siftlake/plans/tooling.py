@@ -17,6 +17,7 @@ from siftlake.plans.tables import (
 from siftlake.rules import FAMILIES
 from siftlake.rules.prompts import HIDDEN_TEXT
 from siftlake.rules.scripts import CURRENCY_CODE, INTENT_KEYWORDS, NETWORK_CODE
+from siftlake.session import spread
 
 # --- AI configuration ------------------------------------------------------------------------
 
@@ -230,7 +231,7 @@ _MANIFEST_DIFF = """--- a/package.json
 
 def _diff_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     marks = {"@K@": "CAST(o_custkey AS STRING)"}
-    rows = table(spark, sf_dir, "orders").selectExpr(
+    rows = spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), "o_orderkey").selectExpr(
         "o_orderkey AS commit", "IF(o_orderkey % 2 = 0, 'src/auth.js', 'package.json') AS path",
         f"IF(o_orderkey % 2 = 0, {fill(quote(_CODE_DIFF), marks)}, {fill(quote(_MANIFEST_DIFF), marks)}) AS diff")
     return diffs.read_unified_diff(rows)
@@ -276,7 +277,7 @@ _CALLER_FILE = "const { run } = require('../lib/source');\nconst { body, x: y }
 def _flow_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = ", ".join(f"named_struct('n', {i}, 'path', '{p}', 'text', {quote(t)})" for i, (p, t) in enumerate(
         (("src/lib/source.js", _SOURCE_FILE), ("src/app.js", _MIDDLE_FILE), ("src/api/call.js", _CALLER_FILE))))
-    rows = table(spark, sf_dir, "customer").selectExpr("c_custkey AS project", f"inline(array({files}))")
+    rows = spread(table(spark, sf_dir, "customer").select("c_custkey"), "c_custkey").selectExpr("c_custkey AS project", f"inline(array({files}))")
     return rows.selectExpr("project * 3 + n AS file_id", "project", "path", "'javascript' AS lang", "text")
 
 
