@@ -129,8 +129,9 @@ def attribution_stats(files: DataFrame, attributed: DataFrame) -> DataFrame:
     lines = files.agg(F.count("*").alias("files_tracked"), F.sum("total_lines").alias("total_lines"),
                       F.sum("ai_lines").alias("ai_lines"), F.sum("human_lines").alias("human_lines"))
     found = attributed.agg(F.count_if(F.col("source") == "ai").alias("ai_findings"), F.count_if(F.col("source") == "human").alias("human_findings"))
-    # Two one-row aggregates side by side.
-    both = lines.withColumn("_k", F.lit(1)).join(found.withColumn("_k", F.lit(1)), "_k").drop("_k")
+    # Two one-row aggregates put into one row without a join.
+    names = [*lines.columns, *found.columns]
+    both = lines.unionByName(found, allowMissingColumns=True).agg(*[F.max(n).alias(n) for n in names])
     return both.selectExpr(
         "*", "IF(total_lines > 0, round(ai_lines / total_lines, 6), 0D) AS ai_ratio",
         "IF(ai_lines > 0, round(ai_findings * 1000D / ai_lines, 2), 0D) AS ai_rate",

@@ -314,9 +314,8 @@ def scan_trends(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def system_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders")
-    newest = orders.agg(F.max("o_orderdate").alias("_newest"))
-    recent = orders.select("o_orderdate", F.lit(1).alias("_k")).join(newest.withColumn("_k", F.lit(1)), "_k").filter(
-        "o_orderdate >= _newest - INTERVAL 1 DAY")
+    newest = orders.agg(F.max("o_orderdate")).scalar()
+    recent = orders.filter(F.col("o_orderdate") >= newest - F.expr("INTERVAL 1 DAY"))
     return telemetry.system_stats({
         "users": table(spark, sf_dir, "customer"), "teams": table(spark, sf_dir, "nation"), "scans": orders, "scans_last_day": recent,
         "packages": SUSPECTS.frame(spark, sf_dir), "reports": REPORTS.frame(spark, sf_dir)})

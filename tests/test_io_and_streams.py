@@ -60,13 +60,16 @@ def test_snapshot_upsert_is_idempotent(spark, tmp_path):
 
 
 def test_late_rows_are_dropped_and_counted(spark, tmp_path):
-    early = spark.createDataFrame([(1, "a", T0.replace(day=20)), (2, "a", T0.replace(day=25))], "event_id long, event_type string, created_at timestamp")
-    late = spark.createDataFrame([(3, "a", T0)], "event_id long, event_type string, created_at timestamp")
-    early.coalesce(1).write.parquet(str(tmp_path / "in"))
-    for name in os.listdir(tmp_path / "in"):
-        os.utime(tmp_path / "in" / name, (1_700_000_000, 1_700_000_000))
-    late.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    stream = streams.stream_counts(readers.read_events_stream(spark, str(tmp_path / "in"), early.schema, files_per_trigger=1))
+    """A batch drops what is late by the watermark of the batch before it."""
+    schema = "event_id long, event_type string, created_at timestamp"
+    for i, days in enumerate(((20, 25), (26,), (1,))):
+        folder = tmp_path / "in"
+        rows = [(10 * i + d, "a", T0.replace(day=d)) for d in days]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(folder))
+        for name in os.listdir(folder):
+            if os.path.getmtime(folder / name) > 1_750_000_000:
+                os.utime(folder / name, (1_700_000_000 + i * 1000, 1_700_000_000 + i * 1000))
+    stream = streams.stream_counts(readers.read_events_stream(spark, str(tmp_path / "in"), schema, files_per_trigger=1))
     query = streams.run_to_end(stream, str(tmp_path / "cp"), str(tmp_path / "out"))
     days = {r.window_start.day for r in spark.read.schema(stream.schema).parquet(str(tmp_path / "out")).collect()}
     assert 1 not in days and streams.late_rows(query) == 1
