@@ -1,7 +1,8 @@
 """Times the headline queries and prints one JSON line.
 
-BENCH_SF_DIR names the data, BENCH_CPUS the cores.  Every query runs once unmeasured on the
-same session and then once measured, into a sink that discards the rows.
+BENCH_SF_DIR names the data, BENCH_CPUS the cores.  Queries write into a sink that discards
+the rows.  A query that takes less than five seconds runs twice and the second run counts, so that
+start-up costs of the session do not hide it.
 """
 
 from __future__ import annotations
@@ -36,6 +37,8 @@ def main() -> None:
             start = time.perf_counter()
             PLANS[name].run(spark, sf_dir).write.format("noop").mode("overwrite").save()
             times[name] = round(time.perf_counter() - start, 3)
+            if times[name] >= 5:
+                break
     spark.stop()
     print(json.dumps({"metric": "headline_queries_total", "value": round(sum(times.values()), 3), "unit": "sec", "queries": times, "sf": os.path.basename(sf_dir)}))
 

@@ -47,7 +47,7 @@ def publish_anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
     "publish_risk",
     f"""WITH {_ANOMALIES_SQL}, v AS (SELECT ecosystem, package, count(*) AS version_count FROM {VERSIONS_SQL} GROUP BY ALL),
     p AS (SELECT ecosystem, package, count(*) AS n, sum(CASE severity WHEN 'critical' THEN 45 WHEN 'high' THEN 25 WHEN 'medium' THEN 12 ELSE 5 END) AS s FROM found GROUP BY ALL)
-    SELECT ecosystem, package, version_count, coalesce(n, 0) AS anomalies, least(100, coalesce(s, 0)) AS risk_score FROM v LEFT JOIN p USING (ecosystem, package)""",
+    SELECT ecosystem, package, version_count, coalesce(n, 0) AS anomalies, CAST(least(100, coalesce(s, 0)) AS BIGINT) AS risk_score FROM v LEFT JOIN p USING (ecosystem, package)""",
     covers="J6",
 )
 def publish_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -454,7 +454,7 @@ def recheck_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def claimed_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = reports.claimed_packages(SUSPECTS.frame(spark, sf_dir), REGISTRY.frame(spark, sf_dir), AS_OF)
-    return found.select("ecosystem", "package_name", "registered_at", "publisher", "version", "previous_report_count")
+    return found.select("ecosystem", "package_name", F.col("registered_at").cast("timestamp_ntz").alias("registered_at"), "publisher", "version", "previous_report_count")
 
 
 @plan(

@@ -367,7 +367,7 @@ _OWNED = "(1, 4, 'ai', 0.9), (3, 12, 'human', 0.6), (20, 60, 'ai', 0.8)"
 _ATTR_SQL = f"""WITH corpus AS ({planted_sql('secret')}), lines AS ({lines_sql('corpus')}), f AS (SELECT file_id, line_no, rule_id FROM ({findings_sql(FAMILIES['secret'])})),
     r AS (SELECT doc_id AS file_id, a + doc_id % 3 AS s, b AS e, v.source, v.confidence FROM documents CROSS JOIN (VALUES {_OWNED}) v(a, b, source, confidence)),
     m AS (SELECT f.*, arg_min(source, (s, e)) AS source, arg_min(confidence, (s, e)) AS confidence FROM f LEFT JOIN r ON r.file_id = f.file_id AND line_no BETWEEN s AND e GROUP BY ALL),
-    attributed AS (SELECT file_id, line_no, rule_id, coalesce(source, 'unknown') AS source, coalesce(confidence, 0) AS confidence FROM m)"""
+    attributed AS (SELECT file_id, line_no, rule_id, coalesce(source, 'unknown') AS source, CAST(coalesce(confidence, 0) AS DOUBLE) AS confidence FROM m)"""
 
 
 def _attributed(spark: SparkSession, sf_dir: str) -> DataFrame:
