@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from siftlake.operators.files import infrastructure_framework
 from siftlake.rules.infrastructure import IAC, NO_USER_RULE
+from siftlake.rules.mining import CRYPTOJACK, RISKY_SCRIPTS
 from siftlake.rules.model import Family, Rule
 from siftlake.vocab import SEVERITY_RANK, severity_rank
 
@@ -257,6 +258,16 @@ def escalate(severity: Column) -> Column:
     )
 
 
+def scan_package_scripts(corpus: DataFrame, text: str = "text") -> DataFrame:
+    """Mining indicators in the scripts of a package manifest that run unasked, each one level more severe."""
+    rest = [c for c in corpus.columns if c != text]
+    risky = ", ".join(quote(s) for s in RISKY_SCRIPTS)
+    scripts = corpus.selectExpr(
+        *[f"`{c}`" for c in rest], f"explode(from_json(`{text}`, 'scripts MAP<STRING, STRING>').scripts) AS (script, command)"
+    ).filter(f"script IN ({risky})")
+    return scan(scripts, CRYPTOJACK, text="command").withColumn("severity", escalate(F.col("severity")))
+
+
 def union_findings(first: DataFrame, *others: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), others, first)
 

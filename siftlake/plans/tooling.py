@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftlake.operators import agents, artifacts, attribution, diffs, scan, taint
+from siftlake.operators import advisories, agents, artifacts, attribution, diffs, scan, taint
 from siftlake.operators.files import guess_language
 from siftlake.operators.scan import quote
 from siftlake.plans.examples import EXAMPLES
@@ -421,3 +421,42 @@ def model_artifact_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = table(spark, sf_dir, "part").select(
         F.concat_ws("/", "p_partkey", pick([p for p, _ in _ARTIFACTS], "p_partkey")).alias("path"), F.unhex(pick(hexed, "p_partkey")).alias("content"))
     return artifacts.scan_model_artifacts(files).select("path", "rule_id", "severity")
+
+
+# --- manifest scripts and advisories of a code host -----------------------------------------------------------------
+
+_COMMANDS = ("./xmrig --help", "run --algo=randomx", "pay 0x" + "ab12" * 10, "pay 1BoatSLRHtKNngkdXEeobR76b53LETtpyT", "node build.js")
+# Findings of the planted commands, by position, one level up.
+_COMMAND_RESULTS = ((0, "CG_CJACK_005", "critical"), (1, "CG_CJACK_007", "critical"), (2, "CG_CJACK_004", "medium"), (3, "CG_CJACK_003", "high"))
+
+
+@plan(
+    "package_script_mining",
+    f"""SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'postinstall' ELSE 'prepare' END AS script, rule_id, severity FROM part
+    JOIN (VALUES {', '.join(f"({k}, '{r}', '{s}')" for k, r, s in _COMMAND_RESULTS)}) v(k, rule_id, severity) ON p_partkey % {len(_COMMANDS)} = k WHERE p_partkey % 3 < 2""",
+    covers="C6 D6 G1",
+)
+def package_script_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scripts that run on install, on preparation and, for every third package, only on demand."""
+    rows = table(spark, sf_dir, "part").select(
+        "p_partkey", F.expr("element_at(array('postinstall', 'prepare', 'test'), CAST(p_partkey % 3 + 1 AS INT))").alias("_s"), pick(_COMMANDS, "p_partkey").alias("_c"))
+    manifests = rows.select("p_partkey", F.to_json(F.struct(F.create_map("_s", "_c").alias("scripts"))).alias("text"))
+    return scan.scan_package_scripts(manifests).select("p_partkey", "script", "rule_id", "severity")
+
+
+_ADVISORY = """{"vulnerabilities":[{"package":{"name":"Other"},"vulnerable_version_range":"< 9"},{"package":{"name":"PKG-@K@"},"vulnerable_version_range":"< 1.@S@","patched_versions":">= 1.@S@"@F@}]}"""
+_ADVISORY_FILL = {"@K@": "CAST(p_partkey AS STRING)", "@S@": "CAST(p_size AS STRING)",
+                  "@F@": "CASE WHEN p_partkey % 2 = 0 THEN concat(',\"first_patched_version\":{\"identifier\":\"1.', CAST(p_size AS STRING), '.0\"}') ELSE '' END"}
+
+
+@plan(
+    "github_advisories",
+    """SELECT 'pkg-' || p_partkey AS package_name, '< 1.' || p_size AS affected_range, CASE WHEN p_partkey % 2 = 0 THEN '1.' || p_size || '.0' ELSE '>= 1.' || p_size END AS fixed_version FROM part""",
+    covers="G8",
+)
+def github_advisories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shape = ("vulnerabilities ARRAY<STRUCT<package: STRUCT<name: STRING>, vulnerable_version_range: STRING, patched_versions: STRING, "
+             "first_patched_version: STRUCT<identifier: STRING>>>")
+    rows = table(spark, sf_dir, "part").selectExpr(
+        "concat('pkg-', p_partkey) AS package_name", f"from_json({fill(quote(_ADVISORY), _ADVISORY_FILL)}, '{shape}').vulnerabilities AS vulnerabilities")
+    return advisories.github_advisory(rows)
