@@ -67,11 +67,10 @@ def install_script_verdicts(packages: DataFrame, keys: list[str], text: str = "s
 
 def package_permissions(packages: DataFrame, keys: list[str], text: str = "script") -> DataFrame:
     """One row per package, kind and description, with the first line that shows it."""
-    rules = {r.rule_id: r for r in PERMISSION.rules}
     found = scan(packages.select(*keys, text), PERMISSION, text=text)
     return found.groupBy(*keys, F.col("category").alias("kind"), F.col("message").alias("description")).agg(
-        F.first("severity").alias("severity"), F.min("line_no").alias("line_no"),
-        F.min_by("evidence", "line_no").alias("evidence")) if rules else found
+        F.max("severity").alias("severity"), F.min("line_no").alias("line_no"),
+        F.min_by("evidence", "line_no").alias("evidence"))
 
 
 def permission_risk(packages: DataFrame, permissions: DataFrame, keys: list[str]) -> DataFrame:
