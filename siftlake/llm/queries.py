@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from siftlake.llm.fingerprint import op9_fingerprints
+from siftlake.llm.mixing import op4_mixing
 from siftlake.llm.packing import op10_packing
 from siftlake.llm.wavelet import op8_token_output
 
-QUERIES = {"op8_token_output": op8_token_output, "op10_packing": op10_packing}
+QUERIES = {"op4_mixing": op4_mixing, "op8_token_output": op8_token_output, "op9_fingerprints": op9_fingerprints, "op10_packing": op10_packing}
 ORACLES: dict[str, str] = {}
