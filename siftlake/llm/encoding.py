@@ -14,6 +14,7 @@ import public_tokenizers
 
 #: White space other than single spaces and line ends between words, where cutting at spaces would not be exact.
 IRREGULAR = r"[\s\x0b][\s\x0b]|^[\s\x0b]|[\s\x0b]$|[\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+MARKS = ".,;:!?"
 _ENCODERS: dict[str, Encoder] = {}
 
 
@@ -39,6 +40,7 @@ class Encoder:
         self.special = [t.content for t in added.values()]
         #: A token that the library cuts out before it normalises or splits the rest, with its id.
         self.mark = next(((t.content, i) for i, t in added.items() if t.special and not t.normalized and not t.single_word and not t.lstrip and not t.rstrip), None)
+        self.lowers = "Lowercase" in str(self.tokenizer.normalizer)
         #: Bytes that each id stands for, where ids cover the text byte by byte.
         self.widths = None
         if self.tokenizer.normalizer is None and type(self.tokenizer.pre_tokenizer).__name__ == "ByteLevel":
@@ -50,7 +52,7 @@ class Encoder:
     def _clear(self) -> None:
         self.place: dict[str, int] = {}
         self.ids, self.used = np.zeros(1 << 16, np.int32), 0
-        self.starts = [0]
+        self.starts, self.known = [np.zeros(1, np.int64)], 0
 
     def _learn(self, pieces: list[str]) -> None:
         """Encode new pieces, many in one text, and cut the ids apart again.
@@ -84,40 +86,52 @@ class Encoder:
         if end > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros(max(len(self.ids), len(ids)), np.int32)])
         self.ids[self.used:end] = ids
-        self.place.update(zip(pieces, range(len(self.starts) - 1, len(self.starts) - 1 + len(pieces)), strict=True))
-        self.starts.extend((self.used + np.cumsum(lengths)).tolist())
+        self.place.update(zip(pieces, range(self.known, self.known + len(pieces)), strict=True))
+        self.known += len(pieces)
+        self.starts.append(self.used + np.cumsum(lengths))
         self.used = end
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after another, offsets of the texts).  Null counts as empty."""
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        if self.lowers and not any(pc.any(pc.match_substring(texts, t, ignore_case=True)).as_py() for t in self.special):
+            texts = pc.ascii_lower(texts)
         odd = pc.match_substring_regex(texts, IRREGULAR).to_numpy(zero_copy_only=False)
-        even = texts.filter(pa.array(~odd))
+        even = texts.filter(pa.array(~odd)) if odd.any() else texts
         lists = pc.split_pattern(even, " ")
         ends = lists.offsets.to_numpy()
         flat = lists.flatten().dictionary_encode()
-        codes = flat.indices.to_numpy()
+        codes = flat.indices.to_numpy().astype(np.int64)
         # A piece inside a text starts with its space, the first piece of a text does not.
         leads = (ends[:-1] - ends[0])[np.diff(ends) > 0]
-        pieces = [" " + w for w in flat.dictionary.to_pylist()]
-        first = [p[1:] for p in map(pieces.__getitem__, codes[leads].tolist())]
-        wanted = pieces + first
-        missing = [p for p in dict.fromkeys(wanted) if p not in self.place]
+        words = flat.dictionary.to_pylist()
+        first = [words[i] for i in codes[leads].tolist()]
+        codes[leads] = len(words) + np.arange(len(leads))
+        pieces = [" " + w for w in words] + first
+        # Encoders split between a letter and a mark that follows: the marks at the end are pieces of their own.
+        cores = [p.rstrip(MARKS) for p in pieces]
+        cores = [c if c[-1:].isalpha() else p for c, p in zip(cores, pieces, strict=True)]
+        tails = [p[len(c):] for c, p in zip(cores, pieces, strict=True)]
+        wanted = dict.fromkeys(cores)
+        wanted.update(dict.fromkeys(tails))
+        missing = [p for p in wanted if p not in self.place]
         if missing and len(self.place) + len(missing) > self.room:
             self._clear()
-            missing = list(dict.fromkeys(wanted))
+            missing = list(wanted)
         self._learn([p for p in missing if p[:1] == " "])
         for p in missing:
             if p[:1] != " ":
                 ids = np.asarray(self.tokenizer.encode(p, add_special_tokens=False).ids, np.int32)
                 self._keep([p], ids, np.array([len(ids)]))
-        codes = codes.astype(np.int64)
-        codes[leads] = len(pieces) + np.arange(len(leads))
-        at = np.fromiter(map(self.place.__getitem__, wanted), np.int64, len(wanted))
-        starts = np.asarray(self.starts, np.int64)
-        begin, length = starts[at][codes], (starts[at + 1] - starts[at])[codes]
+        place, starts = self.place.__getitem__, np.concatenate(self.starts)
+        self.starts = [starts]
+        both = np.empty((len(pieces), 2), np.int64)
+        both[:, 0], both[:, 1] = np.fromiter(map(place, cores), np.int64, len(pieces)), np.fromiter(map(place, tails), np.int64, len(pieces))
+        codes = both[codes].ravel()
+        begin = starts[codes]
+        length = starts[codes + 1] - begin
         ids, piece_ends = _gather(self.ids, begin, length)
-        text_ends = np.concatenate([[0], piece_ends])[ends - ends[0]]
+        text_ends = np.concatenate([[0], piece_ends])[2 * (ends - ends[0])]
         if not odd.any():
             return ids, text_ends
         whole = [np.asarray(x.ids, np.int32) for x in self.tokenizer.encode_batch_fast(texts.filter(pa.array(odd)).to_pylist(), add_special_tokens=False)]
