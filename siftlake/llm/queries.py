@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from siftlake.llm.fingerprint import op9_fingerprints
+from siftlake.llm.langid import op7_language_id
 from siftlake.llm.mixing import op4_mixing
 from siftlake.llm.packing import op10_packing
 from siftlake.llm.toxicity import op6_toxicity
@@ -10,7 +11,7 @@ from siftlake.llm.wavelet import op8_token_output
 from siftlake.llm.wordpiece import op3_token_counts
 
 QUERIES = {
-    "op3_token_counts": op3_token_counts, "op4_mixing": op4_mixing, "op6_toxicity": op6_toxicity, "op8_token_output": op8_token_output,
+    "op3_token_counts": op3_token_counts, "op4_mixing": op4_mixing, "op6_toxicity": op6_toxicity, "op7_language_id": op7_language_id, "op8_token_output": op8_token_output,
     "op9_fingerprints": op9_fingerprints, "op10_packing": op10_packing,
 }
 ORACLES: dict[str, str] = {}
