@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from siftlake.llm.bitsliced import OP1_SQL, op1_top_k
 from siftlake.llm.fingerprint import op9_fingerprints
 from siftlake.llm.langid import op7_language_id
 from siftlake.llm.mixing import op4_mixing
@@ -11,7 +12,7 @@ from siftlake.llm.wavelet import op8_token_output
 from siftlake.llm.wordpiece import op3_token_counts
 
 QUERIES = {
-    "op3_token_counts": op3_token_counts, "op4_mixing": op4_mixing, "op6_toxicity": op6_toxicity, "op7_language_id": op7_language_id, "op8_token_output": op8_token_output,
+    "op1_top_k": op1_top_k, "op3_token_counts": op3_token_counts, "op4_mixing": op4_mixing, "op6_toxicity": op6_toxicity, "op7_language_id": op7_language_id, "op8_token_output": op8_token_output,
     "op9_fingerprints": op9_fingerprints, "op10_packing": op10_packing,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op1_top_k": OP1_SQL}
