@@ -7,12 +7,13 @@ from siftlake.llm.fingerprint import op9_fingerprints
 from siftlake.llm.langid import op7_language_id
 from siftlake.llm.mixing import op4_mixing
 from siftlake.llm.packing import op10_packing
+from siftlake.llm.sigtree import OP2_SQL, op2_jaccard_join
 from siftlake.llm.toxicity import op6_toxicity
 from siftlake.llm.wavelet import op8_token_output
 from siftlake.llm.wordpiece import op3_token_counts
 
 QUERIES = {
-    "op1_top_k": op1_top_k, "op3_token_counts": op3_token_counts, "op4_mixing": op4_mixing, "op6_toxicity": op6_toxicity, "op7_language_id": op7_language_id, "op8_token_output": op8_token_output,
+    "op1_top_k": op1_top_k, "op2_jaccard_join": op2_jaccard_join, "op3_token_counts": op3_token_counts, "op4_mixing": op4_mixing, "op6_toxicity": op6_toxicity, "op7_language_id": op7_language_id, "op8_token_output": op8_token_output,
     "op9_fingerprints": op9_fingerprints, "op10_packing": op10_packing,
 }
-ORACLES: dict[str, str] = {"op1_top_k": OP1_SQL}
+ORACLES: dict[str, str] = {"op1_top_k": OP1_SQL, "op2_jaccard_join": OP2_SQL}
