@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from siftlake.llm.bitsliced import OP1_SQL, op1_top_k
+from siftlake.llm.bwt import op5_repeat_removal
 from siftlake.llm.fingerprint import op9_fingerprints
 from siftlake.llm.langid import op7_language_id
 from siftlake.llm.mixing import op4_mixing
@@ -13,7 +14,7 @@ from siftlake.llm.wavelet import op8_token_output
 from siftlake.llm.wordpiece import op3_token_counts
 
 QUERIES = {
-    "op1_top_k": op1_top_k, "op2_jaccard_join": op2_jaccard_join, "op3_token_counts": op3_token_counts, "op4_mixing": op4_mixing, "op6_toxicity": op6_toxicity, "op7_language_id": op7_language_id, "op8_token_output": op8_token_output,
+    "op1_top_k": op1_top_k, "op2_jaccard_join": op2_jaccard_join, "op3_token_counts": op3_token_counts, "op4_mixing": op4_mixing, "op5_repeat_removal": op5_repeat_removal, "op6_toxicity": op6_toxicity, "op7_language_id": op7_language_id, "op8_token_output": op8_token_output,
     "op9_fingerprints": op9_fingerprints, "op10_packing": op10_packing,
 }
 ORACLES: dict[str, str] = {"op1_top_k": OP1_SQL, "op2_jaccard_join": OP2_SQL}
