@@ -94,21 +94,21 @@ def identify(rows: DataFrame, model: TextModel, text: str, declared: str, suffix
     if not languages:
         return rows.withColumns({"language": F.lit(None).cast("string"), "confidence": F.lit(0.0), "text_language": F.lit(None).cast("string"), "n_trigrams": F.lit(0).cast("long"), "rejected": F.lit(True)})
 
-    fields = [f for f in rows.schema.fields]
-    plain = f"c{len(fields)}"
-    # Columns go through Python under names of their own, whatever they are called outside.
-    inner = rows.select(*[F.col(f"`{f.name}`").alias(f"c{i}") for i, f in enumerate(fields)], F.col(text).cast("string").alias(plain))
+    # Columns go on under names of their own, whatever they are called outside.
+    fields = rows.schema.fields
+    own = [F.col(f"`{f.name}`").alias(f"c{i}") for i, f in enumerate(fields)]
+    signs = [F.col(c).cast("string").alias(name) for name, c in (("declared", declared), ("suffix", suffix), ("host", host), ("site", site))]
+    inner = rows.select(*own, *signs, F.col(text).cast("string").alias("text"))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores, n = model.scores(batch.column(plain))
+            scores, n = model.scores(batch.column("text"))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, scores.size + 1, len(languages), dtype=np.int32)), pa.array(scores.ravel().astype(np.float64)))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], lists, pa.array(n.astype(np.int64))], [*batch.schema.names[:-1], "s", "n"])
 
-    schema = ", ".join([*(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(fields)), "s array<double>", "n bigint"])
-    seen = inner.mapInArrow(scan, schema).select(*[F.col(f"c{i}").alias(f.name) for i, f in enumerate(fields)], F.col("s").alias("_s"), F.col("n").alias("_n"))
-
-    evidence = rows.select(F.col(text).cast("string").alias("text"), F.col(declared).cast("string").alias("declared"), F.col(suffix).cast("string").alias("suffix"), F.col(host).cast("string").alias("host"), F.col(site).cast("string").alias("site"))
+    schema = ", ".join([*(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(fields)), *(f"{c} string" for c in ("declared", "suffix", "host", "site")), "s array<double>", "n bigint"])
+    seen = inner.mapInArrow(scan, schema)
+    evidence = rows.select(F.col(text).cast("string").alias("text"), *signs)
 
     def first_look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -118,7 +118,8 @@ def identify(rows: DataFrame, model: TextModel, text: str, declared: str, suffix
 
     # Counts by (language, declared, suffix, host, site): made within each task before anything is shuffled.
     tally = evidence.mapInArrow(first_look, "best int, declared string, suffix string, host string, site string").filter("best >= 0").groupBy("best", "declared", "suffix", "host", "site").agg(F.count("*").alias("n"))
-    return _fuse(seen, tally, languages, declared, suffix, host, site, trust, floor)
+    fused = _fuse(seen, tally, languages, trust, floor)
+    return fused.select(*[F.col(f"c{i}").alias(f.name) for i, f in enumerate(fields)], "language", "confidence", "text_language", "n_trigrams", "rejected")
 
 
 def _by_language(key: str, tally: DataFrame, n_languages: int) -> DataFrame:
@@ -126,7 +127,7 @@ def _by_language(key: str, tally: DataFrame, n_languages: int) -> DataFrame:
     return tally.filter(F.col(key).isNotNull()).groupBy(key).agg(F.array(*[F.sum(F.when(F.col("best") == k, F.col("n")).otherwise(F.lit(0))).cast("double") for k in range(n_languages)]).alias("c"))
 
 
-def _fuse(seen: DataFrame, tally: DataFrame, languages: tuple[str, ...], declared: str, suffix: str, host: str, site: str, trust: float, floor: float) -> DataFrame:
+def _fuse(seen: DataFrame, tally: DataFrame, languages: tuple[str, ...], trust: float, floor: float) -> DataFrame:
     size = len(languages)
     total = tally.agg(*[F.sum(F.when(F.col("best") == k, F.col("n")).otherwise(F.lit(0))) for k in range(size)]).first()
     all_rows = np.array([float(x or 0) for x in total]) + 1.0
@@ -144,18 +145,18 @@ def _fuse(seen: DataFrame, tally: DataFrame, languages: tuple[str, ...], declare
     # P(value | language) up to a factor that all languages share: a value seen as often as chance has it says nothing.
     trust_of = {name: _by_language(name, tally, size).select(F.col(name).alias(f"_{name}"), F.zip_with(smooth(F.col("c"), everyone), everyone, lambda c, p: F.log(c) - F.log(p)).alias(f"_{name}_w")) for name in ("declared", "suffix")}
     out = seen
-    for key, name, side in ((site, "_site", sites), (host, "_host", hosts), (declared, "_declared", trust_of["declared"]), (suffix, "_suffix", trust_of["suffix"])):
-        out = out.join(side, F.col(key).cast("string") == F.col(name), "left").drop(name)
+    for key, name, side in (("site", "_site", sites), ("host", "_host", hosts), ("declared", "_declared", trust_of["declared"]), ("suffix", "_suffix", trust_of["suffix"])):
+        out = out.join(side, F.col(key) == F.col(name), "left").drop(name)
     prior = smooth(F.coalesce("_host_c", zero), F.coalesce("_site_p", everyone))
-    log_sum = F.zip_with(F.zip_with(F.transform(prior, lambda p: F.log(p)), F.col("_s"), lambda a, b: a + b), F.zip_with(F.coalesce("_declared_w", zero), F.coalesce("_suffix_w", zero), lambda a, b: a + b), lambda a, b: a + b)
+    log_sum = F.zip_with(F.zip_with(F.transform(prior, lambda p: F.log(p)), F.col("s"), lambda a, b: a + b), F.zip_with(F.coalesce("_declared_w", zero), F.coalesce("_suffix_w", zero), lambda a, b: a + b), lambda a, b: a + b)
     out = out.withColumn("_l", log_sum).withColumn("_m", F.array_max("_l"))
     names = F.array(*[F.lit(x) for x in languages])
     confidence = 1 / F.aggregate(F.transform("_l", lambda x: F.exp(x - F.col("_m"))), F.lit(0.0), lambda a, x: a + x)
-    out = out.withColumn("confidence", confidence).withColumn("rejected", (F.col("_n") == 0) | (F.col("confidence") < floor))
+    out = out.withColumn("confidence", confidence).withColumn("rejected", (F.col("n") == 0) | (F.col("confidence") < floor))
     return out.select(
-        *[c for c in seen.columns if c not in ("_s", "_n")],
+        *[c for c in seen.columns if c[0] == "c"],
         F.when(~F.col("rejected"), F.element_at(names, F.array_position("_l", F.col("_m")).cast("int"))).alias("language"), "confidence",
-        F.when(F.col("_n") > 0, F.element_at(names, F.array_position("_s", F.array_max("_s")).cast("int"))).alias("text_language"), F.col("_n").alias("n_trigrams"), "rejected")
+        F.when(F.col("n") > 0, F.element_at(names, F.array_position("s", F.array_max("s")).cast("int"))).alias("text_language"), F.col("n").alias("n_trigrams"), "rejected")
 
 
 def page_evidence(pages: DataFrame) -> DataFrame:
@@ -184,6 +185,5 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def keep_identified(docs: DataFrame, model: TextModel) -> DataFrame:
     """Documents whose language is identified, with their own columns: ``lang`` is what they declare and ``source`` their host."""
-    names = docs.columns
-    marked = docs.withColumns({"_declared": F.col("lang").cast("string"), "_none": F.lit(None).cast("string")})
-    return identify(marked, model, "text", "_declared", "_none", "source", "_none").filter(~F.col("rejected")).select(*names)
+    marked = docs.withColumn("_none", F.lit(None).cast("string"))
+    return identify(marked, model, "text", "lang", "_none", "source", "_none").filter(~F.col("rejected")).select(*docs.columns)
