@@ -13,9 +13,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from siftlake.llm.shared import parts_for, table
+from siftlake.llm.shared import table
 
 LANES, _PAIR = 128, (1 << 31) | 1
+_FINE = 1 << 14
 #: Where phrases end.  A line end also ends a paragraph.
 SENTENCE, PARAGRAPH = r"[.,;:!?\n\r]+\s*", r"[\n\r]+"
 
@@ -91,15 +92,21 @@ def with_next(docs: DataFrame, id_col: str, text_col: str, part_bytes: int = 32
     each part borrows the first document of the next part, so no part is larger than its share.
     """
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    total = slim.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     order = ["none", "doc_id", "k", "text"]
-    ranged = slim.withColumn("none", F.col("doc_id").isNull()).withColumn("k", F.xxhash64("text")).repartitionByRange(
-        parts_for(total, part_bytes, docs.sparkSession.sparkContext.defaultParallelism), "none", "doc_id", "k").withColumn("part", F.spark_partition_id())
-    firsts = ranged.groupBy("part").agg(F.min(F.struct(*order)).alias("row"))
-    # Only the numbers of the parts are put in one order, not their rows.
-    numbers = ranged.select("part").distinct()
-    before = numbers.select(F.col("part").alias("own"), F.coalesce(F.lag("part").over(Window.orderBy("part")), F.max("part").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("part"))
-    borrowed = firsts.select(F.col("part").alias("own"), "row").join(before, "own").select(F.lit(1).alias("extra"), "part", *[F.col(f"row.{c}").alias(c) for c in order])
+    low, high, total = slim.agg(F.min("doc_id"), F.max("doc_id"), F.sum(F.octet_length("text"))).first()
+    # Ranges of ids: the ids are cut into ``_FINE`` equal steps, and steps are joined to parts of about equal size.  The
+    # table of steps has a fixed size, so it can go to all.
+    width = ((high or 0) - (low or 0)) // _FINE + 1
+    step = F.coalesce(F.floor((F.col("doc_id") - F.lit(low or 0)) / F.lit(width)).cast("int"), F.lit(_FINE))
+    slim = slim.withColumn("none", F.col("doc_id").isNull()).withColumn("k", F.xxhash64("text")).withColumn("step", step)
+    each = max(1, min(part_bytes, -(-int(total or 0) // docs.sparkSession.sparkContext.defaultParallelism)))
+    sizes = slim.groupBy("step").agg(F.sum(F.octet_length("text")).alias("size"))
+    steps = sizes.select("step", F.floor((F.sum("size").over(Window.orderBy("step")) - F.col("size")) / each).alias("part"))
+    numbers = steps.groupBy("part").agg(F.min("step").alias("step")).select("part", F.coalesce(
+        F.lag("part").over(Window.orderBy("part")), F.max("part").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("before"))
+    ranged = slim.join(F.broadcast(steps.join(numbers, "part")), "step")
+    firsts = ranged.groupBy("before").agg(F.min(F.struct(*order)).alias("row"))
+    borrowed = firsts.select(F.lit(1).alias("extra"), F.col("before").alias("part"), *[F.col(f"row.{c}").alias(c) for c in order])
     rows = ranged.select(F.lit(0).alias("extra"), "part", *order).unionByName(borrowed)
     window = Window.partitionBy("part").orderBy("extra", *order)
     return rows.select("extra", "part", F.row_number().over(window).alias("place"), "doc_id", "text", F.lead("text").over(window).alias("next")).filter("extra = 0").drop("extra")
