@@ -32,7 +32,7 @@ def encoder(path: str) -> Encoder:
 class Encoder:
     """Ids of whole texts.  The cache of pieces is emptied when it holds ``room`` pieces, which bounds memory and changes no id."""
 
-    def __init__(self, path: str, room: int = 800_000):
+    def __init__(self, path: str, room: int = 600_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.room = Tokenizer.from_file(path), room
@@ -91,9 +91,22 @@ class Encoder:
         self.starts.append(self.used + np.cumsum(lengths))
         self.used = end
 
-    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts one after another, offsets of the texts).  Null counts as empty."""
+    def encode(self, texts: pa.Array, step: int = 6 << 20) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after another, offsets of the texts).  Null counts as empty.
+
+        Texts of about ``step`` bytes are worked on at a time, which bounds memory; a longer text is a step of its own.
+        """
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        ends = np.cumsum(pc.binary_length(texts).to_numpy())
+        found, a = [(np.zeros(0, np.int32), np.zeros(1, np.int64))], 0
+        while a < len(texts):
+            b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + step, side="right")))
+            found.append(self._encode(texts.slice(a, b - a)))
+            a = b
+        shifts = np.cumsum([0] + [len(ids) for ids, _ in found])
+        return np.concatenate([ids for ids, _ in found]), np.concatenate([[0]] + [offsets[1:] + shift for (_, offsets), shift in zip(found, shifts, strict=False)])
+
+    def _encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         if self.lowers and not any(pc.any(pc.match_substring(texts, t, ignore_case=True)).as_py() for t in self.special):
             texts = pc.ascii_lower(texts)
         odd = pc.match_substring_regex(texts, IRREGULAR).to_numpy(zero_copy_only=False)
