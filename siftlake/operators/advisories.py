@@ -120,7 +120,10 @@ def github_advisory(advisories: DataFrame, name: str = "package_name") -> DataFr
 def new_advisories(incoming: DataFrame, stored: DataFrame) -> DataFrame:
     """Insert-if-absent by the natural key of an advisory."""
     keys = ["vuln_id", "ecosystem", "package_name"]
-    return incoming.dropDuplicates(keys).join(stored.select(*keys), keys, "left_anti")
+    rest = [c for c in incoming.columns if c not in keys]
+    # Of several rows with one key the least by its other columns is inserted.
+    one = incoming.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("_row")).select(*[F.col(c) if c in keys else F.col(f"_row.{c}").alias(c) for c in incoming.columns])
+    return one.join(stored.select(*keys), keys, "left_anti")
 
 
 def vulnerable_packages(refs: DataFrame, vulnerabilities: DataFrame) -> DataFrame:

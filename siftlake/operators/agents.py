@@ -15,6 +15,7 @@ from siftlake.rules.prompts import AI_CONFIG, HIDDEN_CHARACTERS, HIDDEN_TEXT
 from siftlake.rules.scripts import (
     CODE_IMPORT, CURRENCY_CODE, INSTALL_SCRIPT, INTENT, INTENT_KEYWORDS, NETWORK_CODE, PERMISSION, SUSPICIOUS_IMPORTS,
 )
+from siftlake.vocab import local_table
 
 # --- AI configuration text ---------------------------------------------------------------
 
@@ -150,9 +151,9 @@ def match_mcp_cves(servers: DataFrame) -> DataFrame:
     )
     rest = [c for c in servers.columns if c not in ("args", "env", "tools", "raw", "transport", "command", "url")]
     named = servers.selectExpr(*rest, f"explode({candidates}) AS _candidate").withColumn("_key", F.lower("_candidate"))
-    cves = spark.createDataFrame([(c, p.lower(), a, f, s) for c, p, a, f, s, _ in catalogue.SERVER_CVES],
+    cves = local_table(spark, [(c, p.lower(), a, f, s) for c, p, a, f, s, _ in catalogue.SERVER_CVES],
                                  "reference string, _key string, affected string, fixed_in string, severity string")
-    bad = spark.createDataFrame([(n, a.lower(), s) for n, a, _, s, _ in catalogue.KNOWN_BAD_SERVERS],
+    bad = local_table(spark, [(n, a.lower(), s) for n, a, _, s, _ in catalogue.KNOWN_BAD_SERVERS],
                                 "reference string, _key string, severity string")
     keys = [c for c in rest if c != "version"]
     by_cve = named.join(cves, "_key").filter(satisfies("version", "affected")).select(
@@ -185,7 +186,11 @@ def discover_ai_components(corpus: DataFrame, path: str = "path", text: str = "t
     models = " ".join(f"WHEN endswith(lower(`{path}`), '{e}') THEN '{n}'" for e, n in catalogue.MODEL_FILES)
     by_model = corpus.select(*keys, F.expr(f"CASE {models} END").alias("_format"), base_name(F.col(path)).alias("_base")).filter(
         "_format IS NOT NULL").selectExpr(*keys, "concat(_format, ': ', _base) AS name", "'model-file' AS type", "'low' AS risk", "0 AS line_no")
-    return by_config.unionByName(sdk).unionByName(by_model).dropDuplicates(["project", "file_id", "name"])
+    found = by_config.unionByName(sdk).unionByName(by_model)
+    # Of several mentions of one component in a file the first line counts, and on one line the first type.
+    first = F.min(F.struct("line_no", "type", "risk", path))
+    return found.groupBy("project", "file_id", "name").agg(first.alias("_f")).select(
+        "project", "file_id", F.col(f"_f.{path}").alias(path), "name", "_f.type", "_f.risk", "_f.line_no")
 
 
 def ai_sbom_summary(components: DataFrame) -> DataFrame:

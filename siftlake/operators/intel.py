@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftlake.operators.advisories import vulnerability_counts
-from siftlake.vocab import normalize_ecosystem, severity_label, severity_rank
+from siftlake.vocab import local_table, normalize_ecosystem, severity_label, severity_rank
 
 # Packages that belong to one ecosystem and are mistaken for another's.
 HOME_ECOSYSTEM = {
@@ -25,12 +25,12 @@ KNOWN_INVENTED = {
 
 
 def home_ecosystems(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(HOME_ECOSYSTEM.items()), "name string, correct_ecosystem string")
+    return local_table(spark, list(HOME_ECOSYSTEM.items()), "name string, correct_ecosystem string")
 
 
 def known_invented(spark: SparkSession) -> DataFrame:
     rows = [(eco, n) for eco, names in KNOWN_INVENTED.items() for n in names]
-    return spark.createDataFrame(rows, "ecosystem string, name string")
+    return local_table(spark, rows, "ecosystem string, name string")
 
 
 def _keyed(df: DataFrame, name: str = "name") -> DataFrame:

@@ -12,6 +12,10 @@ PERSISTENCE = {"high": (500, 0.85), "medium": (200, 0.65), "low": (50, 0.40)}
 # Weights of the report types; any other type weighs a half.
 REPORT_WEIGHTS = {"HALLUCINATION": 1.0, "TYPOSQUAT": 0.8, "MALICIOUS": 1.2, "FALSE_POSITIVE": -1.0}
 AUTO_CONFIRM = 3
+_CONFIRMED = (
+    f"status = 'SUSPECTED' AND report_count >= {AUTO_CONFIRM} AND hallucination_reports >= {AUTO_CONFIRM} "
+    "AND hallucination_reports > 3 * false_positive_reports"
+)
 
 
 def risk_score(confirmed: str, reports: str, first: str, last: str, claimed: str) -> str:
@@ -25,41 +29,44 @@ def risk_score(confirmed: str, reports: str, first: str, last: str, claimed: str
     )
 
 
-def fold_reports(reports: DataFrame, merge_policy: str = "last") -> DataFrame:
+#: Columns that describe a package by one of its reports.
+DESCRIPTIVE = ("model", "ide", "agent", "interaction")
+
+
+def fold_reports(reports: DataFrame, merge_policy: str = "last", with_order: bool = False) -> DataFrame:
     """Append-only reports to one row per package.
 
     ``merge_policy`` says whether the first or the last known value of the descriptive
     columns wins.  Every aggregate combines partially, so a package with very many reports
-    is reduced before the shuffle.
+    is reduced before the shuffle.  ``with_order`` adds the place of each such value in time,
+    which :func:`merge_snapshots` needs.
     """
-    pick = {"first": F.min_by, "last": F.max_by}[merge_policy]
+    pick, end = {"first": (F.min_by, F.min), "last": (F.max_by, F.max)}[merge_policy]
 
-    def known(column: str):
+    def known(column: str) -> list:
         order = F.when(F.col(column).isNotNull(), F.struct("created_at", "report_id"))
-        return pick(column, order).alias(column)
+        return [pick(column, order).alias(column), *([end(order).alias(f"{column}_order")] if with_order else [])]
 
     folded = reports.groupBy(*KEYS).agg(
         F.count("*").alias("report_count"), F.min("created_at").alias("first_seen"), F.max("created_at").alias("last_seen"),
-        F.bool_or("confirmed_nonexistent").alias("confirmed"), *[known(c) for c in ("model", "ide", "agent", "interaction")],
+        F.bool_or("confirmed_nonexistent").alias("confirmed"), *[k for c in DESCRIPTIVE for k in known(c)],
     )
     return folded.withColumn("risk_score", F.expr(risk_score("confirmed", "report_count", "first_seen", "last_seen", "false")))
 
 
-def merge_snapshots(stored: DataFrame, incoming: DataFrame) -> DataFrame:
+def merge_snapshots(stored: DataFrame, incoming: DataFrame, merge_policy: str = "last") -> DataFrame:
     """Keyed upsert as a new snapshot: counts add up, times widen, flags join, known values survive.
 
-    Both sides have the columns of :func:`fold_reports` and ``claimed``.  Equal to folding all
-    reports at once, so it may be applied batch after batch.
+    Both sides have the columns of :func:`fold_reports` with its order and ``claimed``.  Every descriptive value carries the
+    time and id of its own report, so the result equals folding all reports at once, in whatever order batches come.
     """
-    both = stored.withColumn("_age", F.lit(0)).unionByName(incoming.withColumn("_age", F.lit(1)))
-
-    def latest(column: str):
-        return F.max_by(column, F.when(F.col(column).isNotNull(), F.struct("_age", "last_seen"))).alias(column)
+    pick, end = {"first": (F.min_by, F.min), "last": (F.max_by, F.max)}[merge_policy]
+    both = stored.unionByName(incoming)
 
     merged = both.groupBy(*KEYS).agg(
         F.sum("report_count").alias("report_count"), F.min("first_seen").alias("first_seen"),
         F.max("last_seen").alias("last_seen"), F.bool_or("confirmed").alias("confirmed"), F.bool_or("claimed").alias("claimed"),
-        *[latest(c) for c in ("model", "ide", "agent", "interaction")],
+        *[k for c in DESCRIPTIVE for k in (pick(c, f"{c}_order").alias(c), end(f"{c}_order").alias(f"{c}_order"))],
     )
     return merged.withColumn("risk_score", F.expr(risk_score("confirmed", "report_count", "first_seen", "last_seen", "claimed")))
 
@@ -75,7 +82,7 @@ def load_seeds(seeds: DataFrame, stored: DataFrame, as_of: str) -> DataFrame:
     new = seeds.selectExpr(
         *KEYS, f"CAST(CASE persistence {count} END AS BIGINT) AS _n", f"CASE persistence {risk} END AS _r",
         "attacked AS _a", "persistence",
-    ).dropDuplicates(KEYS)
+    ).groupBy(*KEYS).agg(F.max("_n").alias("_n"), F.max("_r").alias("_r"), F.bool_or("_a").alias("_a"), F.max_by("persistence", "_n").alias("persistence"))
     joined = stored.join(new, KEYS, "full_outer")
     return joined.selectExpr(
         *KEYS, "greatest(report_count, _n) AS report_count", "greatest(risk_score, _r) AS risk_score",
@@ -94,28 +101,32 @@ def merge_outcomes(merged: DataFrame) -> DataFrame:
     )
 
 
-def report_confidence(reports: DataFrame) -> DataFrame:
-    """Weighted confidence and counts by type of each package, in one aggregate."""
+#: What is added up over the reports of a package.
+SUMS = ("report_count", "hallucination_reports", "false_positive_reports", "confidence_sum", "weight_sum")
+_CONFIDENCE = "greatest(0D, least(1D, confidence_sum / weight_sum))"
+
+
+def report_sums(reports: DataFrame) -> DataFrame:
+    """The sums that confidence and confirmation follow from, with the last report's time."""
     weight = "CASE report_type " + " ".join(f"WHEN '{k}' THEN {v}D" for k, v in REPORT_WEIGHTS.items()) + " ELSE 0.5D END"
-    totals = reports.selectExpr("*", f"{weight} AS _w").groupBy(*KEYS).agg(
+    return reports.selectExpr("*", f"{weight} AS _w").groupBy(*KEYS).agg(
         F.count("*").alias("report_count"),
         F.count_if(F.col("report_type") == "HALLUCINATION").alias("hallucination_reports"),
         F.count_if(F.col("report_type") == "FALSE_POSITIVE").alias("false_positive_reports"),
-        F.sum(F.col("confidence") * F.col("_w")).alias("_sum"), F.sum(F.abs("_w")).alias("_weights"),
-    )
-    return totals.select(
-        *KEYS, "report_count", "hallucination_reports", "false_positive_reports",
-        F.expr("greatest(0D, least(1D, _sum / _weights))").alias("confidence"),
+        F.sum(F.col("confidence") * F.col("_w")).alias("confidence_sum"), F.sum(F.abs("_w")).alias("weight_sum"),
+        *([F.max("created_at").alias("last_seen")] if "created_at" in reports.columns else []),
     )
 
 
+def report_confidence(reports: DataFrame) -> DataFrame:
+    """Weighted confidence and counts by type of each package, in one aggregate."""
+    return report_sums(reports).select(*KEYS, *SUMS[:3], F.expr(_CONFIDENCE).alias("confidence"))
+
+
 def consolidate(packages: DataFrame, reports: DataFrame, as_of: str) -> DataFrame:
     """Packages with recounted reports and confidence; suspected ones with enough reports are confirmed."""
     joined = packages.drop("report_count").join(report_confidence(reports), KEYS, "left")
-    confirmed = (
-        f"status = 'SUSPECTED' AND report_count >= {AUTO_CONFIRM} AND hallucination_reports >= {AUTO_CONFIRM} "
-        "AND hallucination_reports > 3 * false_positive_reports"
-    )
+    confirmed = _CONFIRMED
     return joined.selectExpr(
         *KEYS, "coalesce(report_count, 0) AS report_count", "coalesce(confidence, 0.5D) AS confidence",
         f"coalesce({confirmed}, false) AS auto_confirmed", f"IF(coalesce({confirmed}, false), 'CONFIRMED', status) AS status",
@@ -123,6 +134,25 @@ def consolidate(packages: DataFrame, reports: DataFrame, as_of: str) -> DataFram
     )
 
 
+def consolidate_batch(packages: DataFrame | None, batch: DataFrame, as_of: str) -> DataFrame:
+    """Packages after one more batch of reports: sums by type add up, and status and confidence follow from them.
+
+    ``packages`` is the result of the batch before, or (``KEYS``, status, verified_at, last_seen) with any of ``SUMS`` at the
+    beginning, or None.  Applied batch after batch it equals :func:`consolidate` over all reports.
+    """
+    new = report_sums(batch)
+    if packages is None:
+        packages = new.selectExpr(*KEYS, "'SUSPECTED' AS status", "CAST(NULL AS TIMESTAMP) AS verified_at", "last_seen").limit(0)
+    have = packages.selectExpr(*KEYS, "status", "verified_at", "last_seen AS _seen", *[f"{c} AS _{c}" if c in packages.columns else f"CAST(NULL AS DOUBLE) AS _{c}" for c in SUMS])
+    added = {c: f"coalesce(_{c}, 0) + coalesce({c}, 0)" for c in SUMS}
+    joined = have.join(new, KEYS, "full_outer").selectExpr(
+        *KEYS, "coalesce(status, 'SUSPECTED') AS status", "verified_at", "greatest(_seen, last_seen) AS last_seen",
+        *[f"CAST({e} AS {'BIGINT' if c in SUMS[:3] else 'DOUBLE'}) AS {c}" for c, e in added.items()])
+    return joined.selectExpr(
+        *KEYS, *SUMS, f"IF(weight_sum > 0, {_CONFIDENCE}, 0.5D) AS confidence", f"coalesce({_CONFIRMED}, false) AS auto_confirmed",
+        f"IF(coalesce({_CONFIRMED}, false), 'CONFIRMED', status) AS status", f"IF(coalesce({_CONFIRMED}, false), {as_of}, verified_at) AS verified_at", "last_seen")
+
+
 def expire_stale(packages: DataFrame, as_of: str) -> DataFrame:
     """Drop suspected packages with fewer than two reports that were not seen for ninety days."""
     return packages.filter(

@@ -79,7 +79,11 @@ def may_match(text: str, *families: Family) -> Column:
     return F.expr(_candidates(f"`{text}`", f"lower(`{text}`)", families, True))
 
 
-def to_lines(corpus: DataFrame, split: str = "\n", text: str = "text") -> DataFrame:
+#: Where a line ends, for every rule family alike.
+LINE_END = r"\r?\n"
+
+
+def to_lines(corpus: DataFrame, split: str = LINE_END, text: str = "text") -> DataFrame:
     """One row per line, numbered from one."""
     rest = [c for c in corpus.columns if c != text]
     return corpus.select(*rest, F.posexplode(F.split(text, split)).alias("line_no", "line")).withColumn(
@@ -157,8 +161,7 @@ def scan(corpus: DataFrame, *families: Family, text: str = "text", prefilter: bo
         raise ValueError("no rule family given")
     rest = [c for c in corpus.columns if c != text]
     kept = [f"`{c}`" for c in rest]
-    splits = {f.split for f in families}
-    split = quote(splits.pop() if len(splits) == 1 else r"\r?\n")
+    split = quote(LINE_END)
     if prefilter:
         # One flag per family and text; a family whose flag is down costs nothing on the text's lines.
         lowered = corpus.selectExpr(*kept, f"`{text}` AS _text", f"lower(`{text}`) AS _low")

@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 from siftlake.operators.scan import quote
+from siftlake.vocab import local_table
 
 # Popular npm packages, in order.
 POPULAR_NPM = tuple("""
@@ -89,7 +90,7 @@ def popular_packages(spark: SparkSession) -> DataFrame:
     """The built-in targets: (ecosystem, target, ord)."""
     rows = [("npm", n, i) for i, n in enumerate(POPULAR_NPM)]
     rows += [("pypi", n, len(POPULAR_NPM) + i) for i, n in enumerate(POPULAR_PYPI)]
-    return spark.createDataFrame(rows, "ecosystem string, target string, ord int")
+    return local_table(spark, rows, "ecosystem string, target string, ord int")
 
 
 def phonetic_key(name: str) -> str:
@@ -258,13 +259,13 @@ def similarity_signals(pairs: DataFrame) -> DataFrame:
     return measured.withColumn("signals", F.expr(f"array_compact(array({listed}))"))
 
 
-def typosquat_matches(names: DataFrame, targets: DataFrame, threshold: float = 0.55, length_guard: bool = True,
+def typosquat_matches(names: DataFrame, targets: DataFrame, threshold: float = 0.55, length_guard: bool = False,
                       best: int = 5) -> DataFrame:
     """Popular names a package name may be confused with, scored, the ``best`` of each name.
 
     ``names`` has (name) and, to compare within it only, (ecosystem); ``targets`` has
-    (ecosystem, target, ord).  With ``length_guard`` names more than four characters apart
-    are never compared, which also hides long suffixes and all prefixes.
+    (ecosystem, target, ord).  With ``length_guard``, which is off, names more than four characters
+    apart are not compared, which hides long suffixes and all prefixes.
     """
     if threshold <= LOWEST_THRESHOLD:
         raise ValueError(f"the threshold must be above {LOWEST_THRESHOLD}")

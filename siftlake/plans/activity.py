@@ -12,6 +12,7 @@ from siftlake.plans.derived import (
 from siftlake.plans.registry import plan
 from siftlake.operators.scan import quote
 from siftlake.plans.tables import fill, sql_text, table
+from siftlake.vocab import local_table
 
 # --- publication histories -------------------------------------------------------------------
 
@@ -157,8 +158,8 @@ _H, _B = "event_type = 'hallucination_detected'", "action_taken = 'blocked'"
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    agents = spark.createDataFrame(list(telemetry.AI_AGENTS), "slug string, display_name string, vendor string")
-    ides = spark.createDataFrame(list(telemetry.IDES), "slug string, display_name string, vendor string")
+    agents = local_table(spark, list(telemetry.AI_AGENTS), "slug string, display_name string, vendor string")
+    ides = local_table(spark, list(telemetry.IDES), "slug string, display_name string, vendor string")
     return telemetry.enrich_events(TELEMETRY.frame(spark, sf_dir), agents, ides)
 
 
@@ -190,8 +191,8 @@ _RISK_SQL = """CASE WHEN report_count = 1 THEN CASE WHEN confirmed THEN 0.9 ELSE
 )
 def hallucination_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     folded = reports.fold_reports(REPORTS.frame(spark, sf_dir)).withColumnRenamed("agent", "ai_agent")
-    agents = spark.createDataFrame(list(telemetry.AI_AGENTS), "slug string, display_name string, vendor string")
-    ides = spark.createDataFrame(list(telemetry.IDES), "slug string, display_name string, vendor string")
+    agents = local_table(spark, list(telemetry.AI_AGENTS), "slug string, display_name string, vendor string")
+    ides = local_table(spark, list(telemetry.IDES), "slug string, display_name string, vendor string")
     return telemetry.hallucination_stats(telemetry.enrich_events(folded, agents, ides))
 
 
@@ -351,10 +352,8 @@ def fold_reports_first(spark: SparkSession, sf_dir: str) -> DataFrame:
 def merge_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two halves of the reports folded apart and merged give what folding them at once gives."""
     all_reports = REPORTS.frame(spark, sf_dir)
-    middle = F.lit("2024-01-15").cast("timestamp_ntz")
-    old, new = (reports.fold_reports(all_reports.filter(c)).withColumn("claimed", F.lit(False))
-                for c in (F.col("created_at") < middle, F.col("created_at") >= middle))
-    return reports.merge_snapshots(old, new).drop("claimed", "risk_score")
+    one, other = (reports.fold_reports(all_reports.filter(F.col("report_id") % 2 == k), with_order=True).withColumn("claimed", F.lit(False)) for k in (0, 1))
+    return reports.merge_snapshots(one, other).drop("claimed", "risk_score", *[f"{c}_order" for c in reports.DESCRIPTIVE])
 
 
 _W = "CASE report_type WHEN 'HALLUCINATION' THEN 1.0 WHEN 'TYPOSQUAT' THEN 0.8 WHEN 'MALICIOUS' THEN 1.2 WHEN 'FALSE_POSITIVE' THEN -1.0 ELSE 0.5 END::DOUBLE"

@@ -66,9 +66,9 @@ def gate(rule: Rule, family: Family, with_language: bool, with_framework: bool)
     return " AND ".join(parts)
 
 
-def lines_sql(corpus: str, split: str = "\n", columns: str = "file_id, lang") -> str:
+def lines_sql(corpus: str, columns: str = "file_id, lang") -> str:
     """The body of a CTE with the lines of another one."""
-    cut = "string_split(text, chr(10))" if split == "\n" else "string_split_regex(text, '\\r?\\n')"
+    cut = "string_split_regex(text, '\\r?\\n')"
     return (
         f"SELECT {columns}, unnest(range(1, len(parts) + 1)) AS line_no, unnest(parts) AS line "
         f"FROM (SELECT *, {cut} AS parts FROM {corpus})"

@@ -105,7 +105,7 @@ _DIFF = "list_filter(list_zip(string_split(n, ''), string_split(t, '')), lambda
     pairs AS (SELECT names.*, target, ord, t, levenshtein(n, t) AS lev, {_OSA} AS osa,
         sn.ph = st.ph AS same_sound
         FROM names JOIN targets USING (ecosystem) JOIN sound sn ON sn.x = n JOIN sound st ON st.x = t
-        WHERE target <> name AND target <> n AND abs(length(n) - length(t)) <= 4),
+        WHERE target <> name AND target <> n),
     signals AS (SELECT *, [
         CASE WHEN osa = 1 THEN 'levenshtein-1' END, CASE WHEN osa = 2 AND length(t) >= 6 THEN 'levenshtein-2' END,
         CASE WHEN length(n) = length(t) AND len({_DIFF}) BETWEEN 1 AND 2
@@ -474,7 +474,7 @@ def dependency_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     "derive_trust_signals",
     f"""WITH p AS ({SIGNALS_SQL}), repo AS (SELECT *, nullif(regexp_extract(repository_url, 'github[.]com/([^/]+)/([^/.]+)', 1), '') AS o,
         nullif(regexp_extract(repository_url, 'github[.]com/([^/]+)/([^/.]+)', 2), '') AS r FROM p),
-    stars AS (SELECT 'o' || (p_size % 50) AS o, 'r' || p_partkey AS r, p_size * 10 AS stars FROM part WHERE p_partkey < 40)
+    stars AS (SELECT 'o' || (p_size % 50) AS o, 'r' || p_partkey AS r, p_size * 10 AS stars FROM part)
     SELECT ecosystem, name, weekly_downloads, CAST(floor(epoch({AS_OF} - created_at) / 86400) AS INT) AS package_age_days, total_versions,
         has_install_scripts, coalesce(repository_url <> '', false) AS has_repository, coalesce(stars, github_stars) AS github_stars
     FROM repo LEFT JOIN stars USING (o, r)""",
@@ -484,6 +484,6 @@ def derive_trust_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = SIGNALS.frame(spark, sf_dir)
     registry = p.selectExpr("ecosystem", "name", "created_at", "total_versions AS version_count", "repository_url", "weekly_downloads",
                             "IF(has_install_scripts, map('postinstall', 'node x.js'), map('test', 'jest')) AS latest_scripts")
-    repositories = table(spark, sf_dir, "part").filter("p_partkey < 40").selectExpr(
+    repositories = table(spark, sf_dir, "part").selectExpr(
         "concat('o', p_size % 50) AS owner", "concat('r', p_partkey) AS repository", "p_size * 10 AS stars")
     return intel.derive_trust_signals(registry, repositories, p.select("ecosystem", "name", "github_stars"), AS_OF)

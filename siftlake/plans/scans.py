@@ -95,7 +95,7 @@ def _rule_scan(name: str, family_name: str, covers: str) -> None:
             "'dockerfile' AS category FROM corpus WHERE framework = 'dockerfile' "
             "AND NOT regexp_matches(text, '(?im)^\\s*USER\\s+\\S+')"
         )
-    sql = f"WITH corpus AS ({routed}), lines AS ({lines_sql('corpus', family.split, columns)}) {body}"
+    sql = f"WITH corpus AS ({routed}), lines AS ({lines_sql('corpus', columns)}) {body}"
 
     @plan(name, sql, covers=covers)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -129,7 +129,7 @@ _rule_scan("rule_scan_ai_sdk_lines", "ai_sdk", "D17")
 @plan(
     "rule_scan_conversations",
     f"WITH corpus AS ({planted_turns_sql('jailbreak')}), "
-    f"lines AS ({lines_sql('corpus', FAMILIES['jailbreak'].split, 'conv_id, turn, role')}), "
+    f"lines AS ({lines_sql('corpus', 'conv_id, turn, role')}), "
     f"found AS ({findings_sql(FAMILIES['jailbreak'], 'conv_id, turn, role', False)} UNION ALL "
     f"{findings_sql(SECRET, 'conv_id, turn, role', False)}) SELECT * FROM found",
     covers="D3 D5 K13",
@@ -169,8 +169,7 @@ def policy_pattern_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("file_id", "line_no", "rule_id")
 
 
-_ALL_TEXT = ("secret", "jailbreak", "cryptojack", "api", "model_load", "install_script", "permission", "ai_config",
-             "intent", "sast")
+_ALL_TEXT = tuple(FAMILIES)
 _MIXED = tuple(e for n in _ALL_TEXT for e in EXAMPLES[n])
 _MIXED_SQL = (
     f"SELECT 'documents' AS origin, CAST(doc_id AS STRING) AS file_id, text || chr(10) || {sql_pick(_MIXED, 'doc_id')} AS text FROM documents UNION ALL "
@@ -197,13 +196,13 @@ def mixed_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @plan(
     "scan_all_families",
-    f"""WITH corpus AS ({_MIXED_SQL}), lines AS ({lines_sql('corpus', FAMILIES['api'].split, 'origin')}), found AS ({_ALL_SQL})
+    f"""WITH corpus AS ({_MIXED_SQL}), lines AS ({lines_sql('corpus', 'origin')}), found AS ({_ALL_SQL})
     SELECT origin, family, rule_id, count(*) FILTER (WHERE severity = 'critical') AS critical, count(*) FILTER (WHERE severity = 'high') AS high,
         count(*) FILTER (WHERE severity = 'medium') AS medium, count(*) FILTER (WHERE severity = 'low') AS low, count(*) FILTER (WHERE severity = 'info') AS info
     FROM found GROUP BY ALL""",
     covers="D1 K13 F6",
 )
 def scan_all_families(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ten catalogues over three text tables in one pass."""
+    """All catalogues over three text tables in one pass."""
     found = scan.scan(mixed_corpus(spark, sf_dir), *[FAMILIES[n] for n in _ALL_TEXT])
     return scan.severity_by_category(found, ["origin", "family", "rule_id"])

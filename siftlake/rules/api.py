@@ -40,5 +40,5 @@ RULES = check((
     Rule("CG_API_AUTH_001", "info", "api-design", r"\bapp\.use\s*\(\s*(?:cors|helmet)\s*\(\s*\)\s*\)", "Middleware with defaults", ("app.use",)),
 ))
 
-API = Family("api", RULES, finding_type="api", split=r"\r?\n", max_line=6000, skip_empty=True,
+API = Family("api", RULES, finding_type="api", skip_empty=True,
              comment=SLASH_HASH_STAR, unknown_language="match")

@@ -52,7 +52,7 @@ TERRAFORM_RULES = check((
 ))
 
 IAC = Family("iac", DOCKER_RULES + KUBERNETES_RULES + TERRAFORM_RULES, finding_type="iac",
-             split=r"\r?\n", max_line=5000, skip_empty=True, comment=HASH_SLASH)
+             skip_empty=True, comment=HASH_SLASH)
 
 # The file-level rule and the directive whose absence triggers it.
 NO_USER_RULE = Rule("CG_IAC_DOCKER_000", "high", "dockerfile", r"(?im)^\s*USER\s+\S+", "No USER directive", frameworks=_D, cis="CIS-Docker 4.1")

@@ -52,7 +52,7 @@ RULES = check((
     Rule("CG_CJACK_012", "critical", "encoded-payload", r"\bf0VMR[A-Za-z0-9+/=]{40,}", "Base64 ELF executable", ("f0vmr",)),
 ))
 
-CRYPTOJACK = Family("cryptojack", RULES, finding_type="cryptojacking", split=r"\r?\n", max_line=8000, skip_empty=True)
+CRYPTOJACK = Family("cryptojack", RULES, finding_type="cryptojacking", skip_empty=True)
 
 # Package scripts that run without being asked for.
 RISKY_SCRIPTS = ("preinstall", "install", "postinstall", "prepare", "prepublish", "prepublishOnly", "preuninstall", "postuninstall")

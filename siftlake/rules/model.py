@@ -53,7 +53,6 @@ class Family:
     name: str
     rules: tuple[Rule, ...]
     finding_type: str = "rule"
-    split: str = "\n"
     max_line: int | None = None
     skip_empty: bool = False
     comment: str | None = None

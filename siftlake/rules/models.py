@@ -12,7 +12,7 @@ LOAD_RULES = check((
     Rule("CG_MODEL_SRC_005", "medium", "unsafe-load-call", r"\bload_model\s*\([^)]*\)", "load_model call", ("load_model",)),
     Rule("CG_MODEL_SRC_006", "high", "unsafe-load-call", r"\byaml\.load\s*\([^)]*\)", "yaml.load call", ("yaml.load",)),
 ))
-MODEL_LOAD = Family("model_load", LOAD_RULES, finding_type="model", split=r"\r?\n", max_line=3000, skip_empty=True)
+MODEL_LOAD = Family("model_load", LOAD_RULES, finding_type="model", skip_empty=True)
 
 # Callables that a model file has no business referring to.
 DANGEROUS_GLOBALS = (

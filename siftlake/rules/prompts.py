@@ -36,7 +36,7 @@ JAILBREAK_RULES = check((
     Rule("CG_JB_062", "critical", _I, r"(?i)\b(?:secretly|silently|quietly|covertly)\s+(?:send|transmit|upload|copy|exfiltrate|forward)", "Covert exfiltration", ("secretly", "silently", "quietly", "covertly"), owasp="LLM02"),
 ))
 
-JAILBREAK = Family("jailbreak", JAILBREAK_RULES, finding_type="jailbreak", split=r"\r?\n", max_line=5000, skip_empty=True)
+JAILBREAK = Family("jailbreak", JAILBREAK_RULES, finding_type="jailbreak", skip_empty=True)
 
 # Hidden characters, by code point, with their names.
 HIDDEN_CHARACTERS = (
@@ -54,20 +54,20 @@ HIDDEN_TEXT = "".join(c for c, _ in HIDDEN_CHARACTERS)
 
 _SUP, _OBF, _EXF, _INJ = "security-suppression", "obfuscated-payload", "exfiltration", "prompt-injection"
 
-# Severities, categories, patterns and messages.
+# Severities, categories and patterns.
 AI_CONFIG_RULES = check((
-    Rule("AICFG_01", "critical", _SUP, r"(?i)ignore\s+(previous|above|all|prior|earlier|system)\s+(instructions|rules|constraints|prompts|guidelines)", "Attempts to override prior AI instructions", ("ignore",)),
-    Rule("AICFG_02", "critical", _INJ, r"(?i)you\s+are\s+now\s+(a|an|the)\s+", "Role reassignment", ("now",)),
-    Rule("AICFG_03", "high", _SUP, r"(?i)(?:^|\n)\s*system\s*:\s*.{10,}", "Embedded system prompt", ("system",)),
-    Rule("AICFG_04", "critical", _INJ, r"(?i)do\s+not\s+(mention|reveal|show|log|report|display|disclose|output)\s+(the|any|this)", "Instructions to hide information", ("not",)),
-    Rule("AICFG_05", "critical", _SUP, r"(?i)suppress\s+(warning|error|security|diagnostic|alert|notification|message)", "Attempts to suppress security warnings", ("suppress",)),
-    Rule("AICFG_06", "critical", _SUP, r"(?i)disable\s+(security|scanning|linting|eslint|snyk|sonar)", "Attempts to disable security tooling", ("disable",)),
-    Rule("AICFG_07", "high", _SUP, r"(?i)override\s+(security|safety|policy|restriction|guard|protection)", "Attempts to override security policies", ("override",)),
-    Rule("AICFG_08", "critical", _SUP, r"(?i)never\s+(warn|alert|flag|report|mention|tell)\s+(the\s+)?(user|developer|human)", "Instructions to withhold information", ("never",)),
-    Rule("AICFG_09", "high", _INJ, r"(?i)(?:always|must)\s+include\s+(?:this|the\s+following)\s+(?:script|code|import|package)", "Forced code inclusion", ("include",)),
+    Rule("AICFG_01", "critical", _SUP, r"(?i)ignore\s+(previous|above|all|prior|earlier|system)\s+(instructions|rules|constraints|prompts|guidelines)", "Tells the model to drop earlier instructions", ("ignore",)),
+    Rule("AICFG_02", "critical", _INJ, r"(?i)you\s+are\s+now\s+(a|an|the)\s+", "Gives the model a new identity", ("now",)),
+    Rule("AICFG_03", "high", _SUP, r"(?i)(?:^|\n)\s*system\s*:\s*.{10,}", "System message inside the file", ("system",)),
+    Rule("AICFG_04", "critical", _INJ, r"(?i)do\s+not\s+(mention|reveal|show|log|report|display|disclose|output)\s+(the|any|this)", "Asks for something to be kept quiet", ("not",)),
+    Rule("AICFG_05", "critical", _SUP, r"(?i)suppress\s+(warning|error|security|diagnostic|alert|notification|message)", "Asks for warnings to be silenced", ("suppress",)),
+    Rule("AICFG_06", "critical", _SUP, r"(?i)disable\s+(security|scanning|linting|eslint|snyk|sonar)", "Asks for checks to be switched off", ("disable",)),
+    Rule("AICFG_07", "high", _SUP, r"(?i)override\s+(security|safety|policy|restriction|guard|protection)", "Asks to go around protections", ("override",)),
+    Rule("AICFG_08", "critical", _SUP, r"(?i)never\s+(warn|alert|flag|report|mention|tell)\s+(the\s+)?(user|developer|human)", "Asks not to tell people", ("never",)),
+    Rule("AICFG_09", "high", _INJ, r"(?i)(?:always|must)\s+include\s+(?:this|the\s+following)\s+(?:script|code|import|package)", "Demands that given code be added", ("include",)),
     Rule("AICFG_10", "high", _INJ, r"""(?i)(?:import|require|from)\s+['"]https?://""", "Remote code import", ("http",)),
-    Rule("AICFG_11", "medium", _EXF, r"""(?i)(?:fetch|xhr|axios|http\.get|https\.get|request)\s*\(\s*['"]https?://(?!(?:registry\.npmjs\.org|pypi\.org|api\.github\.com))""", "Network request to an unusual URL", ("http",)),
-    Rule("AICFG_12", "high", _EXF, r"""(?i)process\.env\s*[\[.]\s*['"]?((?:API_KEY|SECRET|TOKEN|PASSWORD|PRIVATE_KEY|AWS_|GITHUB_TOKEN|NPM_TOKEN))""", "Reads sensitive environment variables", ("process.env",)),
+    Rule("AICFG_11", "medium", _EXF, r"""(?i)(?:fetch|xhr|axios|http\.get|https\.get|request)\s*\(\s*['"]https?://(?!(?:registry\.npmjs\.org|pypi\.org|api\.github\.com))""", "Contacts an unusual host", ("http",)),
+    Rule("AICFG_12", "high", _EXF, r"""(?i)process\.env\s*[\[.]\s*['"]?((?:API_KEY|SECRET|TOKEN|PASSWORD|PRIVATE_KEY|AWS_|GITHUB_TOKEN|NPM_TOKEN))""", "Takes a secret from the environment", ("process.env",)),
     Rule("AICFG_13", "high", _INJ, r"""(?i)eval\s*\(|Function\s*\(\s*['"]|new\s+Function\s*\(""", "Dynamic code execution", ("eval", "function")),
     Rule("AICFG_14", "high", _OBF, r"""(?i)(?:atob|Buffer\.from)\s*\(\s*['"][A-Za-z0-9+/=]{20,}""", "Base64 payload", ("atob", "buffer.from")),
     Rule("AICFG_15", "medium", _OBF, r"(?i)\\x[0-9a-fA-F]{2}(?:\\x[0-9a-fA-F]{2}){5,}", "Hex-encoded string", ("\\x",)),

@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 from siftlake.operators.advisories import OSV_SCHEMA
 from siftlake.operators.files import SOURCE_EXTENSIONS, classify, extension, outside_ignored_directories
 
-MAX_TEXT_BYTES = 5 * 1024 * 1024
-
 REGISTRY_SCHEMA = (
     "name STRING, `dist-tags` STRUCT<latest: STRING>, time MAP<STRING, STRING>, "
     "versions MAP<STRING, STRUCT<version: STRING, _npmUser: STRUCT<name: STRING>, scripts: MAP<STRING, STRING>, deprecated: STRING>>, "
@@ -26,11 +24,11 @@ EVENT_SCHEMA = (
 )
 
 
-def read_corpus(spark: SparkSession, path: str, extensions: tuple[str, ...] = SOURCE_EXTENSIONS, max_bytes: int | None = MAX_TEXT_BYTES) -> DataFrame:
+def read_corpus(spark: SparkSession, path: str, extensions: tuple[str, ...] = SOURCE_EXTENSIONS, max_bytes: int | None = None) -> DataFrame:
     """Files of a source tree: (file_id, path, text), classified by path and text.
 
-    Ignored directories are left out, and files above ``max_bytes`` are never read, since
-    the file source filters on its size column before it opens a file.
+    Ignored directories are left out.  There is no limit of size unless ``max_bytes`` is given; larger files then come
+    as rows with a null text and ``skipped`` true.
     """
     files = spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(
         F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("bytes"), F.col("value").alias("text"))
@@ -38,7 +36,8 @@ def read_corpus(spark: SparkSession, path: str, extensions: tuple[str, ...] = SO
     if extensions:
         kept = kept.filter(F.ltrim(extension(F.col("path")), F.lit(".")).isin(*extensions))
     if max_bytes is not None:
-        kept = kept.filter(F.col("bytes") <= max_bytes)
+        large = F.col("bytes") > max_bytes
+        kept = kept.withColumn("skipped", large).withColumn("text", F.when(~large, F.col("text")))
     return classify(kept.withColumn("file_id", F.xxhash64("path")))
 
 

@@ -47,38 +47,41 @@ def stream_bursts(versions: DataFrame, delay: str = WATERMARK) -> DataFrame:
 
 
 class ExactBursts(StatefulProcessor):
-    """Keeps the last publications of a package and reports each one that is the fifth within six hours.
+    """Reports each publication of a package that is the fifth, or later, within six hours, as soon as that is known.
 
-    Input that is late within the watermark is put in order inside the state; rows older
-    than the watermark are gone by then.
+    Publications stay in the state until the watermark has passed them by six hours, with whether they were reported:
+    a late row within the watermark can complete the burst of one that came before it.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.times = handle.getListState("times", "ts bigint")
+        self.times = handle.getListState("times", "ts bigint, told boolean")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        new = sorted(int(t.value // 1000) for pdf in rows for t in pdf["published_at"])
-        held = [row[0] for row in self.times.get()]
-        ordered = sorted(held + new)
-        fresh, found = list(new), []
-        for i, t in enumerate(ordered):
-            if fresh and t == fresh[0]:
-                fresh.pop(0)
-                if i >= BURST_SIZE - 1 and t - ordered[i - BURST_SIZE + 1] <= BURST_SECONDS * 1_000_000:
-                    found.append((key[0], pd.Timestamp(t, unit="us")))
-        # Rows before the newest by more than six hours can no longer complete a burst with later ones.
-        oldest = ordered[-1] - BURST_SECONDS * 1_000_000 if ordered else 0
-        self.times.put([(t,) for t in ordered if t >= oldest])
+        new = [(int(t.value // 1000), False) for pdf in rows for t in pdf["published_at"]]
+        # Of equal times those already reported come first.
+        held = sorted([(row[0], row[1]) for row in self.times.get()] + new, key=lambda x: (x[0], not x[1]))
+        kept, found = [], []
+        for i, (t, told) in enumerate(held):
+            if not told and i >= BURST_SIZE - 1 and t - held[i - BURST_SIZE + 1][0] <= BURST_SECONDS * 1_000_000:
+                found.append((key[0], pd.Timestamp(t, unit="us")))
+                told = True
+            kept.append((t, told))
+        closed = timerValues.getCurrentWatermarkInMs() * 1000 - BURST_SECONDS * 1_000_000
+        kept = [x for x in kept if x[0] >= closed]
+        if kept:
+            self.times.put(kept)
+        else:
+            self.times.clear()
         yield pd.DataFrame(found, columns=["package", "published_at"])
 
     def close(self) -> None:
         pass
 
 
-def stream_exact_bursts(versions: DataFrame) -> DataFrame:
-    """Exact bursts per package; needs the RocksDB state store."""
-    return versions.groupBy("package").transformWithStateInPandas(
-        statefulProcessor=ExactBursts(), outputStructType="package string, published_at timestamp", outputMode="Append", timeMode="None")
+def stream_exact_bursts(versions: DataFrame, delay: str = WATERMARK) -> DataFrame:
+    """Exact bursts per package; rows may be late by ``delay``.  Needs the RocksDB state store."""
+    return versions.withWatermark("published_at", delay).groupBy("package").transformWithStateInPandas(
+        statefulProcessor=ExactBursts(), outputStructType="package string, published_at timestamp", outputMode="Append", timeMode="EventTime")
 
 
 def stream_debounce(edits: DataFrame, delay: str = WATERMARK) -> DataFrame:
@@ -144,7 +147,7 @@ def start_fold(stream: DataFrame, snapshots: Snapshots, checkpoint: str, trigger
     """Fold reports into numbered snapshots; a repeated batch rewrites its own version."""
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        folded = reports.fold_reports(batch).withColumn("claimed", F.lit(False))
+        folded = reports.fold_reports(batch, with_order=True).withColumn("claimed", F.lit(False))
         snapshots.upsert(folded, batch_id, reports.merge_snapshots)
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(
@@ -153,13 +156,13 @@ def start_fold(stream: DataFrame, snapshots: Snapshots, checkpoint: str, trigger
 
 def start_consolidation(stream: DataFrame, packages: Snapshots, checkpoint: str, as_of: str = "current_timestamp()",
                         trigger: dict | None = None) -> StreamingQuery:
-    """Recount, confirm, decay and expire packages after each batch of reports, every 15 minutes by default."""
+    """Add each batch's reports to the packages' sums, then confirm, decay and expire, every 15 minutes by default.
+
+    Packages that a batch does not mention keep their counts; packages it is the first to mention are added as suspected.
+    """
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        stored = packages.read(before=batch_id)
-        if stored is None:
-            return
-        done = reports.consolidate(stored, batch, as_of)
+        done = reports.consolidate_batch(packages.read(before=batch_id), batch, as_of)
         packages.write(reports.expire_stale(reports.decay(done, as_of), as_of), batch_id)
 
     return stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Severity ranks.
@@ -19,6 +19,14 @@ ECOSYSTEM_SPELLINGS = {
 }
 
 
+def local_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A small built-in table as a local relation, whose size Spark knows when it plans a join."""
+    names = [f.split()[0] for f in schema.split(", ")]
+    casts = [f"CAST({f.split()[0]} AS {f.split()[1]}) AS {f.split()[0]}" for f in schema.split(", ")]
+    values = ", ".join("(" + ", ".join("NULL" if v is None else str(v) if isinstance(v, int) else "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'" for v in row) + ")" for row in rows)
+    return spark.sql(f"SELECT {', '.join(casts)} FROM VALUES {values} AS t({', '.join(names)})")
+
+
 def literal_map(values: dict) -> Column:
     return F.create_map(*[F.lit(x) for pair in values.items() for x in pair])
 

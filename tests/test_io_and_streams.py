@@ -12,13 +12,16 @@ from siftlake.sources import readers, sinks
 from siftlake.streaming import streams
 
 
-def test_read_corpus_leaves_out_directories_and_large_files(spark, tmp_path):
+def test_read_corpus_leaves_out_directories_and_no_file_by_size(spark, tmp_path):
     for name in ("src/a.js", "node_modules/x/b.js", ".git/c.py", "src/d.py", "src/e.txt"):
         (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / name).write_text("eval(x)\n")
-    (tmp_path / "src/big.py").write_text("x" * 500)
-    corpus = readers.read_corpus(spark, str(tmp_path), max_bytes=100)
-    assert {(os.path.basename(r.path), r.lang) for r in corpus.collect()} == {("a.js", "javascript"), ("d.py", "python")}
+    (tmp_path / "src/big.py").write_text("x" * (6 << 20))
+    corpus = readers.read_corpus(spark, str(tmp_path))
+    found = {(os.path.basename(r.path), r.lang, r.n) for r in corpus.withColumn("n", F.length("text")).drop("text").collect()}
+    assert found == {("a.js", "javascript", 8), ("d.py", "python", 8), ("big.py", "python", 6 << 20)}
+    limited = {os.path.basename(r.path): (r.skipped, r.text is None) for r in readers.read_corpus(spark, str(tmp_path), max_bytes=100).collect()}
+    assert limited == {"a.js": (False, False), "d.py": (False, False), "big.py": (True, True)}
 
 
 def test_read_registry_snapshot(spark, tmp_path):
@@ -51,7 +54,7 @@ def _reports(spark, n, offset=0):
 
 def test_snapshot_upsert_is_idempotent(spark, tmp_path):
     table = sinks.Snapshots(spark, str(tmp_path / "t"), ["ecosystem", "package_name"])
-    first, second = (reports.fold_reports(_reports(spark, 30, o)).withColumn("claimed", F.lit(False)) for o in (0, 30))
+    first, second = (reports.fold_reports(_reports(spark, 30, o), with_order=True).withColumn("claimed", F.lit(False)) for o in (0, 30))
     table.upsert(first, 0, reports.merge_snapshots)
     for _ in range(2):
         table.upsert(second, 1, reports.merge_snapshots)
