@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -84,26 +87,50 @@ def change_signals(changes: DataFrame) -> DataFrame:
         "*", f"least(1D, round({total}, 10)) AS confidence").selectExpr("*", f"confidence >= {GENERATED} AS is_generated")
 
 
+def _fold_regions(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Current regions of each file, from its regions in order of time; only the live ones of one file are held."""
+    columns = ["file_id", "start_line", "end_line", "source", "confidence", "signals"]
+    file, starts, live = None, [], []
+
+    def rows() -> pd.DataFrame:
+        return pd.DataFrame([(file, *r[:4], sorted(r[4])) for r in live], columns=columns)
+
+    for pdf in batches:
+        for row in pdf.itertuples(index=False):
+            if live and row.file_id != file:
+                yield rows()
+                starts, live = [], []
+            file, start, end = row.file_id, int(row.start_line), int(row.end_line)
+            new = [start, end, row.source, row.confidence, set(row.signals if row.signals is not None else ())]
+            # Live regions are disjoint and sorted: those that overlap the new one stand together.
+            first = bisect_left(starts, start)
+            first -= first > 0 and live[first - 1][1] >= start
+            last = bisect_right(starts, end)
+            # A neighbour of the same author joins the new region.
+            if first > 0 and live[first - 1][2] == row.source and live[first - 1][1] >= start - 1:
+                first -= 1
+                near = live[first]
+                new[0], new[3], new[4] = near[0], max(near[3], new[3]), near[4] | new[4]
+            if last < len(live) and live[last][2] == row.source and end >= live[last][0] - 1:
+                near = live[last]
+                new[1], new[3], new[4] = near[1], max(near[3], new[3]), near[4] | new[4]
+                last += 1
+            live[first:last], starts[first:last] = [new], [new[0]]
+    if live:
+        yield rows()
+
+
 def merge_regions(regions: DataFrame) -> DataFrame:
-    """Current regions of each file: a later region replaces those it touches, neighbours of one author join.
+    """Current regions of each file: a later region replaces those it touches, neighbours of one author join at once.
 
-    A region stands only if it is the last writer of every one of its lines, which an
-    aggregate per line decides without comparing regions in pairs.
+    What an earlier region has become depends on all before, so a file's regions are folded in order; files are sorted
+    streams, of which only the live regions are in memory.
     ``regions``: (file_id, region_id, start_line, end_line, source, confidence, signals, ts).
     """
-    order = F.struct("ts", "region_id")
-    lines = regions.select("file_id", "region_id", "ts", F.explode(F.sequence("start_line", "end_line")).alias("line"))
-    writers = lines.groupBy("file_id", "line").agg(F.max_by("region_id", order).alias("region_id"))
-    owned = writers.groupBy("file_id", "region_id").agg(F.count("*").alias("_owned"))
-    standing = regions.join(owned, ["file_id", "region_id"]).filter("_owned = end_line - start_line + 1")
-    # Standing regions do not overlap, so a file has at most as many as it has lines.
-    by_start = W.partitionBy("file_id").orderBy("start_line")
-    touching = (F.lag("source").over(by_start) == F.col("source")) & (F.lag("end_line").over(by_start) >= F.col("start_line") - 1)
-    islands = standing.withColumn("_new", F.when(F.coalesce(touching, F.lit(False)), 0).otherwise(1)).withColumn("_island", F.sum("_new").over(by_start))
-    return islands.groupBy("file_id", "_island").agg(
-        F.min("start_line").alias("start_line"), F.max("end_line").alias("end_line"), F.first("source").alias("source"),
-        F.max("confidence").alias("confidence"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("signals")))).alias("signals"),
-    ).drop("_island")
+    kinds = {f.name: f.dataType.simpleString() for f in regions.schema.fields}
+    schema = ", ".join(f"{c} {kinds[c]}" for c in ("file_id", "start_line", "end_line", "source", "confidence", "signals"))
+    ordered = regions.select("file_id", "start_line", "end_line", "source", "confidence", "signals", "ts", "region_id").repartition("file_id").sortWithinPartitions("file_id", "ts", "region_id")
+    return ordered.drop("ts", "region_id").mapInPandas(_fold_regions, schema)
 
 
 def attribute_findings(findings: DataFrame, regions: DataFrame) -> DataFrame:

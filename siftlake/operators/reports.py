@@ -138,7 +138,8 @@ def consolidate_batch(packages: DataFrame | None, batch: DataFrame, as_of: str)
     """Packages after one more batch of reports: sums by type add up, and status and confidence follow from them.
 
     ``packages`` is the result of the batch before, or (``KEYS``, status, verified_at, last_seen) with any of ``SUMS`` at the
-    beginning, or None.  Applied batch after batch it equals :func:`consolidate` over all reports.
+    beginning, or None.  Applied batch after batch, counts and confidence
+    equal those of :func:`consolidate` over all reports; a package confirmed on the way stays confirmed.
     """
     new = report_sums(batch)
     if packages is None:

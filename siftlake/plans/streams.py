@@ -150,6 +150,57 @@ def stream_typing_velocity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flags.groupBy("document_id").agg(F.count("*").alias("changes"), F.count_if("high_speed").alias("fast"))
 
 
+_EVENT_FILES = 4
+
+
+def _in_batches(spark: SparkSession, sf_dir: str, work: str, columns: list[str]) -> DataFrame:
+    """Events as a stream of several files, one micro-batch each, that are out of order: rows are dealt out by their ids."""
+    path = os.path.join(work, "in")
+    rows = table(spark, sf_dir, "events").selectExpr(*columns)
+    rows.repartition(_EVENT_FILES, F.expr("event_id % 4") if "event_id" in rows.columns else F.col(rows.columns[0])).write.parquet(path)
+    return with_zones(spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path))
+
+
+@plan(
+    "stream_exact_bursts",
+    f"""SELECT package, published_at FROM (SELECT package, published_at, ordinal, lag(published_at, 4) OVER (PARTITION BY package ORDER BY published_at, ordinal) AS fifth FROM ({EVENT_PUBLICATIONS.sql}))
+    WHERE published_at - fifth <= INTERVAL 6 HOURS""",
+    covers="L4 L12",
+)
+def stream_exact_bursts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every fifth publication within six hours, over several micro-batches whose rows are out of order."""
+    work = _workspace(spark)
+    published = _in_batches(spark, sf_dir, work, [*EVENT_PUBLICATIONS.columns, "event_id"]).drop("event_id")
+    # A list in the state needs the RocksDB store; the session's own choice is put back afterwards.
+    store = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(store)
+    spark.conf.set(store, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        found = _append(streams.stream_exact_bursts(published, "3650 days"), work)
+    finally:
+        spark.conf.set(store, before)
+    return _ntz(found, "published_at")
+
+
+@plan(
+    "stream_consolidate",
+    f"""WITH r AS (SELECT *, CASE event_id % 5 WHEN 4 THEN 'FALSE_POSITIVE' WHEN 3 THEN 'TYPOSQUAT' ELSE 'HALLUCINATION' END AS kind, CAST(event_id % 10 AS DOUBLE) / 10 AS conf FROM (SELECT event_id, {', '.join(REPORTS.columns)} FROM events)),
+    w AS (SELECT *, CASE kind WHEN 'HALLUCINATION' THEN 1.0 WHEN 'TYPOSQUAT' THEN 0.8 ELSE -1.0 END::DOUBLE AS w FROM r)
+    SELECT ecosystem, package_name, count(*) AS report_count, count(*) FILTER (WHERE kind = 'HALLUCINATION') AS hallucination_reports, count(*) FILTER (WHERE kind = 'FALSE_POSITIVE') AS false_positive_reports,
+        round(greatest(0, least(1, sum(conf * w) / sum(abs(w)))), 6) AS confidence, max(created_at) AS last_seen FROM w GROUP BY ALL""",
+    covers="F11 L11",
+)
+def stream_consolidate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reports that arrive in several micro-batches, added up package by package."""
+    work = _workspace(spark)
+    incoming = _in_batches(spark, sf_dir, work, ["event_id", *REPORTS.columns]).withColumn(
+        "report_type", F.expr("CASE event_id % 5 WHEN 4 THEN 'FALSE_POSITIVE' WHEN 3 THEN 'TYPOSQUAT' ELSE 'HALLUCINATION' END")).withColumn("confidence", F.expr("CAST(event_id % 10 AS DOUBLE) / 10"))
+    packages = Snapshots(spark, os.path.join(work, "packages"), ["ecosystem", "package_name"])
+    streams.start_consolidation(incoming, packages, os.path.join(work, "checkpoint"), "TIMESTAMP '2000-01-01'", {"availableNow": True}).awaitTermination()
+    done = packages.read().select("ecosystem", "package_name", "report_count", "hallucination_reports", "false_positive_reports", F.round("confidence", 6).alias("confidence"), "last_seen")
+    return _ntz(done, "last_seen")
+
+
 @plan("batch_daily_counts", f"SELECT CAST(created_at AS DATE) AS day, event_type, count(*) AS events FROM ({TELEMETRY.sql}) GROUP BY ALL", covers="K22")
 def batch_daily_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = TELEMETRY.frame(spark, sf_dir)

@@ -351,11 +351,17 @@ _REGIONS = ("event_id AS region_id", "user_id % 60 AS file_id", "CAST(floor(valu
 
 @plan(
     "merge_regions",
-    f"""WITH r AS (SELECT {', '.join(_REGIONS)} FROM events), s AS (SELECT * FROM r a WHERE NOT EXISTS (SELECT 1 FROM r b WHERE b.file_id = a.file_id
-        AND (b.ts, b.region_id) > (a.ts, a.region_id) AND b.start_line <= a.end_line AND b.end_line >= a.start_line)),
-    l AS (SELECT *, CASE WHEN lag(source) OVER w = source AND lag(end_line) OVER w >= start_line - 1 THEN 0 ELSE 1 END AS fresh FROM s WINDOW w AS (PARTITION BY file_id ORDER BY start_line)),
-    i AS (SELECT *, sum(fresh) OVER (PARTITION BY file_id ORDER BY start_line) AS island FROM l)
-    SELECT file_id, min(start_line) AS start_line, max(end_line) AS end_line, any_value(source) AS source, max(confidence) AS confidence FROM i GROUP BY file_id, island""",
+    # Each file's regions are folded in order: what overlaps the new one goes, a touching neighbour of its author joins it.
+    f"""WITH r AS (SELECT {', '.join(_REGIONS)} FROM events),
+    o AS (SELECT file_id, list([struct_pack(s := start_line, e := end_line, a := source, c := confidence)] ORDER BY ts, region_id) AS rs FROM r GROUP BY file_id),
+    m AS (SELECT file_id, list_reduce(rs, lambda acc, x: list_concat(
+        list_filter(acc, lambda l: (l.e < x[1].s OR l.s > x[1].e) AND NOT (l.a = x[1].a AND (l.e = x[1].s - 1 OR l.s = x[1].e + 1))),
+        [struct_pack(
+            s := least(x[1].s, coalesce(list_min(list_transform(list_filter(acc, lambda l: l.a = x[1].a AND l.e = x[1].s - 1), lambda l: l.s)), x[1].s)),
+            e := greatest(x[1].e, coalesce(list_max(list_transform(list_filter(acc, lambda l: l.a = x[1].a AND l.s = x[1].e + 1), lambda l: l.e)), x[1].e)),
+            a := x[1].a,
+            c := greatest(x[1].c, coalesce(list_max(list_transform(list_filter(acc, lambda l: l.a = x[1].a AND (l.e = x[1].s - 1 OR l.s = x[1].e + 1)), lambda l: l.c)), 0)))])) AS rs FROM o)
+    SELECT file_id, g.s AS start_line, g.e AS end_line, g.a AS source, g.c AS confidence FROM (SELECT file_id, unnest(rs) AS g FROM m)""",
     covers="J10",
 )
 def merge_regions(spark: SparkSession, sf_dir: str) -> DataFrame:

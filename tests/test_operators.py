@@ -219,3 +219,43 @@ def test_change_signals(spark):
     rows = [(1, "a\nb\nc"), (2, "x"), (3, "y" * 80 + "\n" + "z" * 30), (4, "import a\nimport b")]
     got = {r.i: set(r.signals) for r in attribution.change_signals(spark.createDataFrame(rows, "i int, text string")).collect()}
     assert got == {1: {"burst-insertion"}, 2: set(), 3: {"multi-line-single-event", "paste-detected"}, 4: {"import-heavy"}}
+
+
+def test_regions_are_folded_in_order(spark):
+    """Neighbours joined before a later write go with the region they became; a later write replaces all it touches."""
+    rows = [(1, 1, 1, 5, "ai", 0.5, ["a"], 1), (1, 2, 6, 10, "ai", 0.9, ["b"], 2), (1, 3, 8, 12, "human", 0.1, None, 3), (2, 4, 1, 5, "ai", 0.5, ["a"], 1), (2, 5, 6, 10, "ai", 0.9, ["b"], 2),
+            (None, 6, 3, 3, "human", 0.2, ["c"], 1), (2, 7, 20, 21, "human", 0.3, ["a"], 3), (2, 8, 11, 11, "ai", 0.2, ["b"], 4)]
+    df = spark.createDataFrame(rows, "file_id long, region_id long, start_line int, end_line int, source string, confidence double, signals array<string>, ts long")
+    got = {(r.file_id, r.start_line, r.end_line, r.source, r.confidence, tuple(r.signals)) for r in attribution.merge_regions(df).collect()}
+    assert got == {(1, 8, 12, "human", 0.1, ()), (2, 1, 11, "ai", 0.9, ("a", "b")), (2, 20, 21, "human", 0.3, ("a",)), (None, 3, 3, "human", 0.2, ("c",))}
+    assert attribution.merge_regions(df.limit(0)).collect() == []
+
+
+def test_snapshot_merge_is_a_fold_in_any_order(spark):
+    r = random.Random(3)
+    rows = [("npm", f"p{r.randrange(6)}", bool(r.randrange(2)), f"2024-01-{r.randrange(1, 28):02d} 00:00:00", i, *[r.choice([None, "x", "y", "z"]) for _ in range(4)]) for i in range(200)]
+    df = spark.createDataFrame(rows, "ecosystem string, package_name string, confirmed_nonexistent boolean, t string, report_id long, model string, ide string, agent string, interaction string").withColumn("created_at", F.col("t").cast("timestamp"))
+    for policy in ("first", "last"):
+        parts = [reports.fold_reports(df.filter(F.col("report_id") % 3 == k), policy, True).withColumn("claimed", F.lit(False)) for k in (2, 0, 1)]
+        merged = reports.merge_snapshots(reports.merge_snapshots(parts[0], parts[1], policy), parts[2], policy)
+        whole = reports.fold_reports(df, policy)
+        keep = ["ecosystem", "package_name", "report_count", "first_seen", "last_seen", "confirmed", *reports.DESCRIPTIVE, "risk_score"]
+        assert sorted(map(str, merged.select(*keep).collect())) == sorted(map(str, whole.select(*keep).collect()))
+
+
+def test_consolidation_adds_batches_up(spark):
+    r = random.Random(4)
+    rows = [("npm", f"p{r.randrange(8)}", r.choice(["HALLUCINATION", "HALLUCINATION", "FALSE_POSITIVE", "TYPOSQUAT"]), r.choice([0.5, 0.9]), "2024-03-01 00:00:00") for _ in range(90)]
+    df = spark.createDataFrame(rows, "ecosystem string, package_name string, report_type string, confidence double, t string").withColumn("created_at", F.col("t").cast("timestamp")).withColumn("n", F.monotonically_increasing_id())
+    stored = spark.sql("SELECT 'npm' AS ecosystem, 'old' AS package_name, 'CONFIRMED' AS status, TIMESTAMP '2024-01-01' AS verified_at, TIMESTAMP '2024-01-01' AS last_seen, 900L AS report_count, 800L AS hallucination_reports, 0L AS false_positive_reports, 700D AS confidence_sum, 900D AS weight_sum")
+    as_of = "TIMESTAMP '2024-03-02'"
+    step = stored
+    for k in range(3):
+        step = reports.consolidate_batch(step, df.filter(F.col("n") % 3 == k), as_of)
+    got = {x.package_name: (x.report_count, x.status, round(x.confidence, 9)) for x in step.collect()}
+    assert got.pop("old") == (900, "CONFIRMED", round(700 / 900, 9))
+    base = df.select("ecosystem", "package_name").distinct().selectExpr("*", "'SUSPECTED' AS status", "CAST(NULL AS TIMESTAMP) AS verified_at", "TIMESTAMP '2024-03-01' AS last_seen", "0 AS report_count")
+    want = {x.package_name: (x.report_count, x.status, round(x.confidence, 9)) for x in reports.consolidate(base, df, as_of).collect()}
+    assert {k: (v[0], v[2]) for k, v in got.items()} == {k: (v[0], v[2]) for k, v in want.items()}
+    assert all(got[k][1] == "CONFIRMED" for k, v in want.items() if v[1] == "CONFIRMED")
+    assert {x.package_name for x in reports.consolidate_batch(None, df, as_of).collect()} == set(got)
