@@ -18,24 +18,28 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftlake.llm.shared import table, unit_interval
+from siftlake.llm.shingles import slices, text_bytes
 
 BUCKETS = 1 << 16
 
 
-def trigrams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(bucket of each three bytes of lower-cased text in a row, text each belongs to); no trigram crosses texts or has a digit or ASCII mark."""
-    texts = pc.utf8_lower(pc.fill_null(texts.cast(pa.large_string()), ""))
-    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset:texts.offset + len(texts) + 1]
-    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0]:offsets[-1]] if len(texts) else np.zeros(0, np.uint8)
-    if len(data) < 3:
-        return np.zeros(0, np.uint16), np.zeros(0, np.int64)
-    letter = (data >= 97) & (data <= 122) | (data >= 128)
-    plain = np.where(letter, data, 32).astype(np.uint32)
-    code = plain[:-2] << 16 | plain[1:-1] << 8 | plain[2:]
-    bucket = (code * np.uint32(2654435761) >> np.uint32(16)).astype(np.uint16)
-    owner = np.repeat(np.arange(len(texts)), np.diff(offsets))
-    keep = (owner[:-2] == owner[2:]) & letter[1:-1]
-    return bucket[keep], owner[:-2][keep]
+def trigrams(texts: pa.Array, step: int = 2 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(bucket of each three bytes of lower-cased text in a row, text each belongs to), for about ``step`` bytes of text at a time.
+
+    No trigram crosses texts, and its middle byte belongs to a letter; digits and ASCII marks count as spaces.
+    """
+    data, offsets = text_bytes(pc.utf8_lower(pc.fill_null(texts.cast(pa.large_string()), "")))
+    for a, b in slices(offsets, step):
+        part = data[offsets[a]:offsets[b]]
+        if len(part) < 3:
+            continue
+        letter = (part >= 97) & (part <= 122) | (part >= 128)
+        plain = np.where(letter, part, np.uint8(32)).astype(np.uint32)
+        code = plain[:-2] << np.uint32(16) | plain[1:-1] << np.uint32(8) | plain[2:]
+        bucket = (code * np.uint32(2654435761) >> np.uint32(16)).astype(np.uint16)
+        owner = np.repeat(np.arange(a, b, dtype=np.int32), np.diff(offsets[a:b + 1]))
+        keep = (owner[:-2] == owner[2:]) & letter[1:-1]
+        yield bucket[keep], owner[:-2][keep]
 
 
 @dataclass(frozen=True)
@@ -49,9 +53,14 @@ class TextModel:
 
     def scores(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(log likelihoods, texts x languages; number of trigrams of each text)."""
-        bucket, owner = trigrams(texts)
-        n = np.bincount(owner, minlength=len(texts))
-        sums = np.column_stack([np.bincount(owner, self.weights[:, k][bucket], minlength=len(texts)) for k in range(len(self.languages))]) if self.languages else np.zeros((len(texts), 0))
+        sums, n = np.zeros((len(texts), len(self.languages))), np.zeros(len(texts), np.int64)
+        for bucket, owner in trigrams(texts):
+            if len(owner):
+                first = int(owner[0])
+                at, size = owner - first, int(owner[-1]) - first + 1
+                n[first:first + size] += np.bincount(at, minlength=size)
+                for k in range(len(self.languages)):
+                    sums[first:first + size, k] += np.bincount(at, self.weights[:, k][bucket], minlength=size)
         return sums * np.minimum(1, self.certain / np.maximum(n, 1))[:, None], n
 
 
@@ -65,10 +74,9 @@ def learn_text_model(docs: DataFrame, lang_col: str = "lang", text_col: str = "t
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
             langs = np.asarray(batch.column("lang").to_pylist(), object)
-            bucket, owner = trigrams(batch.column("text"))
-            for lang in set(langs):
-                own = bucket[langs[owner] == lang] if len(bucket) else bucket
-                sums[lang] = sums.get(lang, 0) + np.bincount(own, minlength=BUCKETS)
+            for bucket, owner in trigrams(batch.column("text")):
+                for lang in set(langs[owner[0]:owner[-1] + 1]) if len(owner) else ():
+                    sums[lang] = sums.get(lang, 0) + np.bincount(bucket[langs[owner] == lang], minlength=BUCKETS)
         for lang, total in sums.items():
             at = np.flatnonzero(total)
             yield pa.RecordBatch.from_pydict({"lang": [lang] * len(at), "b": pa.array(at, pa.int32()), "n": pa.array(total[at], pa.int64())})
