@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from siftlake.operators.scan import _guard, _hits, may_match, quote, strip, to_lines
 from siftlake.rules.flow import (
-    ARROW_PARAMS, ASSIGNMENT, DESTRUCTURE, ES_IMPORT, EXPORTED, FUNCTION_PARAMS, PYTHON_IMPORT, REQUIRE_IMPORT, SINKS, SOURCES,
+    ARROW_PARAMS, ASSIGNMENT, DESTRUCTURE, ES_IMPORT, FUNCTION_PARAMS, PYTHON_IMPORT, REQUIRE_IMPORT, SINKS, SOURCES,
 )
 from siftlake.session import checkpointed
 
@@ -20,10 +20,13 @@ from siftlake.session import checkpointed
 IMPORT_ENDINGS = (".ts", ".tsx", ".js", ".jsx", ".py", "", "/index.ts", "/index.js")
 
 
-def _pieces(text: str) -> str:
-    """SQL text of all distinct substrings of the words of a text."""
-    return (f"array_distinct(flatten(transform(regexp_extract_all({text}, '\\\\w+', 0), w -> flatten(transform("
-            "sequence(1, length(w)), i -> transform(sequence(1, length(w) - i + 1), n -> substring(w, i, n)))))))")
+def _mentioned(lines: DataFrame, text: str, variables: DataFrame) -> DataFrame:
+    """Lines with each tainted variable of their file that a word of ``text`` contains.
+
+    Files are matched by equality and the name by a search in the line, so a long word costs no more rows.
+    """
+    named = variables.filter("var RLIKE '^\\\\w+$'").withColumnRenamed("file_id", "_file")
+    return lines.join(named, (F.col("file_id") == F.col("_file")) & F.contains(F.col(text), F.col("var"))).drop("_file")
 
 
 def _code_lines(corpus: DataFrame, family) -> DataFrame:
@@ -71,11 +74,11 @@ def propagate(seeds: DataFrame, assigned: DataFrame, max_rounds: int | None = No
     assignments; ``max_rounds`` stops earlier.
     """
     relevant = assigned.join(seeds.select("file_id").distinct(), "file_id", "left_semi")
-    uses = checkpointed(relevant.select("file_id", "target", F.explode(F.expr(_pieces("rhs"))).alias("var")).distinct())
+    uses = checkpointed(relevant)
     known = checkpointed(seeds)
     frontier, done = known, 0
     while max_rounds is None or done < max_rounds:
-        reached = uses.join(frontier, ["file_id", "var"]).groupBy("file_id", "target").agg(
+        reached = _mentioned(uses, "rhs", frontier).groupBy("file_id", "target").agg(
             F.min_by(F.struct("source_line", "category"), F.struct("source_line", "category")).alias("_s"))
         fresh = reached.select("file_id", F.col("target").alias("var"), "_s.source_line", "_s.category").join(
             known.select("file_id", "var"), ["file_id", "var"], "left_anti")
@@ -90,9 +93,8 @@ def propagate(seeds: DataFrame, assigned: DataFrame, max_rounds: int | None = No
 
 def local_flows(tainted: DataFrame, found_sinks: DataFrame) -> DataFrame:
     """Sink lines that mention a tainted variable of their file."""
-    uses = found_sinks.join(tainted.select("file_id").distinct(), "file_id", "left_semi").select(
-        "file_id", "line_no", "operation", "severity", F.col("category").alias("sink_category"), F.explode(F.expr(_pieces("line"))).alias("var"))
-    return uses.join(tainted, ["file_id", "var"]).select(
+    uses = found_sinks.select("file_id", "line_no", "line", "operation", "severity", F.col("category").alias("sink_category"))
+    return _mentioned(uses, "line", tainted).select(
         F.lit("local").alias("kind"), F.col("file_id").alias("source_file"), "source_line", F.col("category").alias("source_category"),
         F.col("file_id").alias("sink_file"), F.col("line_no").alias("sink_line"), "operation", "sink_category", "severity", "var")
 
@@ -107,12 +109,6 @@ def functions_defined(corpus: DataFrame) -> DataFrame:
         f"filter(transform(split(regexp_extract(trimmed, {shape}, 2), ','), p -> trim(split(split(trim(p), ':')[0], '=')[0])), p -> p <> '') AS params")
 
 
-def exported_names(corpus: DataFrame) -> DataFrame:
-    lines = _code_lines(corpus.filter("contains(text, 'export')"), SOURCES)
-    return lines.filter(f"trimmed RLIKE {quote(EXPORTED)}").selectExpr(
-        "file_id", "line_no", f"regexp_extract(trimmed, {quote(EXPORTED)}, 1) AS name")
-
-
 def _resolved(path: str) -> str:
     """SQL text of a path without ``.`` and ``..``."""
     return (f"array_join(aggregate(split({path}, '/'), CAST(array() AS ARRAY<STRING>), (done, part) -> "

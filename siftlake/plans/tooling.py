@@ -294,7 +294,7 @@ def tainted_variables(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @plan(
     "taint_local",
-    """SELECT c_custkey * 3 + n AS sink_file, sink_line, operation, var FROM customer CROSS JOIN (VALUES (1, 5, 'Raw SQL query', 'two')) v(n, sink_line, operation, var)""",
+    """SELECT c_custkey * 3 + n AS sink_file, sink_line, operation, var FROM customer CROSS JOIN (VALUES (1, 5, 'Unescaped statement', 'two')) v(n, sink_line, operation, var)""",
     covers="M1 M4",
 )
 def taint_local(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from siftlake.operators import (
-    attribution, history, intel, licenses, policy, reports, scoring, sequences, similarity, telemetry,
+    attribution, history, intel, licenses, policy, reports, scoring, sequences, similarity, taint, telemetry,
 )
 
 DAY = dt.timedelta(days=1)
@@ -259,3 +259,20 @@ def test_consolidation_adds_batches_up(spark):
     assert {k: (v[0], v[2]) for k, v in got.items()} == {k: (v[0], v[2]) for k, v in want.items()}
     assert all(got[k][1] == "CONFIRMED" for k, v in want.items() if v[1] == "CONFIRMED")
     assert {x.package_name for x in reports.consolidate_batch(None, df, as_of).collect()} == set(got)
+
+
+def test_taint_takes_long_words(spark):
+    """A minified word of twenty thousand characters neither grows the rows nor hides a name in it."""
+    long = "x" * 20_000 + "secret_q" + "y" * 20_000
+    rows = [(1, "javascript", "p", "a.js", f"const secret_q = req.query.id\nconst other = {long}\ndb.raw({long}); \ndb.raw(other)\n")]
+    corpus = spark.createDataFrame(rows, "file_id long, lang string, project string, path string, text string")
+    flows = {(r.sink_line, r["var"]) for r in taint.analyze(corpus).collect()}
+    assert (3, "secret_q") in flows and (4, "other") in flows
+
+
+@pytest.mark.parametrize("name", ["namespace_confusion", "nearest_popular", "mcp_cve_matches", "agent_leaderboard"])
+def test_built_in_tables_have_a_known_size(spark, name):
+    from siftlake.plans import PLANS
+
+    plan = PLANS[name].run(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "ExistingRDD" not in plan
