@@ -21,18 +21,23 @@ _FINE = 1 << 14
 SENTENCE, PARAGRAPH = r"[.,;:!?\n\r]+\s*", r"[\n\r]+"
 
 
+def _hashes() -> list[Column]:
+    """Hashes of an element (sentence, paragraph), 0 for what it lacks, which adds nothing to any sum."""
+    def of(c: str, seed: int, name: str) -> Column:
+        return F.when(F.col(c).isNotNull(), F.xxhash64(F.col(c), F.lit(seed))).otherwise(F.lit(0)).alias(name)
+
+    return [F.col("sentence").isNotNull().cast("long").alias("one"), of("sentence", 0, "h0"), of("sentence", 1, "h1"), of("paragraph", 100, "p0"), of("paragraph", 101, "p1")]
+
+
 def _sums() -> list[Column]:
-    """Sums over the elements (sentence, paragraph) of a group.  Two components share a long, 31 bits apart, which no text can overflow."""
-    out = [F.count("sentence").alias("n")]
+    """Sums over the elements of a group.  Two components share a long, 31 bits apart, which no text can overflow."""
+    out = [F.sum("one").alias("n")]
     for half in (0, 1):
-        h = F.xxhash64(F.col("sentence"), F.lit(half))
-        out += [F.sum(F.when(F.col("sentence").isNotNull(), F.shiftrightunsigned(h, i).bitwiseAND(F.lit(_PAIR))).otherwise(F.lit(0))).alias(f"v{half}_{i}") for i in range(31)]
+        h = F.col(f"h{half}")
+        out += [F.sum(F.shiftrightunsigned(h, i).bitwiseAND(F.lit(_PAIR))).alias(f"v{half}_{i}") for i in range(31)]
         # The bits that the 31 shifts leave out.
-        out += [F.sum(F.when(F.col("sentence").isNotNull(), F.shiftrightunsigned(h, 62).bitwiseAND(F.lit(1)) + F.shiftleft(F.shiftrightunsigned(h, 63), 31)).otherwise(F.lit(0))).alias(f"v{half}_31")]
-    for i in range(4):
-        h = F.xxhash64(F.col("paragraph"), F.lit(100 + i // 2))
-        out.append(F.sum(F.when(F.col("paragraph").isNotNull(), F.shiftrightunsigned(h, 32 * (i % 2)).bitwiseAND(F.lit(0xFFFFFFFF))).otherwise(F.lit(0))).alias(f"e{i}"))
-    return out
+        out.append(F.sum(F.shiftrightunsigned(h, 62).bitwiseAND(F.lit(1)) + F.shiftleft(F.shiftrightunsigned(h, 63), 31)).alias(f"v{half}_31"))
+    return out + [F.sum(F.shiftrightunsigned(F.col(f"p{i // 2}"), 32 * (i % 2)).bitwiseAND(F.lit(0xFFFFFFFF))).alias(f"e{i}") for i in range(4)]
 
 
 def _packed() -> Column:
@@ -55,7 +60,7 @@ def fingerprint_elements(rows: DataFrame, keys: list[str], text: str) -> DataFra
     elements = paragraphs.select(*keys, F.when(F.col("paragraph") != "", F.col("paragraph")).alias("paragraph")).select(
         *keys, "paragraph", F.posexplode_outer(F.split(F.col("paragraph"), SENTENCE)).alias("i", "sentence"))
     elements = elements.select(*keys, F.when(F.coalesce("i", F.lit(0)) == 0, F.col("paragraph")).alias("paragraph"), F.when(F.trim("sentence") != "", F.col("sentence")).alias("sentence"))
-    return elements.groupBy(*keys).agg(*_sums()).select(*keys, _packed().alias("fp"))
+    return elements.select(*keys, *_hashes()).groupBy(*keys).agg(*_sums()).select(*keys, _packed().alias("fp"))
 
 
 def _numbers(fp: Column, first: int, count: int, digits: int) -> Column:
