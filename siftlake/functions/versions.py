@@ -32,15 +32,6 @@ def major(version: str) -> str:
     return f"coalesce(try_cast(regexp_extract({version}, '^v?([0-9]+)', 1) AS BIGINT), CAST(0 AS BIGINT))"
 
 
-def in_range(version: str, introduced: str, fixed: str, parts: int = 4) -> str:
-    """Version at or after ``introduced`` and before ``fixed``; an absent bound does not bind."""
-    v = version_key(version, parts)
-    return (
-        f"({introduced} IS NULL OR {introduced} = '0' OR {v} >= {version_key(introduced, parts)}) "
-        f"AND ({fixed} IS NULL OR {v} < {version_key(fixed, parts)})"
-    )
-
-
 def satisfies(version: str, bound: str) -> str:
     """Simple range such as ``<1.2.3``; a range of another shape is taken to hold, and so is an unknown version."""
     target = f"regexp_extract({bound}, '^(?:<=|<|>=|>|==|=)?\\\\s*([0-9]+[.][0-9]+[.][0-9]+)', 1)"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftlake.functions.versions import in_range, version_key
+from siftlake.functions.versions import version_key
 from siftlake.operators.scan import quote
 from siftlake.vocab import normalize_ecosystem, severity_label, severity_rank
 
@@ -134,12 +134,14 @@ def vulnerable_packages(refs: DataFrame, vulnerabilities: DataFrame) -> DataFram
     """
     left = refs.filter("version IS NOT NULL").withColumn("_name", F.lower("name"))
     right = vulnerabilities.select(
-        "ecosystem", F.lower("package_name").alias("_name"), "vuln_id", "severity", "introduced", "fixed_version"
-    )
-    joined = left.join(right, ["ecosystem", "_name"])
-    return joined.filter(in_range("version", "introduced", "fixed_version")).select(
-        *refs.columns, "vuln_id", "severity", "fixed_version"
+        "ecosystem", F.lower("package_name").alias("_name"), "vuln_id", "severity", "fixed_version",
+        F.expr(f"IF(introduced IS NULL OR introduced = '0', NULL, {version_key('introduced')})").alias("_from"),
+        F.expr(f"IF(fixed_version IS NULL, NULL, {version_key('fixed_version')})").alias("_to"),
     )
+    # A version of a package is keyed and compared once, however many references it has.
+    versions = left.select("ecosystem", "_name", "version").distinct().withColumn("_key", F.expr(version_key("version")))
+    hits = versions.join(right, ["ecosystem", "_name"]).filter("(_from IS NULL OR _key >= _from) AND (_to IS NULL OR _key < _to)").drop("_key", "_from", "_to")
+    return left.join(hits, ["ecosystem", "_name", "version"]).select(*refs.columns, "vuln_id", "severity", "fixed_version")
 
 
 def highest_severity(vulnerabilities: DataFrame, keys: list[str]) -> DataFrame:
@@ -201,9 +203,3 @@ def patch_plan(packages: DataFrame, vulnerabilities: DataFrame) -> DataFrame:
         "*", F.expr(f"IF(total_vulnerabilities > 0, {patch_command('name', target, 'ecosystem')}, NULL)").alias("patch_command"),
         F.expr(action).alias("recommended_action"),
     )
-
-
-def advisory_severity(score: Column) -> Column:
-    """Severity of a numeric CVSS score."""
-    return (F.when(score >= 9, "critical").when(score >= 7, "high").when(score >= 4, "medium")
-            .when(score > 0, "low").otherwise("unknown"))

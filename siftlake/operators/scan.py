@@ -12,7 +12,6 @@ filters, each implied by the rules, cut the regular-expression work:
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -271,10 +270,6 @@ def scan_package_scripts(corpus: DataFrame, text: str = "text") -> DataFrame:
     return scan(scripts, CRYPTOJACK, text="command").withColumn("severity", escalate(F.col("severity")))
 
 
-def union_findings(first: DataFrame, *others: DataFrame) -> DataFrame:
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), others, first)
-
-
 def merge_detectors(primary: DataFrame, secondary: DataFrame, keys: Sequence[str] = ("file_id", "line_no")) -> DataFrame:
     """Primary findings, plus the secondary ones that no primary finding on the same line already names.
 

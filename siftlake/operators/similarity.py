@@ -156,7 +156,10 @@ def nearest_popular(names: DataFrame, targets: DataFrame) -> DataFrame:
     known = targets.withColumn("_target_low", F.lower("target"))
     listed = known.select("ecosystem", F.col("_target_low").alias("_low")).distinct()
     fresh = low.join(listed, ["ecosystem", "_low"], "left_anti")
-    pairs = edit_candidates(fresh, known, ["ecosystem"]).withColumn(
+    # A name longer than the longest target by more than two has none within two edits.
+    longest = known.groupBy("ecosystem").agg(F.max(F.length("_target_low")).alias("_longest"))
+    short = fresh.join(longest, "ecosystem").filter("length(_low) <= _longest + 2").drop("_longest")
+    pairs = edit_candidates(short, known, ["ecosystem"]).withColumn(
         "distance", F.expr("levenshtein(_low, _target_low, 2)")
     )
     best = pairs.filter("distance > 0").groupBy("ecosystem", "name").agg(
@@ -226,9 +229,10 @@ def _sql_map(values: dict[str, str]) -> str:
 
 def similarity_signals(pairs: DataFrame) -> DataFrame:
     """Adds the list of signals of every (name, target) pair, with both edit distances."""
-    measured = pairs.withColumn("_lev", F.levenshtein("_low", "_target_low")).withColumn(
-        "_osa", osa_distance("_low", "_target_low")
-    )
+    # Up to one edit both distances agree, so only the other pairs are measured in Python.
+    lev = pairs.withColumn("_lev", F.levenshtein("_low", "_target_low"))
+    measured = lev.filter("_lev <= 1").withColumn("_osa", F.col("_lev")).unionByName(
+        lev.filter("_lev > 1").withColumn("_osa", osa_distance("_low", "_target_low")))
     chars = "zip_with(split(_low, ''), split(_target_low, ''), (a, b) -> named_struct('a', a, 'b', b))"
     differing = f"filter({chars}, c -> c.a <> c.b)"
     near = f"coalesce(try_element_at({_sql_map(KEYBOARD)}, c.a), '')"

@@ -153,19 +153,19 @@ WILDCARD_SALTS = 32
 def match_subscriptions(events: DataFrame, subscriptions: DataFrame, key: str = "event_id") -> DataFrame:
     """Events with every enabled subscription that asks for their type or for all types.
 
-    Both kinds become one equality join.  Subscriptions to all types meet the events under a
-    salted key, so that no single key holds every event.
+    Both kinds become one equality join under salted keys: event types are few, so neither one type nor the
+    wildcard is a key that holds a large share of the events.
     """
     salt = F.pmod(F.xxhash64(key), F.lit(WILDCARD_SALTS)).cast("int")
     left = events.select("*", F.explode(F.array(
-        F.struct(F.lit("type").alias("k"), F.col("event_type").alias("v"), F.lit(0).alias("s")),
+        F.struct(F.lit("type").alias("k"), F.col("event_type").alias("v"), salt.alias("s")),
         F.struct(F.lit("any").alias("k"), F.lit("").alias("v"), salt.alias("s")),
     )).alias("_key"))
     enabled = subscriptions.filter("enabled").select(
         F.col("id").alias("subscription_id"), F.col("type").alias("channel"), "url", "project_key", "issue_type", "events"
     )
     exact = enabled.filter("size(events) > 0").withColumn(
-        "_key", F.expr("explode(transform(array_distinct(events), e -> named_struct('k', 'type', 'v', e, 's', 0)))"))
+        "_key", F.expr(f"explode(flatten(transform(array_distinct(events), e -> transform(sequence(0, {WILDCARD_SALTS - 1}), i -> named_struct('k', 'type', 'v', e, 's', i)))))"))
     every = enabled.filter("size(events) = 0").withColumn("_key", F.expr(
         f"explode(transform(sequence(0, {WILDCARD_SALTS - 1}), i -> named_struct('k', 'any', 'v', '', 's', i)))"))
     return left.join(exact.unionByName(every), "_key").drop("_key", "events")

@@ -79,9 +79,3 @@ def check(rules: tuple[Rule, ...]) -> tuple[Rule, ...]:
 SLASH_HASH_STAR = r"^\s*(?://|#|\*|/\*)"
 SLASH_HASH_STAR_ONLY = r"^\s*(?://|#|\*)"
 HASH_SLASH = r"^\s*(?:#|//)"
-
-_FLAG = re.compile(r"^\(\?i\)")
-
-
-def ignores_case(rule: Rule) -> bool:
-    return bool(_FLAG.match(rule.pattern))

@@ -52,25 +52,6 @@ def normalize_ecosystem(col: Column) -> Column:
     return F.coalesce(F.try_element_at(literal_map(ECOSYSTEM_SPELLINGS), low), low)
 
 
-def package_key(ecosystem: Column, name: Column) -> Column:
-    return F.concat_ws(":", normalize_ecosystem(ecosystem), F.lower(name))
-
-
-def normalize_risk(col: Column) -> Column:
-    """Three scales meet in one column; values above one are percentages."""
-    return F.when(col > 1, col / 100.0).otherwise(col)
-
-
-def cvss_severity(score: Column) -> Column:
-    return (
-        F.when(score >= 9, "critical").when(score >= 7, "high").when(score >= 4, "medium").when(score > 0, "low")
-    )
-
-
-def clamp(col: Column, low, high) -> Column:
-    return F.greatest(F.lit(low), F.least(F.lit(high), col))
-
-
 def kept(*conditions_and_values) -> Column:
     """Array of the values whose condition holds: ``kept((cond, value), ...)``."""
     return F.array_compact(F.array(*[F.when(c, v) for c, v in conditions_and_values]))
