@@ -33,21 +33,26 @@ def read_unified_diff(diffs: DataFrame, column: str = "diff") -> DataFrame:
     return numbered.filter(F.col("op").isin("+", "-")).select(*keys, "op", "line_no", F.substring("_line", 2, 2**31 - 1).alias("text"))
 
 
-def _hits(lines: DataFrame, op: str, family, keys: list[str]) -> DataFrame:
-    chosen = lines.filter(F.col("op") == op).select(*keys, F.col("line_no").alias("at"), "text")
-    return scan(chosen, family).select(*keys, F.col("at").alias("line_no"), "rule_id", "severity", "category")
+def _rule_changes(lines: DataFrame, keys: list[str], *families) -> DataFrame:
+    """Hits of regression rules in one scan: removed safeguards that no added line nearby still has, and unsafe additions.
 
+    An added line vouches for the lines around it: it is repeated for each of them, so that one aggregate by place
+    settles which removals stand.
+    """
+    found = scan(lines.select(*keys, "op", F.col("line_no").alias("at"), "text"), *families)
+    vouches = (F.col("family") == REMOVED.name) & (F.col("op") == "+")
+    counts = F.when(F.col("family") == REMOVED.name, F.col("op") == "-").otherwise(F.col("op") == "+")
+    around = F.sequence(F.col("at") - (NEARBY - 1), F.col("at") + (NEARBY - 1))
+    places = found.filter(vouches | counts).select(
+        *keys, F.explode(F.when(vouches, around).otherwise(F.array("at"))).alias("line_no"), "family", "rule_id", "severity", "category",
+        F.when(vouches, 0).otherwise(1).alias("_hit"))
+    settled = places.groupBy(*keys, "line_no", "family", "rule_id", "severity", "category").agg(F.sum("_hit").alias("_n"), F.min("_hit").alias("_alone"))
+    return settled.filter("_alone = 1").withColumn("_", F.explode(F.array_repeat(F.lit(0), F.col("_n").cast("int")))).select(*keys, "line_no", "rule_id", "severity", "category")
 
-def removed_safeguards(lines: DataFrame, keys: list[str]) -> DataFrame:
-    """Removed lines that matched a safeguard which no added line nearby still has.
 
-    An added line vouches for the lines around it: it is repeated for each of them, which
-    makes the proximity test an equality join.
-    """
-    removed = _hits(lines, "-", REMOVED, keys)
-    around = F.sequence(F.col("line_no") - (NEARBY - 1), F.col("line_no") + (NEARBY - 1))
-    kept = _hits(lines, "+", REMOVED, keys).select(*keys, "rule_id", F.explode(around).alias("line_no")).distinct()
-    return removed.join(kept, [*keys, "rule_id", "line_no"], "left_anti").select(*removed.columns)
+def removed_safeguards(lines: DataFrame, keys: list[str]) -> DataFrame:
+    """Removed lines that matched a safeguard which no added line nearby still has."""
+    return _rule_changes(lines, keys, REMOVED)
 
 
 def dependency_downgrades(lines: DataFrame, keys: list[str]) -> DataFrame:
@@ -64,4 +69,4 @@ def regression_report(lines: DataFrame, keys: list[str], path: str = "path") ->
     """All regressions of the diffs: safeguards removed, unsafe patterns added, dependencies downgraded."""
     downgraded = dependency_downgrades(lines.filter(F.col(path).endswith("package.json")), keys).select(
         *keys, "line_no", F.lit("REG_DEP_001").alias("rule_id"), F.lit("high").alias("severity"), F.lit("dependency-downgrade").alias("category"))
-    return removed_safeguards(lines, keys).unionByName(_hits(lines, "+", ADDED, keys)).unionByName(downgraded)
+    return _rule_changes(lines, keys, REMOVED, ADDED).unionByName(downgraded)

@@ -38,14 +38,34 @@ def _anomaly(df: DataFrame, anomaly: str, severity: str, evidence: str) -> DataF
     return df.selectExpr(*KEYS, f"{anomaly} AS anomaly_id", f"{severity} AS severity", f"{evidence} AS evidence")
 
 
-def out_of_order(versions: DataFrame) -> DataFrame:
-    """The first version of each package that is lower than the one published before it."""
+#: Interval of the blocks in which neighbours are found, long enough that most rows of a daily history are inside one.
+_WEEK = 7 * 86400
+
+
+def neighbour_anomalies(versions: DataFrame) -> DataFrame:
+    """What two publications in a row show: the first lower version after a higher one, and the first gap of more than a year.
+
+    One pass finds the neighbours, and one aggregate per package the first of each kind.  The gap is worse when the
+    publisher changed.
+    """
     keyed = versions.withColumn("_key", F.expr(version_key("version", 3)))
-    pairs = consecutive(keyed, KEYS, ORDER, time_bucket("published_at"))
-    first = pairs.filter("cur._key < prev._key").groupBy(*KEYS).agg(
-        F.min_by(F.struct("prev.version", F.col("cur.version").alias("next")), F.struct("cur.published_at", "cur.ordinal")).alias("f")
+    at = F.struct("cur.published_at", "cur.ordinal")
+    gap = F.unix_micros(F.col("cur.published_at").cast("timestamp")) - F.unix_micros(F.col("prev.published_at").cast("timestamp"))
+    both = F.struct(F.struct("prev.version", "prev.publisher").alias("prev"), F.struct("cur.version", "cur.publisher").alias("cur"))
+    first = consecutive(keyed, KEYS, ORDER, time_bucket("published_at", _WEEK)).groupBy(*KEYS).agg(
+        F.min_by(both, F.when(F.expr("cur._key < prev._key"), at)).alias("o"), F.min_by(both, F.when(gap > 365 * 86_400_000_000, at)).alias("d"))
+    changed = "coalesce(d.prev.publisher <> d.cur.publisher, false)"
+    found = (
+        "array_compact(array(IF(o IS NULL, NULL, named_struct('id', 'CG_PANOM_001', 'severity', 'high', 'evidence', concat(o.prev.version, ' > ', o.cur.version))), "
+        f"IF(d IS NULL, NULL, named_struct('id', IF({changed}, 'CG_PANOM_003a', 'CG_PANOM_003b'), 'severity', IF({changed}, 'critical', 'medium'), "
+        "'evidence', concat(d.prev.version, ' > ', d.cur.version)))))"
     )
-    return _anomaly(first, "'CG_PANOM_001'", "'high'", "concat(f.version, ' > ', f.next)")
+    return _anomaly(first.selectExpr(*KEYS, f"explode({found}) AS a"), "a.id", "a.severity", "a.evidence")
+
+
+def out_of_order(versions: DataFrame) -> DataFrame:
+    """The first version of each package that is lower than the one published before it."""
+    return neighbour_anomalies(versions).filter("anomaly_id = 'CG_PANOM_001'")
 
 
 def bursts(versions: DataFrame) -> DataFrame:
@@ -71,14 +91,7 @@ def burst_publish(versions: DataFrame) -> DataFrame:
 
 def dormant_then_active(versions: DataFrame) -> DataFrame:
     """The first gap of more than a year; worse when the publisher changed."""
-    pairs = consecutive(versions, KEYS, ORDER, time_bucket("published_at", 86400), edges_only=True)
-    gap = "(unix_micros(CAST(cur.published_at AS TIMESTAMP)) - unix_micros(CAST(prev.published_at AS TIMESTAMP)))"
-    first = pairs.filter(f"{gap} > 365 * 86400000000L").groupBy(*KEYS).agg(
-        F.min_by(F.struct("prev", "cur"), F.struct("cur.published_at", "cur.ordinal")).alias("f")
-    )
-    changed = "coalesce(f.prev.publisher <> f.cur.publisher, false)"
-    return _anomaly(first, f"IF({changed}, 'CG_PANOM_003a', 'CG_PANOM_003b')", f"IF({changed}, 'critical', 'medium')",
-                    "concat(f.prev.version, ' > ', f.cur.version)")
+    return neighbour_anomalies(versions).filter("anomaly_id IN ('CG_PANOM_003a', 'CG_PANOM_003b')")
 
 
 def version_jump(versions: DataFrame) -> DataFrame:
@@ -114,8 +127,8 @@ def history_shape(versions: DataFrame) -> DataFrame:
 
 def publish_anomalies(versions: DataFrame) -> DataFrame:
     """All anomalies, at most one of each kind per package."""
-    found = out_of_order(versions)
-    for other in (burst_publish, dormant_then_active, version_jump, history_shape):
+    found = neighbour_anomalies(versions)
+    for other in (burst_publish, version_jump, history_shape):
         found = found.unionByName(other(versions))
     return found
 
