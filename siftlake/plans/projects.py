@@ -462,10 +462,9 @@ def merge_detectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def sarif_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = _found(spark, sf_dir).withColumnRenamed("source", "project").withColumn("fix", F.lit(None).cast("string"))
-    documents = exports.to_sarif(found, rows=10)
-    parsed = documents.withColumn("_j", F.from_json("sarif", "runs ARRAY<STRUCT<results: ARRAY<STRUCT<ruleId: STRING>>>>"))
-    rows = parsed.select("project", F.explode(F.expr("_j.runs[0].results")).alias("_r"))
-    return rows.groupBy("project").agg(F.count("*").alias("results"), F.countDistinct("_r.ruleId").alias("rules"))
+    pieces = exports.to_sarif(found)
+    rows = pieces.filter("section IN (1, 3)").select("project", "section", F.from_json(F.ltrim("text", F.lit(",")), "ruleId STRING, id STRING").alias("_r"))
+    return rows.groupBy("project").agg(F.count("_r.ruleId").alias("results"), F.count("_r.id").alias("rules"))
 
 
 @plan(
@@ -474,9 +473,9 @@ def sarif_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     covers="A14 B3",
 )
 def cyclonedx_export(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = exports.to_cyclonedx(_components(spark, sf_dir), rows=4)
-    parsed = documents.withColumn("_j", F.from_json("bom", "components ARRAY<STRUCT<name: STRING, version: STRING>>"))
-    return parsed.select("project", F.explode("_j.components").alias("_c")).select("project", "_c.name", "_c.version")
+    pieces = exports.to_cyclonedx(_components(spark, sf_dir)).filter("section = 1")
+    parsed = pieces.withColumn("_c", F.from_json(F.ltrim("text", F.lit(",")), "name STRING, version STRING"))
+    return parsed.select("project", "_c.name", "_c.version")
 
 
 @plan(

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from siftlake.operators import (
-    attribution, history, intel, licenses, policy, reports, scoring, sequences, similarity, taint, telemetry,
+    attribution, exports, history, intel, licenses, policy, reports, scoring, sequences, similarity, taint, telemetry,
 )
 
 DAY = dt.timedelta(days=1)
@@ -276,3 +276,29 @@ def test_built_in_tables_have_a_known_size(spark, name):
 
     plan = PLANS[name].run(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "ExistingRDD" not in plan
+
+
+def test_documents_are_whole_and_in_order(spark):
+    """A project of any size is one valid document, put together from its pieces in order."""
+    import json
+
+    rows = [("big", f"d\\f{i % 7}.js", i % 900, None if i % 5 else 3, f"R{i % 4}", "high", f'm: "q" {i % 4}', None if i % 2 else "do") for i in range(6000)]
+    rows += [("big", "x", 1, 1, "R1", "low", "m", None)] * 3 + [("small", "y", 2, None, "R9", "odd", "n", None)]
+    df = spark.createDataFrame(rows, "project string, path string, line_no int, col_start int, rule_id string, severity string, message string, fix string")
+
+    def documents(pieces):
+        text = {}
+        for r in pieces.orderBy("project", "section", "at").collect():
+            text[r.project] = text.get(r.project, "") + r.text
+        return {k: json.loads(v) for k, v in text.items()}
+
+    logs = documents(exports.to_sarif(df))
+    run = logs["big"]["runs"][0]
+    assert len(run["results"]) == 6003 and sorted(r["id"] for r in run["tool"]["driver"]["rules"]) == ["R0", "R1", "R2", "R3"]
+    uris = [r["locations"][0]["physicalLocation"]["artifactLocation"]["uri"] for r in run["results"]]
+    assert uris == sorted(uris) and uris[0] == "d/f0.js" and run["results"][-1]["level"] == "note"
+    assert [r["ruleId"] for r in logs["small"]["runs"][0]["results"]] == ["R9"]
+    parts = spark.createDataFrame([("p", f"r{i}", f"n{i}", "1", None, "MIT" if i % 2 else None, i % 3 == 0) for i in range(50)], "project string, bom_ref string, name string, version string, purl string, license string, dev boolean")
+    bom = documents(exports.to_cyclonedx(parts))["p"]
+    assert [c["bom-ref"] for c in bom["components"]] == sorted(f"r{i}" for i in range(50))
+    assert documents(exports.to_sarif(df.limit(0))) == {}
