@@ -37,20 +37,20 @@ def typing_sessions(changes: DataFrame) -> DataFrame:
     return running_total(marked, ["document_id"], order, bucket, F.col("_start"), "session").drop("_start")
 
 
-def _fast(session: pd.DataFrame) -> pd.DataFrame:
-    """High-speed flags of one typing session."""
-    session = session.sort_values(["ts", "change_id"], kind="stable")
-    flags, characters, last, reset = [], 0, None, None
-    for ts, n in zip(session["ts"], session["characters"]):
-        last = ts if last is None else last
-        reset = ts if reset is None else reset
-        characters += n
-        since = (ts - last).total_seconds() * 1000
-        flags.append(bool(since < SPEED_MILLISECONDS and characters > SPEED_CHARACTERS))
-        last = ts
-        if (ts - reset).total_seconds() * 1000 > RESET_MILLISECONDS:
-            characters, reset = 0, ts
-    return session.assign(high_speed=flags)[["document_id", "change_id", "high_speed"]]
+def _fast(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """High-speed flags of sessions in order; the counters of one session are all that is held from row to row."""
+    unit, characters, last, reset = None, 0, None, None
+    for pdf in batches:
+        flags = []
+        for document, session, ts, n in zip(pdf["document_id"], pdf["session"], pdf["ts"], pdf["characters"]):
+            if unit != (document, session):
+                unit, characters, last, reset = (document, session), 0, ts, ts
+            characters += n
+            flags.append(bool((ts - last).total_seconds() * 1000 < SPEED_MILLISECONDS and characters > SPEED_CHARACTERS))
+            last = ts
+            if (ts - reset).total_seconds() * 1000 > RESET_MILLISECONDS:
+                characters, reset = 0, ts
+        yield pdf.assign(high_speed=flags)[["document_id", "change_id", "high_speed"]]
 
 
 def _restart(df: DataFrame) -> DataFrame:
@@ -63,7 +63,9 @@ def typing_velocity(changes: DataFrame) -> DataFrame:
     """Adds ``high_speed``: more than 150 characters since the last reset, within 200 ms of the change before."""
     sessions = typing_sessions(changes.withColumn("characters", F.length("text")))
     counted = _restart(sessions.select("document_id", "session", "ts", "change_id", "characters"))
-    flags = counted.groupBy("document_id", "session").applyInPandas(
+    # Sorted partitions are streamed, so a session may be of any length.
+    ordered = counted.repartition("document_id", "session").sortWithinPartitions("document_id", "session", "ts", "change_id")
+    flags = ordered.mapInPandas(
         _fast, f"document_id {changes.schema['document_id'].dataType.simpleString()}, "
         f"change_id {changes.schema['change_id'].dataType.simpleString()}, high_speed boolean")
     return changes.join(flags, ["document_id", "change_id"])

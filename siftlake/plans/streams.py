@@ -15,6 +15,7 @@ from siftlake.plans.derived import EVENT_PUBLICATIONS, REPORTS, TELEMETRY
 from siftlake.plans.oracle import findings_sql, lines_sql
 from siftlake.plans.registry import plan
 from siftlake.plans.tables import table
+from siftlake.plans.tooling import velocity_sql
 from siftlake.rules import FAMILIES
 from siftlake.sources.readers import with_zones
 from siftlake.sources.sinks import Snapshots
@@ -140,9 +141,9 @@ def stream_fresh_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _append(streams.stream_fresh(requests, ["package_name"]).select("package_name"), _workspace(spark))
 
 
-@plan("stream_typing_velocity", None, covers="L6")
+@plan("stream_typing_velocity", velocity_sql("CAST(user_id AS VARCHAR)", 1000), covers="L6")
 def stream_typing_velocity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """State per document, in order; a test compares it with the batch operator."""
+    """State per document, in order."""
     changes = _stream(spark, sf_dir, "events").selectExpr(
         "CAST(user_id AS STRING) AS document_id", "event_id AS change_id",
         "timestamp_micros(CAST(unix_micros(ts) / 60000 AS BIGINT)) AS created_at", "repeat(event_type, 9) AS text")

@@ -336,9 +336,19 @@ def change_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return attribution.change_signals(planted_turns(spark, sf_dir, "ai_sdk")).select("conv_id", "turn", "new_imports", "confidence", "is_generated")
 
 
-@plan("typing_velocity", None, covers="J14")
+def velocity_sql(document: str, unit: int) -> str:
+    """Changes and fast ones of each document: its changes folded in order; times in units of ``unit`` microseconds."""
+    return f"""WITH c AS (SELECT {document} AS document_id, (epoch_us(ts) // 60000) // {unit} AS t, event_id, length(event_type) * 9 AS n FROM events),
+    l AS (SELECT document_id, list(struct_pack(last := t, chars := n, reset := t, changes := 1, fast := CASE WHEN n > 150 THEN 1 ELSE 0 END) ORDER BY t, event_id) AS xs FROM c GROUP BY document_id),
+    r AS (SELECT document_id, list_reduce(xs, lambda a, x: struct_pack(last := x.last,
+        chars := CASE WHEN x.last - a.reset > {5_000_000 // unit} THEN 0 ELSE a.chars + x.chars END, reset := CASE WHEN x.last - a.reset > {5_000_000 // unit} THEN x.last ELSE a.reset END,
+        changes := a.changes + 1, fast := a.fast + CASE WHEN x.last - a.last < {200_000 // unit} AND a.chars + x.chars > 150 THEN 1 ELSE 0 END)) AS s FROM l)
+    SELECT document_id, CAST(s.changes AS BIGINT) AS changes, CAST(s.fast AS BIGINT) AS fast FROM r"""
+
+
+@plan("typing_velocity", velocity_sql("user_id", 1), covers="J14")
 def typing_velocity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events squeezed into typing speed; the counters depend on each other in order, so a test checks them instead."""
+    """Events squeezed into typing speed."""
     changes = table(spark, sf_dir, "events").selectExpr(
         "user_id AS document_id", "timestamp_micros(CAST(unix_micros(CAST(ts AS TIMESTAMP)) / 60000 AS BIGINT)) AS ts", "event_id AS change_id", "repeat(event_type, 9) AS text")
     return attribution.typing_velocity(changes).groupBy("document_id").agg(
