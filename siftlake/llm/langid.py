@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftlake.llm.shared import table, unit_interval
+from siftlake.llm.shared import small, table, unit_interval
 from siftlake.llm.shingles import slices, text_bytes
 
 BUCKETS = 1 << 16
@@ -72,7 +72,7 @@ def learn_text_model(docs: DataFrame, lang_col: str = "lang", text_col: str = "t
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
-        for batch in batches:
+        for batch in small(batches):
             langs = np.asarray(batch.column("lang").to_pylist(), object)
             for bucket, owner in trigrams(batch.column("text")):
                 for lang in set(langs[owner[0]:owner[-1] + 1]) if len(owner) else ():
@@ -109,7 +109,7 @@ def identify(rows: DataFrame, model: TextModel, text: str, declared: str, suffix
     inner = rows.select(*own, *signs, F.col(text).cast("string").alias("text"))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             scores, n = model.scores(batch.column("text"))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, scores.size + 1, len(languages), dtype=np.int32)), pa.array(scores.ravel().astype(np.float64)))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], lists, pa.array(n.astype(np.int64))], [*batch.schema.names[:-1], "s", "n"])
@@ -119,7 +119,7 @@ def identify(rows: DataFrame, model: TextModel, text: str, declared: str, suffix
     evidence = rows.select(F.col(text).cast("string").alias("text"), *signs)
 
     def first_look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             scores, n = model.scores(batch.column("text"))
             best = pa.array(np.where(n > 0, scores.argmax(axis=1), -1).astype(np.int32))
             yield pa.RecordBatch.from_arrays([best, *batch.columns[1:]], ["best", "declared", "suffix", "host", "site"])

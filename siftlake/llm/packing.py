@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftlake.llm.encoding import encoder, vocabulary_path, with_end
-from siftlake.llm.shared import parts_for, stored, table
+from siftlake.llm.shared import parts_for, small, stored, table
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, bin bigint, at bigint, fill bigint"
 
@@ -81,7 +81,7 @@ def pieces_of(docs: DataFrame, id_col: str, text_col: str, vocabulary: str, room
             next_bin += len(fills)
             return pa.RecordBatch.from_arrays(out, ["doc_id", "piece", "start", "length", "ids_crc32", "bin", "at", "fill"])
 
-        for batch in batches:
+        for batch in small(batches):
             ids, offsets = with_end(*encode.encode(batch.column("text")), end_id)
             lengths = np.diff(offsets)
             counts = -(-lengths // room)

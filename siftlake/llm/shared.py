@@ -5,7 +5,11 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,3 +45,19 @@ def unit_interval(*columns) -> F.Column:
 def parts_for(total: int, each: int, least: int = 1) -> int:
     """How many parts of about ``each`` units hold ``total`` units."""
     return max(least, -(-int(total or 0) // each))
+
+
+def small(batches: Iterator[pa.RecordBatch], text: str = "text", size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The rows of the batches with about ``size`` bytes of text at a time, or one row where it has more.
+
+    Spark cuts batches by rows, however long their texts are; what a worker holds beside a batch follows these slices.
+    """
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False))
+        a = 0
+        while a < len(ends):
+            b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + size, side="right")))
+            yield batch.slice(a, b - a)
+            a = b
+        del batch
+        pa.default_memory_pool().release_unused()

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftlake.llm.components import components
-from siftlake.llm.shared import parts_for, stored, table
+from siftlake.llm.shared import parts_for, small, stored, table
 from siftlake.llm.shingles import mix, shingle_sets
 
 BANDS, ROWS = 64, 5
@@ -46,7 +46,7 @@ def band_keys(tokens: np.ndarray) -> np.ndarray:
 def sketches(docs: DataFrame) -> DataFrame:
     """(doc_id, n, fp, keys) of (doc_id, text): size, 128-bit hash and routing keys of the shingle set."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             sizes, prints, keys = [], [], []
             for tokens in shingle_sets(batch.column("text")):
                 sizes.append(len(tokens))
@@ -198,7 +198,7 @@ def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
         return members.select(F.col("node").alias("a"), F.col("node").alias("b"))
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             sets = [s.tobytes() for s in shingle_sets(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(sets, pa.binary())], [*batch.schema.names[:-1], "tokens"])
 

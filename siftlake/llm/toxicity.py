@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftlake.llm.shared import stored, table, unit_interval
+from siftlake.llm.shared import small, stored, table, unit_interval
 
 #: Look-alikes and the Latin letter they stand for; i, l and 1 are one letter, since 1 stands for both.
 LOOKALIKES = str.maketrans(
@@ -106,7 +106,7 @@ def learn(docs: DataFrame, labels: DataFrame, limit: int = 50_000, least: int =
     rows = stored(training_rows(docs, labels, limit), "toxic-train")
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             seen = (Counter(), Counter())
             for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
                 seen[toxic].update({e for w in set(fold(text).split()) for e in entries_of(w)})
@@ -124,7 +124,7 @@ def learn(docs: DataFrame, labels: DataFrame, limit: int = 50_000, least: int =
     order = {r["entry"]: i for i, r in enumerate(candidates)}
 
     def matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             out = []
             for text in batch.column("text").to_pylist():
                 words = set(fold(text).split())
@@ -203,7 +203,7 @@ def score(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text_col: s
     """doc_id, held_out, score, predicted for each row.  Null text scores like empty text.  Rows with a null id are never held out."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         auto = lexicon.automaton()
-        for batch in batches:
+        for batch in small(batches):
             strength = np.array([lexicon.strength(t or "", auto) for t in batch.column("text").to_pylist()], float)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(lexicon.score(strength))], ["doc_id", "score"])
 

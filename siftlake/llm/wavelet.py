@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftlake.llm.encoding import encoder, vocabulary_path, with_end
-from siftlake.llm.shared import parts_for, shared_dir, table
+from siftlake.llm.shared import parts_for, shared_dir, small, table
 
 _HEAD = struct.Struct("<4sBQ")
 _BLOCK = 512  # bits between two entries of a rank directory
@@ -182,7 +182,7 @@ def write_token_shards(docs: DataFrame, path: str, id_col: str = "doc_id", text_
                    "matrix": [WaveletMatrix.build(np.concatenate(ids)).to_bytes()]}
             return pa.RecordBatch.from_pydict(row, schema=_arrow_shards())
 
-        for batch in batches:
+        for batch in small(batches):
             tokens, offsets = with_end(*encode.encode(batch.column("text")), end_id)
             for doc, a, b in zip(batch.column("doc_id").to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
                 ids.append(tokens[a:b])

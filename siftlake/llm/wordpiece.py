@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftlake.llm.encoding import vocabulary_path
-from siftlake.llm.shared import table
+from siftlake.llm.shared import small, table
 
 _WORK: dict[str, LongestMatch] = {}
 
@@ -123,7 +123,7 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = _automaton(vocabulary)
-        for batch in batches:
+        for batch in small(batches):
             lists = pc.split_pattern_regex(pc.fill_null(batch.column("text").cast(pa.large_string()), ""), "[ \\t\\n\\x0b\\f\\r]+")
             ends = lists.offsets.to_numpy() - lists.offsets[0].as_py()
             words = lists.flatten().dictionary_encode()
