@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftlake.llm.shared import small, table, unit_interval
+from siftlake.llm.shared import lean, small, table, unit_interval
 from siftlake.llm.shingles import slices, text_bytes
 
 BUCKETS = 1 << 16
@@ -81,7 +81,7 @@ def learn_text_model(docs: DataFrame, lang_col: str = "lang", text_col: str = "t
             at = np.flatnonzero(total)
             yield pa.RecordBatch.from_pydict({"lang": [lang] * len(at), "b": pa.array(at, pa.int32()), "n": pa.array(total[at], pa.int64())})
 
-    counts = sample.select("lang", "text").mapInArrow(count, "lang string, b int, n bigint").groupBy("lang", "b").agg(F.sum("n").alias("n")).toPandas()
+    counts = sample.select("lang", "text").transform(lean).mapInArrow(count, "lang string, b int, n bigint").groupBy("lang", "b").agg(F.sum("n").alias("n")).toPandas()
     languages = tuple(sorted(counts["lang"].unique()))
     grid = np.full((BUCKETS, len(languages)), 0.5)
     for k, lang in enumerate(languages):
@@ -115,7 +115,7 @@ def identify(rows: DataFrame, model: TextModel, text: str, declared: str, suffix
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], lists, pa.array(n.astype(np.int64))], [*batch.schema.names[:-1], "s", "n"])
 
     schema = ", ".join([*(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(fields)), *(f"{c} string" for c in ("declared", "suffix", "host", "site")), "s array<double>", "n bigint"])
-    seen = inner.mapInArrow(scan, schema)
+    seen = inner.transform(lean).mapInArrow(scan, schema)
     evidence = rows.select(F.col(text).cast("string").alias("text"), *signs)
 
     def first_look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,7 +125,7 @@ def identify(rows: DataFrame, model: TextModel, text: str, declared: str, suffix
             yield pa.RecordBatch.from_arrays([best, *batch.columns[1:]], ["best", "declared", "suffix", "host", "site"])
 
     # Counts by (language, declared, suffix, host, site): made within each task before anything is shuffled.
-    tally = evidence.mapInArrow(first_look, "best int, declared string, suffix string, host string, site string").filter("best >= 0").groupBy("best", "declared", "suffix", "host", "site").agg(F.count("*").alias("n"))
+    tally = evidence.transform(lean).mapInArrow(first_look, "best int, declared string, suffix string, host string, site string").filter("best >= 0").groupBy("best", "declared", "suffix", "host", "site").agg(F.count("*").alias("n"))
     fused = _fuse(seen, tally, languages, trust, floor)
     return fused.select(*[F.col(f"c{i}").alias(f.name) for i, f in enumerate(fields)], "language", "confidence", "text_language", "n_trigrams", "rejected")
 

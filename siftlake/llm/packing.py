@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftlake.llm.encoding import encoder, vocabulary_path, with_end
-from siftlake.llm.shared import parts_for, small, stored, table
+from siftlake.llm.shared import lean, parts_for, small, stored, table
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, bin bigint, at bigint, fill bigint"
 
@@ -102,7 +102,7 @@ def pieces_of(docs: DataFrame, id_col: str, text_col: str, vocabulary: str, room
         if n:
             yield flush()
 
-    return slim.mapInArrow(pack, PIECES)
+    return slim.transform(lean).mapInArrow(pack, PIECES)
 
 
 def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, room: int = 2048,

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftlake.llm.components import components
-from siftlake.llm.shared import parts_for, small, stored, table
+from siftlake.llm.shared import lean, parts_for, small, stored, table
 from siftlake.llm.shingles import mix, shingle_sets
 
 BANDS, ROWS = 64, 5
@@ -57,7 +57,7 @@ def sketches(docs: DataFrame) -> DataFrame:
                 batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()),
                 pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *keys])))], ["doc_id", "n", "fp", "keys"])
 
-    return docs.mapInArrow(run, "doc_id bigint, n bigint, fp binary, keys array<bigint>")
+    return docs.transform(lean).mapInArrow(run, "doc_id bigint, n bigint, fp binary, keys array<bigint>")
 
 
 class SignatureTree:
@@ -203,7 +203,7 @@ def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(sets, pa.binary())], [*batch.schema.names[:-1], "tokens"])
 
     texts = members.join(docs.select(F.col("doc_id").alias("node"), "text"), "node")
-    held = stored(texts.select("node", "family", "trees", "tree", "text").mapInArrow(tokens, "node bigint, family bigint, trees int, tree int, tokens binary"), "tokens")
+    held = stored(texts.select("node", "family", "trees", "tree", "text").transform(lean).mapInArrow(tokens, "node bigint, family bigint, trees int, tree int, tokens binary"), "tokens")
     # The pivot of a cut family goes to each of its trees.
     pivot = held.filter("trees > 1 AND node = family").select("node", "family", "trees", F.explode(F.expr("sequence(0, trees - 1)")).alias("tree"), "tokens")
     bins = F.pmod(F.xxhash64("family", "tree"), F.lit(parts_for(total, 512)))

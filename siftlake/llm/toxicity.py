@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftlake.llm.shared import small, stored, table, unit_interval
+from siftlake.llm.shared import lean, small, stored, table, unit_interval
 
 #: Look-alikes and the Latin letter they stand for; i, l and 1 are one letter, since 1 stands for both.
 LOOKALIKES = str.maketrans(
@@ -117,7 +117,7 @@ def learn(docs: DataFrame, labels: DataFrame, limit: int = 50_000, least: int =
     n_toxic, n_clean = int(totals[0] or 0), int(totals[1] - (totals[0] or 0))
     if not n_toxic:
         return Lexicon({}, exceptions, 1.0, -30.0)
-    sums = rows.select("text", "toxic").mapInArrow(tally, "entry string, t bigint, c bigint").groupBy("entry").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
+    sums = rows.select("text", "toxic").transform(lean).mapInArrow(tally, "entry string, t bigint, c bigint").groupBy("entry").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
     weight = F.log((F.col("t") + 0.5) / (n_toxic + 1.0)) - F.log((F.col("c") + 0.5) / (n_clean + 1.0))
     candidates = sums.withColumn("w", weight).filter((F.col("t") >= least) & (F.col("w") >= odds)).orderBy(F.desc("t"), "entry").limit(size).collect()
     weights = {r["entry"]: r["w"] for r in candidates}
@@ -132,7 +132,7 @@ def learn(docs: DataFrame, labels: DataFrame, limit: int = 50_000, least: int =
             yield pa.RecordBatch.from_pydict({"found": pa.array(out, pa.list_(pa.int32()))})
 
     # At most ``limit`` rows of entry numbers: what the sample's bound allows on the driver.
-    sets = [frozenset(r["found"]) for r in rows.filter("toxic = 1").select("text").mapInArrow(matched, "found array<int>").toLocalIterator()]
+    sets = [frozenset(r["found"]) for r in rows.filter("toxic = 1").select("text").transform(lean).mapInArrow(matched, "found array<int>").toLocalIterator()]
     holders = defaultdict(set)
     for i, found in enumerate(sets):
         for e in found:
@@ -208,7 +208,7 @@ def score(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text_col: s
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(lexicon.score(strength))], ["doc_id", "score"])
 
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    scored = slim.mapInArrow(run, "doc_id bigint, score double")
+    scored = slim.transform(lean).mapInArrow(run, "doc_id bigint, score double")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 

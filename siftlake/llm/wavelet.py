@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftlake.llm.encoding import encoder, vocabulary_path, with_end
-from siftlake.llm.shared import parts_for, shared_dir, small, table
+from siftlake.llm.shared import lean, parts_for, shared_dir, small, table
 
 _HEAD = struct.Struct("<4sBQ")
 _BLOCK = 512  # bits between two entries of a rank directory
@@ -194,7 +194,7 @@ def write_token_shards(docs: DataFrame, path: str, id_col: str = "doc_id", text_
         if ids:
             yield flush()
 
-    ordered.mapInArrow(shards, SHARDS).write.option("compression", "none").parquet(path)
+    ordered.transform(lean).mapInArrow(shards, SHARDS).write.option("compression", "none").parquet(path)
 
 
 def _arrow_shards() -> pa.Schema:
@@ -221,7 +221,7 @@ def read_token_shards(spark: SparkSession, path: str) -> DataFrame:
                     "part": pa.array([row["part"]] * n, pa.int32()), "seq": pa.array([row["seq"]] * n, pa.int32()), "doc_id": pa.array(row["doc_ids"], pa.int64()),
                     "within": pa.array(ends - row["lengths"], pa.int64()), "n_tokens": pa.array(row["lengths"], pa.int64()), "ids_crc32": pa.array([zlib.crc32(x) for x in own], pa.int64())})
 
-    rows = shards.select("part", "seq", "doc_ids", "lengths", "matrix").mapInArrow(documents, "part int, seq int, doc_id bigint, within bigint, n_tokens bigint, ids_crc32 bigint")
+    rows = shards.select("part", "seq", "doc_ids", "lengths", "matrix").transform(lean).mapInArrow(documents, "part int, seq int, doc_id bigint, within bigint, n_tokens bigint, ids_crc32 bigint")
     return rows.join(starts, ["part", "seq"]).select("doc_id", (F.col("base") + F.col("within")).alias("start"), "n_tokens", "ids_crc32")
 
 

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftlake.llm.encoding import vocabulary_path
-from siftlake.llm.shared import small, table
+from siftlake.llm.shared import lean, small, table
 
 _WORK: dict[str, LongestMatch] = {}
 
@@ -137,7 +137,7 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n_words), pa.array(n_pieces), pa.array(longest)], ["doc_id", "n_words", "n_pieces", "longest"])
 
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return slim.mapInArrow(count, "doc_id bigint, n_words bigint, n_pieces bigint, longest bigint")
+    return slim.transform(lean).mapInArrow(count, "doc_id bigint, n_words bigint, n_pieces bigint, longest bigint")
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
