@@ -32,7 +32,7 @@ def encoder(path: str) -> Encoder:
 class Encoder:
     """Ids of whole texts.  The cache of pieces is emptied when it holds ``room`` pieces, which bounds memory and changes no id."""
 
-    def __init__(self, path: str, room: int = 400_000):
+    def __init__(self, path: str, room: int = 700_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.room = Tokenizer.from_file(path), room
