@@ -12,6 +12,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import public_tokenizers
 
+from siftlake.llm.shared import unsliced
+
 #: White space other than single spaces and line ends between words, where cutting at spaces would not be exact.
 IRREGULAR = r"[\s\x0b][\s\x0b]|^[\s\x0b]|[\s\x0b]$|[\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 MARKS = ".,;:!?"
@@ -96,12 +98,12 @@ class Encoder:
 
         Texts of about ``step`` bytes are worked on at a time, which bounds memory; a longer text is a step of its own.
         """
-        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        texts = pc.fill_null(unsliced(texts).cast(pa.large_string()), "")
         ends = np.cumsum(pc.binary_length(texts).to_numpy())
         found, a = [(np.zeros(0, np.int32), np.zeros(1, np.int64))], 0
         while a < len(texts):
             b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + step, side="right")))
-            found.append(self._encode(texts.slice(a, b - a)))
+            found.append(self._encode(unsliced(texts.slice(a, b - a))))
             a = b
         shifts = np.cumsum([0] + [len(ids) for ids, _ in found])
         return np.concatenate([ids for ids, _ in found]), np.concatenate([[0]] + [offsets[1:] + shift for (_, offsets), shift in zip(found, shifts, strict=False)])

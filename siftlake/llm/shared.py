@@ -53,6 +53,11 @@ def parts_for(total: int, each: int, least: int = 1) -> int:
     return max(least, -(-int(total or 0) // each))
 
 
+def unsliced(array: pa.Array) -> pa.Array:
+    """A copy with buffers of its own.  Some of Arrow's text functions misread arrays that begin inside another's buffers."""
+    return pa.concat_arrays([array, array.slice(0, 0)])
+
+
 def small(batches: Iterator[pa.RecordBatch], text: str = "text", size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The rows of the batches with about ``size`` bytes of text at a time, or one row where it has more.
 
@@ -63,7 +68,7 @@ def small(batches: Iterator[pa.RecordBatch], text: str = "text", size: int = 4 <
         a = 0
         while a < len(ends):
             b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + size, side="right")))
-            yield batch.slice(a, b - a)
+            yield pa.RecordBatch.from_arrays([unsliced(c.slice(a, b - a)) for c in batch.columns], schema=batch.schema)
             a = b
         del batch
         pa.default_memory_pool().release_unused()

@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from siftlake.llm import bitsliced, bwt, encoding, fingerprint, langid, mixing, packing, sigtree, toxicity, wavelet, wordpiece
+from siftlake.llm import bitsliced, bwt, encoding, fingerprint, langid, mixing, packing, shared, sigtree, toxicity, wavelet, wordpiece
 from siftlake.llm.components import components
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long, part int, key string, node long, block int, n int, size long, target double, u double"
@@ -383,3 +383,18 @@ def test_best_fit_is_tight():
     bins, at, fills = packing.best_fit(np.array([4, 6, 5, 5, 3, 7, 10]), 10)
     assert len(fills) == 4 and fills.tolist() == [10] * 4
     assert packing.best_fit(np.array([], np.int64), 10)[2].tolist() == []
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_encoder_reads_slices_of_large_columns(name):
+    """Texts that begin inside another array's buffers give the same ids, in steps of any size."""
+    r = random.Random(6)
+    texts = pa.array([" ".join(r.choice(["Été", "ñandú", "the", "Thing,", "ÜBER", "x."]) for _ in range(r.randint(1, 400))) for _ in range(900)])
+    encode, plain = encoding.Encoder(encoding.vocabulary_path(name)), _ids(name)
+    for step in (3000, 6 << 20):
+        ids, offsets = encode.encode(texts.slice(250, 600), step=step)
+        assert [ids[a:b].tolist() for a, b in zip(offsets[:-1], offsets[1:], strict=True)][::50] == [plain(t) for t in texts.slice(250, 600).to_pylist()[::50]]
+    batch = pa.RecordBatch.from_arrays([texts, pa.array(range(900))], ["text", "i"])
+    parts = list(shared.small([batch], size=20_000))
+    assert len(parts) > 5 and [t for p in parts for t in p.column("text").to_pylist()] == texts.to_pylist() and sum((p.column("i").to_pylist() for p in parts), []) == list(range(900))
+    assert langid.pc.utf8_lower(parts[3].column("text")).to_pylist() == [t.lower() for t in parts[3].column("text").to_pylist()]
