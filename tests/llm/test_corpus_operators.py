@@ -230,6 +230,71 @@ def test_repeat_removal(spark, sample):
     assert bwt.remove_repeats(docs(spark, []), least_parts=2).collect() == []
 
 
+def _passage_rows(n):
+    """Documents with one passage between texts of their own, some of which repeat."""
+    r, passage = random.Random(11), words(12, 4)
+    rows = [(i, "".join(r.choice("qrstuvwxyz ") for _ in range(60)) + passage + "".join(r.choice("qrstuvwxyz ") for _ in range(60))) for i in range(n)]
+    return rows + [(n + i, "!" + rows[i][1][20:-20]) for i in range(0, n, 7)]
+
+
+def _least_by_window(rows):
+    first = {}
+    for i, t in rows:
+        for k in range(len(t) - 49):
+            first[t[k:k + 50]] = min(first.get(t[k:k + 50], i), i)
+    return first
+
+
+@pytest.mark.parametrize(("limit", "bounded"), [(1 << 40, False), (40, True)])
+def test_a_hot_anchor_is_dealt_out(limit, bounded, monkeypatch):
+    """At the edges of a common passage every document has a fragment of its own: no part may get them all to sort."""
+    rows, parts, sorted_bytes = _passage_rows(300), 16, []
+    monkeypatch.setattr(bwt, "SORTED", 4000)
+    monkeypatch.setattr(bwt, "least_ids", lambda data, *a, f=bwt.least_ids: sorted_bytes.append(len(data)) or f(data, *a))
+    tables = {g: pa.table({"doc_id": pa.array([i for i, _ in rows[g::5]], pa.int64()), "text": [t for _, t in rows[g::5]]}) for g in range(5)}
+    sent, told, answers = defaultdict(list), defaultdict(list), defaultdict(list)
+    for g, t in tables.items():
+        for part, blob in bwt._anchor_rows(bwt.Group(t, parts)):
+            sent[part].append((g, blob))
+    for part, blobs in sent.items():
+        for g, blob in bwt._anchor_answers(blobs, limit):
+            told[g].append((part, blob))
+    groups, sent = {g: bwt.Group(t, parts) for g, t in tables.items()}, defaultdict(list)
+    for g, own in groups.items():
+        own.fragments(*bwt._known(told[g]))
+        for part, blob in own.entry_rows():
+            sent[part].append((g, blob))
+    for part, blobs in sent.items():
+        for g, blob in bwt._answer(blobs):
+            answers[g].append((part, blob))
+    assert (max(sorted_bytes, default=0) <= 4000 + 40 * 113) == bounded
+    first = _least_by_window(rows)
+    for g, own in groups.items():
+        windows = own.windows[own.first]
+        starts = np.cumsum(windows) - windows
+        least, at = np.repeat(own.least, windows), own.entry_starts()
+        for part, blob in answers[g]:
+            entries, values = bwt._open(blob, np.int32, np.int64)
+            place = [starts[e + at[part]] + k for e in entries.tolist() for k in range(windows[e + at[part]])]
+            least[place] = values
+        gone, want = own.covered(least, starts), []
+        for i, t in rows[g::5]:
+            cover = np.zeros(len(t), bool)
+            for k in range(len(t) - 49):
+                if first[t[k:k + 50]] < i:
+                    cover[k:k + 50] = True
+            want.append(cover)
+        assert np.array_equal(gone, np.concatenate(want))
+
+
+def test_repeat_removal_with_crowded_anchors(spark):
+    rows = _passage_rows(120) + [(None, _passage_rows(1)[0][1])]
+    plain, split = (Counter(tuple(r) for r in bwt.remove_repeats(docs(spark, rows), with_text=True, group_bytes=4000, part_bytes=4000, least_parts=3, crowded=c).collect()) for c in (1 << 40, 5))
+    assert plain == split
+    first = _least_by_window([r for r in rows if r[0] is not None])
+    assert {r[0]: r[2] for r in split} == {i: len({k + j for k in range(len(t) - 49) for j in range(50) if i is not None and first[t[k:k + 50]] < i}) for i, t in rows}
+
+
 def test_toxicity_learns_words_stems_and_disguises(spark):
     r = random.Random(5)
     plain = [words(1, k) for k in range(200)]
