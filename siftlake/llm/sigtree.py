@@ -191,8 +191,9 @@ def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     families = components(stars).select("node", F.col("root").alias("family"))
 
     sizes = families.join(classes.select("node", "n"), "node")
-    cuts = sizes.groupBy("family").agg(F.greatest(F.ceil(F.count("*") / TREE_DOCS), F.ceil(F.sum("n") / TREE_TOKENS)).cast("int").alias("trees"))
-    members = stored(sizes.join(cuts, "family").select("node", "family", "trees", F.pmod(F.xxhash64("node"), F.col("trees")).cast("int").alias("tree")), "members")
+    pieces = F.greatest(F.ceil(F.count("*") / TREE_DOCS), F.ceil(F.sum("n") / TREE_TOKENS)).cast("int")
+    cuts = sizes.groupBy("family").agg(pieces.alias("trees"))
+    members = stored(sizes.join(cuts, "family").select("node", "family", "n", "trees", F.pmod(F.xxhash64("node"), F.col("trees")).cast("int").alias("tree")), "members")
     total = members.count()
     if not total:
         return members.select(F.col("node").alias("a"), F.col("node").alias("b"))
@@ -212,10 +213,10 @@ def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     loose = joined.filter("b IS NULL").select("family", F.col("a").alias("node")).distinct()
     if loose.isEmpty():
         return found
-    # What a cut family's pivot does not connect meets every tree of the family, in blocks.
+    # What a cut family's pivot does not connect meets every tree of the family, in blocks cut by documents and tokens as trees are.
     block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block")
     schema = "family bigint, block int, nodes binary, sizes binary, tokens binary"
-    count = loose.groupBy("family").agg(F.ceil(F.count("*") / TREE_DOCS).cast("int").alias("blocks"))
+    count = members.join(loose, ["family", "node"], "left_semi").groupBy("family").agg(pieces.alias("blocks"))
     own = held.join(loose, ["family", "node"], "left_semi").join(count, "family").select("family", "node", "tokens", "blocks", block)
     left = own.groupBy("family", "block").applyInPandas(_pack, schema)
     right = held.join(count.select("family"), "family", "left_semi").select("family", "node", "tokens", F.col("tree").alias("block")).groupBy("family", "block").applyInPandas(_pack, schema)

@@ -111,6 +111,36 @@ def test_large_family_is_cut_and_whole(spark, monkeypatch):
     assert got == root and len(set(root.values())) > 2
 
 
+def test_loose_blocks_are_cut_by_tokens(spark, monkeypatch):
+    """Documents that the pivot of a large family does not connect are joined in blocks of few tokens."""
+    def cross(batches, work=sigtree._cross):
+        def checked():
+            for pdf in batches:
+                for sizes in pdf["sizes"]:
+                    assert len(sizes) // 8 * 76 <= 1600, "a block with too many tokens"
+                yield pdf
+        yield from work(checked())
+
+    monkeypatch.setattr(sigtree, "TREE_TOKENS", 800)
+    monkeypatch.setattr(sigtree, "_cross", cross)
+    r, base = random.Random(8), words(80, 5).split()
+    rows = []
+    for i in range(60):
+        w = list(base)
+        for at in r.sample(range(len(w)), 1 if i < 20 else 4):
+            w[at] = f"e{r.randrange(10**9)}"
+        rows.append((i, " ".join(w)))
+    got = {r[0]: r[2] for r in sigtree.jaccard_components(docs(spark, rows)).collect()}
+    sets = {i: {tuple(t.split()[k:k + 5]) for k in range(76)} for i, t in rows}
+    root = {i: i for i in sets}
+    for _ in range(8):
+        for a in sets:
+            for b in sets:
+                if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                    root[a] = root[b] = min(root[a], root[b])
+    assert got == root and len(set(root.values())) > 20
+
+
 def test_components_of_a_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(500, i) for i in range(501, 540)] + [(7, 7), (3, 2), (2, 3)]
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
