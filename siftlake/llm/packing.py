@@ -1,8 +1,10 @@
 """Best-fit packing of documents into sequences by rounds of local best fit.
 
 Every partition packs its own pieces, longest first, each into the fullest sequence that still has room.  Sequences
-that are nearly full are final.  The rest are items of the next round, dealt out anew over fewer groups, until
-a round has one group or no longer joins any.
+that are nearly full are final.  Each group of the first round leaves at most one sequence at most half full, and two
+that are fuller never fit together.  The next round's items are therefore the former and as many of the latter, those
+with most room: if none of these takes a sequence, no other does.  It ends with a round of one group, after which no two
+open sequences fit together.
 """
 
 from __future__ import annotations
@@ -126,10 +128,11 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         moved = merged.filter(F.col("bin") != F.col("into")).select("bin", "into", "shift")
         placed = placed.join(moved, "bin", "left").select(
             "doc_id", "piece", "start", "length", "ids_crc32", F.coalesce("into", "bin").alias("bin"), (F.col("at") + F.coalesce("shift", F.lit(0))).alias("at"))
-        joined = moved.count()
-        if groups == 1 or joined < max(1, count // 200):
+        if groups == 1:
             break
-        open_bins = merged.filter((F.col("bin") == F.col("into")) & (F.col("fill") < room - slack)).select("bin", "fill")
+        left = merged.filter((F.col("bin") == F.col("into")) & (F.col("fill") < room - slack)).select("bin", "fill")
+        low = left.filter(2 * F.col("fill") <= room)
+        open_bins = low.unionByName(left.filter(2 * F.col("fill") > room).orderBy("fill", "bin").limit(low.count()))
         count = open_bins.count()
     return placed.select("doc_id", "piece", "start", "length", "ids_crc32", F.col("bin").alias("sequence_id"), F.col("at").alias("offset"))
 

@@ -474,6 +474,20 @@ def test_packing(spark, sample):
     assert packing.pack_documents(docs(spark, [])).collect() == []
 
 
+def test_packing_leaves_no_two_open_sequences_that_fit_together(spark):
+    r = random.Random(6)
+    df = docs(spark, [(i, words(r.choice([6, 7, 8, 9, 10, 11, 12]), i)) for i in range(6000)]).repartition(8)
+    rows = packing.pack_documents(df, room=64, slack=2, group=30, chunk=10).collect()
+    fill, spans = Counter(), defaultdict(list)
+    for x in rows:
+        fill[x["sequence_id"]] += x["length"]
+        spans[x["sequence_id"]].append((x["offset"], x["length"]))
+    assert len({x["doc_id"] for x in rows}) == 6000
+    assert all(a + n == b for s in map(sorted, spans.values()) for (a, n), (b, _) in zip(s, s[1:]))
+    low = sorted(f for f in fill.values() if f < 62)
+    assert low[0] + low[1] > 64
+
+
 def test_best_fit_is_tight():
     bins, at, fills = packing.best_fit(np.array([4, 6, 5, 5, 3, 7, 10]), 10)
     assert len(fills) == 4 and fills.tolist() == [10] * 4
