@@ -368,7 +368,7 @@ def score_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
 @plan(
     "keep_last_snapshots",
     f"SELECT project, snapshot_id, score FROM (SELECT *, row_number() OVER (PARTITION BY project ORDER BY ts DESC, snapshot_id DESC) AS n FROM (SELECT {', '.join(_SNAPSHOTS)} FROM events)) WHERE n <= 20",
-    covers="J8 L13",
+    covers="J8",
 )
 def keep_last_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.keep_last(table(spark, sf_dir, "events").selectExpr(*_SNAPSHOTS), 20).select("project", "snapshot_id", "score")

@@ -71,7 +71,6 @@ def stream_daily_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""WITH e AS (SELECT client_id, created_at, CASE WHEN created_at - lag(created_at) OVER w < INTERVAL 6 HOURS THEN 0 ELSE 1 END AS fresh FROM ({TELEMETRY.sql}) WINDOW w AS (PARTITION BY client_id ORDER BY created_at)),
     s AS (SELECT *, sum(fresh) OVER (PARTITION BY client_id ORDER BY created_at) AS n FROM e)
     SELECT client_id, min(created_at) AS started_at, max(created_at) + INTERVAL 6 HOURS AS ended_at, count(*) AS events FROM s GROUP BY client_id, n""",
-    covers="L5",
 )
 def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = _stream(spark, sf_dir, "events").selectExpr(*TELEMETRY.columns)

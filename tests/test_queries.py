@@ -26,3 +26,9 @@ def test_entry_points(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
     first = entry.entry(spark)
     assert first.columns[:3] == ["origin", "family", "rule_id"] and not first.isEmpty()
+
+
+def test_covers_leaves_out_what_no_query_runs():
+    from siftlake.plans import PLANS
+
+    assert not {"L5", "L13", "A15"} & {code for plan in PLANS.values() for code in plan.covers}
