@@ -17,10 +17,12 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftlake.llm.shared import lean, small, table, unit_interval
+from siftlake.llm.shared import lean, small, stored, table, unit_interval
 from siftlake.llm.shingles import slices, text_bytes
 
 BUCKETS = 1 << 16
+#: What a row says about its language besides its text.
+SIGNS = ("declared", "suffix", "host", "site")
 
 
 def trigrams(texts: pa.Array, step: int = 2 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -114,7 +116,7 @@ def identify(rows: DataFrame, model: TextModel, text: str, declared: str, suffix
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, scores.size + 1, len(languages), dtype=np.int32)), pa.array(scores.ravel().astype(np.float64)))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], lists, pa.array(n.astype(np.int64))], [*batch.schema.names[:-1], "s", "n"])
 
-    schema = ", ".join([*(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(fields)), *(f"{c} string" for c in ("declared", "suffix", "host", "site")), "s array<double>", "n bigint"])
+    schema = ", ".join([*(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(fields)), *(f"{c} string" for c in SIGNS), "s array<double>", "n bigint"])
     seen = inner.transform(lean).mapInArrow(scan, schema)
     evidence = rows.select(F.col(text).cast("string").alias("text"), *signs)
 
@@ -122,10 +124,11 @@ def identify(rows: DataFrame, model: TextModel, text: str, declared: str, suffix
         for batch in small(batches):
             scores, n = model.scores(batch.column("text"))
             best = pa.array(np.where(n > 0, scores.argmax(axis=1), -1).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([best, *batch.columns[1:]], ["best", "declared", "suffix", "host", "site"])
+            yield pa.RecordBatch.from_arrays([best, *batch.columns[1:]], ["best", *SIGNS])
 
-    # Counts by (language, declared, suffix, host, site): made within each task before anything is shuffled.
-    tally = evidence.transform(lean).mapInArrow(first_look, "best int, declared string, suffix string, host string, site string").filter("best >= 0").groupBy("best", "declared", "suffix", "host", "site").agg(F.count("*").alias("n"))
+    # Counts by (language, declared, suffix, host, site): made within each task before anything is shuffled, and written once.
+    looked = evidence.transform(lean).mapInArrow(first_look, ", ".join(["best int", *(f"{c} string" for c in SIGNS)]))
+    tally = stored(looked.groupBy("best", *SIGNS).agg(F.count("*").alias("n")), "tally")
     fused = _fuse(seen, tally, languages, trust, floor)
     return fused.select(*[F.col(f"c{i}").alias(f.name) for i, f in enumerate(fields)], "language", "confidence", "text_language", "n_trigrams", "rejected")
 
@@ -135,29 +138,42 @@ def _by_language(key: str, tally: DataFrame, n_languages: int) -> DataFrame:
     return tally.filter(F.col(key).isNotNull()).groupBy(key).agg(F.array(*[F.sum(F.when(F.col("best") == k, F.col("n")).otherwise(F.lit(0))).cast("double") for k in range(n_languages)]).alias("c"))
 
 
+def _look_up(rows: DataFrame, key: str, side: DataFrame) -> DataFrame:
+    """Left join on a key; rows without it match nothing and are spread by the rest of their keys."""
+    spread = F.concat(F.lit("\0"), F.xxhash64(*SIGNS).cast("string"))
+    return rows.withColumn("_key", F.coalesce(F.col(key), spread)).join(side.withColumnRenamed(key, "_key"), "_key", "left").drop("_key")
+
+
 def _fuse(seen: DataFrame, tally: DataFrame, languages: tuple[str, ...], trust: float, floor: float) -> DataFrame:
+    """Posteriors of all rows.  Evidence is put together for the different combinations of signs, without any text, and joined to the rows once."""
     size = len(languages)
     total = tally.agg(*[F.sum(F.when(F.col("best") == k, F.col("n")).otherwise(F.lit(0))) for k in range(size)]).first()
     all_rows = np.array([float(x or 0) for x in total]) + 1.0
     base = all_rows / all_rows.sum()
     everyone = F.array(*[F.lit(float(x)) for x in base])
-    of_language = F.array(*[F.lit(float(x)) for x in all_rows])
     zero = F.array(*[F.lit(0.0)] * size)
 
     def smooth(counts: Column, parent: Column) -> Column:
         n = F.aggregate(counts, F.lit(0.0), lambda a, x: a + x)
         return F.zip_with(counts, parent, lambda c, p: (c + trust * p) / (n + trust))
 
-    sites = _by_language("site", tally, size).select(F.col("site").alias("_site"), smooth(F.col("c"), everyone).alias("_site_p"))
-    hosts = _by_language("host", tally, size).select(F.col("host").alias("_host"), F.col("c").alias("_host_c"))
+    sites = _by_language("site", tally, size).select("site", smooth(F.col("c"), everyone).alias("_site_p"))
+    hosts = _by_language("host", tally, size).select("host", F.col("c").alias("_host_c"))
     # P(value | language) up to a factor that all languages share: a value seen as often as chance has it says nothing.
-    trust_of = {name: _by_language(name, tally, size).select(F.col(name).alias(f"_{name}"), F.zip_with(smooth(F.col("c"), everyone), everyone, lambda c, p: F.log(c) - F.log(p)).alias(f"_{name}_w")) for name in ("declared", "suffix")}
-    out = seen
-    for key, name, side in (("site", "_site", sites), ("host", "_host", hosts), ("declared", "_declared", trust_of["declared"]), ("suffix", "_suffix", trust_of["suffix"])):
-        out = out.join(side, F.col(key) == F.col(name), "left").drop(name)
+    trust_of = {name: _by_language(name, tally, size).select(name, F.zip_with(smooth(F.col("c"), everyone), everyone, lambda c, p: F.log(c) - F.log(p)).alias(f"_{name}_w")) for name in ("declared", "suffix")}
+    some = F.coalesce(*SIGNS).isNotNull()
+    combined = tally.filter(some).select(*SIGNS).distinct()
+    for key, side in (("site", sites), ("host", hosts), ("declared", trust_of["declared"]), ("suffix", trust_of["suffix"])):
+        combined = _look_up(combined, key, side)
     prior = smooth(F.coalesce("_host_c", zero), F.coalesce("_site_p", everyone))
-    log_sum = F.zip_with(F.zip_with(F.transform(prior, lambda p: F.log(p)), F.col("s"), lambda a, b: a + b), F.zip_with(F.coalesce("_declared_w", zero), F.coalesce("_suffix_w", zero), lambda a, b: a + b), lambda a, b: a + b)
-    out = out.withColumn("_l", log_sum).withColumn("_m", F.array_max("_l"))
+    weight = F.zip_with(F.zip_with(F.transform(prior, lambda p: F.log(p)), F.coalesce("_declared_w", zero), lambda a, b: a + b), F.coalesce("_suffix_w", zero), lambda a, b: a + b)
+    known = stored(combined.select(F.xxhash64(*SIGNS).alias("_k"), *[F.col(c).alias(f"_{c}") for c in SIGNS], weight.alias("_e")), "evidence")
+    # Rows without any sign match nothing; the hash of their scores spreads them.
+    left = seen.withColumn("_k", F.when(some, F.xxhash64(*SIGNS)).otherwise(F.xxhash64("s", "n")))
+    same = [left["_k"] == known["_k"], *(left[c].eqNullSafe(known[f"_{c}"]) for c in SIGNS)]
+    out = left.join(known, same, "left")
+    alone = F.array(*[F.lit(float(x)) for x in np.log(base)])
+    out = out.withColumn("_l", F.zip_with(F.coalesce("_e", alone), F.col("s"), lambda a, b: a + b)).withColumn("_m", F.array_max("_l"))
     names = F.array(*[F.lit(x) for x in languages])
     confidence = 1 / F.aggregate(F.transform("_l", lambda x: F.exp(x - F.col("_m"))), F.lit(0.0), lambda a, x: a + x)
     out = out.withColumn("confidence", confidence).withColumn("rejected", (F.col("n") == 0) | (F.col("confidence") < floor))
@@ -192,6 +208,11 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, model: TextModel) -> DataFrame:
-    """Documents whose language is identified, with their own columns: ``lang`` is what they declare and ``source`` their host."""
+    """Documents whose language is identified, with their own columns: ``lang`` is what they declare and ``source`` their host.
+
+    Without any labelled row there is no model, nothing is known and all documents stay.
+    """
+    if not model.languages:
+        return docs
     marked = docs.withColumn("_none", F.lit(None).cast("string"))
     return identify(marked, model, "text", "lang", "_none", "source", "_none").filter(~F.col("rejected")).select(*docs.columns)

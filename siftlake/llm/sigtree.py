@@ -44,7 +44,7 @@ def band_keys(tokens: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """(doc_id, n, fp, keys) of (doc_id, text): size, 128-bit hash and routing keys of the shingle set."""
+    """(doc_id, h, n, fp, keys) of (doc_id, h, text): size, 128-bit hash and routing keys of the shingle set."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):
             sizes, prints, keys = [], [], []
@@ -54,10 +54,10 @@ def sketches(docs: DataFrame) -> DataFrame:
                 keys.append(band_keys(tokens) if len(tokens) else np.zeros(0, np.int64))
             ends = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([
-                batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()),
-                pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *keys])))], ["doc_id", "n", "fp", "keys"])
+                batch.column("doc_id"), batch.column("h"), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()),
+                pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *keys])))], ["doc_id", "h", "n", "fp", "keys"])
 
-    return docs.transform(lean).mapInArrow(run, "doc_id bigint, n bigint, fp binary, keys array<bigint>")
+    return docs.transform(lean).mapInArrow(run, "doc_id bigint, h bigint, n bigint, fp binary, keys array<bigint>")
 
 
 class SignatureTree:
@@ -183,7 +183,7 @@ def _cross(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """Links (a, b) that connect exactly the classes (node, n, keys) which all links of similarity 0.8 connect.
 
-    ``docs`` (doc_id, text) holds the text of every node.
+    ``docs`` (node, text) holds the text of every node, on one row or on equal ones.
     """
     keyed = classes.select("node", F.explode("keys").alias("key"))
     pivots = keyed.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).filter("pivot < last").select("key", "pivot")
@@ -203,7 +203,7 @@ def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
             sets = [s.tobytes() for s in shingle_sets(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(sets, pa.binary())], [*batch.schema.names[:-1], "tokens"])
 
-    texts = members.join(docs.select(F.col("doc_id").alias("node"), "text"), "node")
+    texts = members.join(docs, "node")
     held = stored(texts.select("node", "family", "trees", "tree", "text").transform(lean).mapInArrow(tokens, "node bigint, family bigint, trees int, tree int, tokens binary"), "tokens")
     # The pivot of a cut family goes to each of its trees.
     pivot = held.filter("trees > 1 AND node = family").select("node", "family", "trees", F.explode(F.expr("sequence(0, trees - 1)")).alias("tree"), "tokens")
@@ -226,22 +226,55 @@ def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     return found.unionByName(pairs.mapInPandas(_cross, "a bigint, b bigint"))
 
 
+def linked_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row: doc_id, h (a hash of the text), n_shingles, component_id, first.
+
+    ``first`` says whether (doc_id, h) is the smallest of its component; rows that nothing can link (without words or id) are first.
+    """
+    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("h", F.xxhash64("text"))
+    sketched = stored(sketches(slim.select("doc_id", "h", "text")), "sketches")
+    # A class is one shingle set.  Its number is given once, when the table is written: one id may stand on different texts.
+    grouped = sketched.filter("n > 0 AND doc_id IS NOT NULL").groupBy("fp").agg(F.min(F.struct("doc_id", "h")).alias("least"), F.first("n").alias("n"), F.first("keys").alias("keys"))
+    classes = stored(grouped.withColumn("node", F.monotonically_increasing_id()), "classes")
+    names = classes.select("node", F.col("least.doc_id").alias("_id"), F.col("least.h").alias("_h"))
+    texts = slim.join(names, (F.col("doc_id") == F.col("_id")) & (F.col("h") == F.col("_h"))).select("node", "text")
+    found = components(links(texts, classes.select("node", "n", "keys")))
+    rooted = classes.select("fp", "node", "least").join(found, "node", "left").select("fp", "least", F.coalesce("root", "node").alias("root"))
+    least = rooted.groupBy("root").agg(F.min("least").alias("top"))
+    known = rooted.join(least, "root").select("fp", "top")
+    out = sketched.select("doc_id", "h", "n", "fp").join(known, "fp", "left")
+    alone = F.col("doc_id").isNull() | (F.col("n") == 0)
+    return out.select(
+        "doc_id", "h", F.col("n").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.col("top.doc_id")).alias("component_id"),
+        (alone | ((F.col("doc_id") == F.col("top.doc_id")) & (F.col("h") == F.col("top.h")))).alias("first"))
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row: doc_id, n_shingles, component_id, the smallest id that links of similarity 0.8 or more reach.
 
     Texts with one shingle set, such as exact copies, are one class and are joined once.  Without words a text is linked
-    with nothing.  Rows with a null id link nothing and have a null component.  Different texts should have different ids.
+    with nothing.  Rows with a null id link nothing and have a null component.  Rows with one id and different texts are
+    different documents.
+    """
+    return linked_rows(docs, id_col, text_col).select("doc_id", "n_shingles", "component_id")
+
+
+def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` without near-duplicates of others: of each component the row with the smallest id, then text hash.
+
+    Of rows equal in id and text one stays, the smallest by its other columns.  Rows without words or id all stay.
     """
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    sketched = stored(sketches(slim), "sketches")
-    classes = stored(sketched.filter("n > 0 AND doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("keys").alias("keys")), "classes")
-    found = components(links(slim, classes.select("node", "n", "keys")))
-    rooted = classes.select("fp", "node").join(found, "node", "left").select("fp", F.coalesce("root", "node").alias("root"))
-    return sketched.select("doc_id", "n", "fp").join(rooted, "fp", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.when(F.col("doc_id").isNotNull(), F.col("root"))).otherwise(F.col("doc_id")).alias("component_id"))
+    found = linked_rows(docs, id_col, text_col).filter("first").groupBy(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), F.col("n_shingles").alias("_n")).agg(F.count("*").alias("_times"))
+    same = F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(F.col(f"`{text_col}`").cast("string")) == F.col("_h"))
+    kept = docs.join(found, same)
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    single = (F.col("_times") == 1) | (F.col("_n") == 0) | F.col("_id").isNull()
+    once = kept.filter(~single).groupBy("_id", "_h").agg(F.min(F.struct(*own)).alias("_row"))
+    return kept.filter(single).select(*own).unionByName(once.select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns]))
 
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all documents.  Nulls, texts without words, copies and repeated ids: see ``jaccard_components``."""
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 

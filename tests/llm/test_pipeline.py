@@ -54,10 +54,37 @@ def test_stages_keep_odd_rows_apart(spark):
             assert out.count() <= 2 * len(rows) + 2, name
 
 
+def test_one_id_on_different_texts(spark):
+    """Documents are told apart by id and text, in the join, in the mix and in the stages."""
+    a, b = ("alpha beta gamma delta epsilon " * 9).split(), [f"w{i}" for i in range(60)]
+    near = [*b[:59], "end"]
+    rows = [(1, " ".join(x), "en", "s", 0) for x in (a, b)] + [(2, " ".join(a + ["more"] * 0), "en", "s", 0), (3, " ".join(near), "en", "s", 0)]
+    docs = spark.createDataFrame(rows * 2, "doc_id long, text string, lang string, source string, n_chars long")
+    for parts in (1, 5):
+        got = {(r["doc_id"], r["component_id"]) for r in sigtree.jaccard_components(docs.repartition(parts)).collect()}
+        assert got == {(1, 1), (2, 1), (3, 1)}
+        kept = corpus_pipeline.near_duplicates(spark, docs.repartition(parts), SMALL).collect()
+        assert sorted((r["doc_id"], r["text"]) for r in kept) == sorted((1, " ".join(x)) for x in (a, b))
+    # Fifty documents without an id, of ten words each, are fifty documents.
+    texts = [(None, " ".join(f"t{i}x{k}" for k in range(10)), "en", "s", 0) for i in range(50)] + [(None, "ten words " * 5, None, "s", k) for k in range(40)] + [(9, "a b c " * 400, "en", "t", 0)]
+    docs = spark.createDataFrame(texts, docs.schema)
+    for parts in (1, 4):
+        taken = mixing.mix(docs.repartition(parts)).groupBy("source").agg({"taken": "sum", "target": "max"}).collect()
+        assert all(abs(r["sum(taken)"] - r["max(target)"]) < (11 if r["source"] == "s" else 1201) for r in taken)
+    once = sorted(tuple(r) for r in mixing.mixed(docs).select("text").groupBy("text").count().collect())
+    assert once == sorted(tuple(r) for r in mixing.mixed(docs.repartition(3)).select("text").groupBy("text").count().collect())
+    assert sum(n for t, n in once if not t.startswith("a b")) * 10 == sum(r["taken"] for r in mixing.mix(docs).collect() if r["source"] == "s")
+
+
+def test_documents_without_any_language_stay(spark):
+    docs = spark.createDataFrame([(i, f"some text number {i}", None, "s", 0) for i in range(50)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(corpus_pipeline.language_id(spark, docs, SMALL).collect()) == sorted(docs.collect())
+
+
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_queries_match_their_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "embeddings"):
+    for t in ("documents", "embeddings", "benchmark"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SMALL}/{t}.parquet'")
     want = con.sql(ORACLES[name])
     got = QUERIES[name](spark, SMALL)
@@ -65,4 +92,4 @@ def test_queries_match_their_sql(spark, name):
 
 
 def test_every_operator_has_a_query():
-    assert [n for n in range(1, 11) if not any(q.startswith(f"op{n}_") for q in QUERIES)] == []
+    assert [n for n in range(1, 14) if not any(q.startswith(f"op{n}_") for q in QUERIES)] == []
