@@ -5,50 +5,37 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from siftlake.llm.bwt import remove_repeats
+from siftlake.llm.bwt import without_repeats
 from siftlake.llm.langid import keep_identified, learn_text_model
-from siftlake.llm.mixing import mix
+from siftlake.llm.mixing import mixed
 from siftlake.llm.packing import pack_documents
 from siftlake.llm.shared import shared_dir
-from siftlake.llm.sigtree import jaccard_components
+from siftlake.llm.sigtree import first_of_each
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is identified.  The text model is learned from these documents' own ``lang``."""
+    """Documents whose language is identified.  The text model is learned from these documents' own ``lang``; without any, all stay."""
     return keep_identified(docs, learn_text_model(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group that links of 0.8 connect; of several rows of that id the first by text."""
-    groups = jaccard_components(docs).filter("doc_id IS NULL OR doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
-    kept = docs.join(groups, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    # Repeated rows of one id are copies; documents without an id are all kept.
-    first = kept.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(F.struct(*[F.col(c) for c in docs.columns if c != "doc_id"])).alias("_row"))
-    return first.select(*[F.col("doc_id") if c == "doc_id" else F.col(f"_row.{c}").alias(c) for c in docs.columns]).unionByName(kept.filter("doc_id IS NULL"))
+    """The document with the smallest id of each group that links of 0.8 connect, and every document without words or id."""
+    return first_of_each(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the bytes that repeat one with a smaller id; a document of which nothing is left goes."""
-    kept = remove_repeats(docs, with_text=True).filter("doc_id IS NOT NULL AND n_removed > 0").select(F.col("doc_id").alias("_id"), F.col("kept_text").alias("_kept"))
-    joined = docs.join(kept, F.col("doc_id") == F.col("_id"), "left")
-    text = F.when(F.col("_id").isNotNull(), F.col("_kept")).otherwise(F.col("text"))
-    cut = joined.withColumn("text", text).filter(F.col("_id").isNull() | (F.col("_kept") != ""))
-    if "n_chars" in docs.columns:
-        cut = cut.withColumn("n_chars", F.when(F.col("_id").isNotNull(), F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return cut.select(*docs.columns)
+    return without_repeats(docs)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it; documents that it does not take go."""
-    taken = mix(docs).filter("taken > 0").select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), F.col("source").alias("_source"), (F.col("taken") / F.col("size")).cast("int").alias("_copies")).distinct()
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source"))
-    size = F.coalesce(F.regexp_count(F.col("text"), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0))
-    return docs.join(taken, same & (size == F.col("_size"))).withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("_copies")))).select(*docs.columns)
+    return mixed(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents' tokens in sequences of at most 2048; a null text is one end id, repeated rows are packed each."""
     return pack_documents(docs)
 
 
