@@ -13,7 +13,7 @@ OSV_SCHEMA = (
     "id STRING, summary STRING, aliases ARRAY<STRING>, severity ARRAY<STRUCT<type: STRING, score: STRING>>, "
     "database_specific STRUCT<severity: STRING>, "
     "affected ARRAY<STRUCT<package: STRUCT<ecosystem: STRING, name: STRING>, versions: ARRAY<STRING>, "
-    "ranges: ARRAY<STRUCT<type: STRING, events: ARRAY<STRUCT<introduced: STRING, fixed: STRING>>>>>>"
+    "ranges: ARRAY<STRUCT<type: STRING, events: ARRAY<STRUCT<introduced: STRING, fixed: STRING, last_affected: STRING>>>>>>"
 )
 
 # What each part of a CVSS vector adds to the base of five.
@@ -144,6 +144,46 @@ def vulnerable_packages(refs: DataFrame, vulnerabilities: DataFrame) -> DataFram
     return left.join(hits, ["ecosystem", "_name", "version"]).select(*refs.columns, "vuln_id", "severity", "fixed_version")
 
 
+def affected_ranges(osv: DataFrame, policy: str = "database") -> DataFrame:
+    """Stretches of affected versions, every one of every range: vuln_id, severity, ecosystem, package_name, low, high, with_high, listed, fixed_version.
+
+    A range is a time line of events.  From an ``introduced`` on versions are affected until the next event: before it, or up to
+    and with it where that is a ``last_affected``.  Events come in any order; of equal versions ``introduced`` is the last.
+    ``low`` and ``high`` are version keys, null beyond the last event.  A version that an advisory lists by name is a
+    row with ``listed``.  ``fixed_version`` is the first fix behind the start of the stretch.
+    """
+    entries = osv.selectExpr("id AS vuln_id", f"{osv_severity(policy)} AS severity", "explode(affected) AS a").filter("a.package.name <> ''")
+    named = entries.select("vuln_id", "severity", normalize_ecosystem(F.col("a.package.ecosystem")).alias("ecosystem"), F.col("a.package.name").alias("package_name"), "a")
+    kinds = ("fixed", "last_affected", "introduced")
+    event = " ".join(f"WHEN e.{k} <> '' THEN named_struct('key', {version_key(f'e.{k}')}, 'rank', {i}, 'version', e.{k})" for i, k in enumerate(kinds))
+    lines = named.selectExpr("*", "explode(a.ranges) AS _range").selectExpr("*", f"array_sort(array_compact(transform(_range.events, e -> CASE {event} END))) AS _events")
+    found = lines.selectExpr(
+        "vuln_id", "severity", "ecosystem", "package_name",
+        "inline(filter(transform(_events, (e, i) -> named_struct('rank', e.rank, 'low', e.key, 'next', get(_events, i + 1), "
+        "'fixed_version', get(filter(slice(_events, i + 2, size(_events)), x -> x.rank = 0), 0).version)), x -> x.rank = 2))")
+    stretches = found.selectExpr("vuln_id", "severity", "ecosystem", "package_name", "low", "next.key AS high", "coalesce(next.rank = 1, false) AS with_high", "CAST(NULL AS STRING) AS listed", "fixed_version")
+    none = "CAST(NULL AS ARRAY<BIGINT>)"
+    listed = named.selectExpr("vuln_id", "severity", "ecosystem", "package_name", f"{none} AS low", f"{none} AS high", "false AS with_high", "explode(a.versions) AS listed", "CAST(NULL AS STRING) AS fixed_version")
+    return stretches.unionByName(listed.filter("listed IS NOT NULL"))
+
+
+def affected_references(refs: DataFrame, ranges: DataFrame) -> DataFrame:
+    """References to affected versions, one row per reference and advisory, with severity and fixed_version, the lowest fix.
+
+    Each version of a package meets the package's stretches once, however many references it has; names listed by an
+    advisory are an equality join of their own.
+    """
+    left = refs.filter("version IS NOT NULL").withColumn("_name", F.lower("name"))
+    versions = left.select("ecosystem", "_name", "version").distinct().withColumn("_key", F.expr(version_key("version")))
+    right = ranges.withColumn("_name", F.lower("package_name")).drop("package_name")
+    inside = versions.join(right.filter("listed IS NULL"), ["ecosystem", "_name"]).filter("_key >= low AND (high IS NULL OR _key < high OR with_high AND _key = high)")
+    named = versions.join(right.filter("listed IS NOT NULL").withColumnRenamed("listed", "version"), ["ecosystem", "_name", "version"])
+    columns = ["ecosystem", "_name", "version", "vuln_id", "severity", "fixed_version"]
+    fix = F.when(F.col("fixed_version").isNotNull(), F.struct(F.expr(version_key("fixed_version")).alias("key"), "fixed_version"))
+    hits = inside.select(columns).unionByName(named.select(columns)).groupBy(*columns[:4]).agg(F.max("severity").alias("severity"), F.min(fix).getField("fixed_version").alias("fixed_version"))
+    return left.join(hits, ["ecosystem", "_name", "version"]).select(*refs.columns, "vuln_id", "severity", "fixed_version")
+
+
 def highest_severity(vulnerabilities: DataFrame, keys: list[str]) -> DataFrame:
     rank = F.max(severity_rank(F.col("severity")))
     return vulnerabilities.groupBy(*keys).agg(severity_label(rank).alias("highest_severity"))

@@ -6,7 +6,7 @@ from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -135,16 +135,33 @@ def merge_regions(regions: DataFrame) -> DataFrame:
     return ordered.drop("ts", "region_id").mapInPandas(_fold_regions, schema)
 
 
+def covering_blocks(start: str, end: str, levels: int) -> Column:
+    """The fewest aligned blocks (level, block) that make up the lines ``start`` to ``end``: at most two for each level.
+
+    Block b of level k holds the lines from b * 2**k on, 2**k of them.  SQL text in, an array out; empty where ``end`` is before ``start``.
+    """
+    first, past = f"shiftright({start} + shiftleft(1L, k) - 1, k)", f"shiftright({end} + 1L, k)"
+    block = "named_struct('level', k, 'block', {0})"
+    left = f"IF({first} < {past} AND {first} % 2 = 1, {block.format(first)}, NULL)"
+    right = f"IF({first} < {past} AND {past} % 2 = 1, {block.format(past + ' - 1')}, NULL)"
+    return F.expr(f"flatten(transform(sequence(0, {levels}), k -> array_compact(array({left}, {right}))))")
+
+
 def attribute_findings(findings: DataFrame, regions: DataFrame) -> DataFrame:
     """Author of each finding's line: the first region that covers it, else unknown.
 
-    Regions are expanded to their lines and reduced to one author per line, so the interval
-    join becomes an equality join.
+    A region becomes its aligned blocks of lines, a line the blocks that hold it, one for each level: the interval join is an
+    equality join, whose sides grow with the logarithm of a region's length.  Of the regions that share a block only the
+    first can be a line's author.
     """
-    lines = regions.select("file_id", "start_line", "end_line", "source", "confidence",
-                           F.explode(F.sequence("start_line", "end_line")).alias("line_no"))
-    author = lines.groupBy("file_id", "line_no").agg(
-        F.min_by(F.struct("source", "confidence"), F.struct("start_line", "end_line", "source")).alias("_a"))
+    longest = regions.agg(F.max(F.col("end_line") - F.col("start_line"))).first()[0]
+    levels = max(0, longest or 0).bit_length() + 1
+    blocks = regions.select("file_id", "start_line", "end_line", "source", "confidence", F.inline(covering_blocks("CAST(start_line AS BIGINT)", "CAST(end_line AS BIGINT)", levels)))
+    order = F.struct("start_line", "end_line", "source")
+    first = blocks.groupBy("file_id", "level", "block").agg(F.min(F.struct(order.alias("at"), F.struct("source", "confidence").alias("who"))).alias("_r"))
+    lines = findings.select("file_id", "line_no").filter("line_no IS NOT NULL").distinct()
+    holding = lines.select("file_id", "line_no", F.expr(f"inline(transform(sequence(0, {levels}), k -> named_struct('level', k, 'block', shiftright(CAST(line_no AS BIGINT), k))))"))
+    author = holding.join(first, ["file_id", "level", "block"]).groupBy("file_id", "line_no").agg(F.min("_r").getField("who").alias("_a"))
     joined = findings.join(author, ["file_id", "line_no"], "left")
     return joined.select(*findings.columns, F.coalesce("_a.source", F.lit("unknown")).alias("source"),
                          F.coalesce("_a.confidence", F.lit(0.0)).alias("confidence"))

@@ -160,6 +160,51 @@ def vuln_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.count("*").alias("refs"), F.countDistinct("project").alias("projects"))
 
 
+# Advisories of four forms: several pairs in one range, two ranges with a last affected version, events out of order, listed versions.
+_TIMED_RANGES = (
+    """[{"type":"SEMVER","events":[{"introduced":"0"},{"fixed":"1.@A@.0"},{"introduced":"2.0.0"},{"fixed":"2.@B@.1"}]}]""",
+    """[{"type":"SEMVER","events":[{"introduced":"1.@A@.0"},{"last_affected":"3.@B@.2"}]},{"type":"SEMVER","events":[{"introduced":"5.0.0"}]}]""",
+    """[{"type":"SEMVER","events":[{"fixed":"4.@A@.0"},{"introduced":"4.0.0"},{"last_affected":"6.@B@.0"},{"introduced":"4.9.0"},{"fixed":"7.0.0"}]}]""",
+    "[]",
+)
+_TIMED_ECOSYSTEM = "CASE p_partkey % 4 WHEN 0 THEN 'npm' WHEN 1 THEN 'PyPI' WHEN 2 THEN 'Go' ELSE 'crates.io' END"
+_TIMED = """{"id":"TIMED-@K@","summary":"s","severity":[],"database_specific":{"severity":"HIGH"},"affected":[{"package":{"ecosystem":"@ECO@","name":"PKG-@K@"},"versions":@VERSIONS@,"ranges":@RANGES@}]}"""
+_TIMED_FORM = "(p_partkey + p_size) % 4"
+_TIMED_EVENTS = (
+    (0, 0, "introduced", "'0'"), (0, 0, "fixed", "'1.' || a || '.0'"), (0, 0, "introduced", "'2.0.0'"), (0, 0, "fixed", "'2.' || b || '.1'"),
+    (1, 0, "introduced", "'1.' || a || '.0'"), (1, 0, "last_affected", "'3.' || b || '.2'"), (1, 1, "introduced", "'5.0.0'"),
+    (2, 0, "introduced", "'4.0.0'"), (2, 0, "fixed", "'4.' || a || '.0'"), (2, 0, "introduced", "'4.9.0'"), (2, 0, "last_affected", "'6.' || b || '.0'"), (2, 0, "fixed", "'7.0.0'"),
+)
+
+
+def timed_advisories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    forms = "element_at(array(" + ", ".join(quote(r) for r in _TIMED_RANGES) + f"), CAST({_TIMED_FORM} + 1 AS INT))"
+    versions = f"IF({_TIMED_FORM} = 3, '[\"1.@A@.0\",\"2.@B@.1\"]', '[]')"
+    marks = {"@ECO@": _TIMED_ECOSYSTEM, "@VERSIONS@": versions, "@RANGES@": forms, "@K@": "CAST(p_partkey AS STRING)", "@A@": "CAST(p_size % 9 AS STRING)", "@B@": "CAST(p_partkey % 7 AS STRING)"}
+    return table(spark, sf_dir, "part").selectExpr(f"from_json({fill(quote(_TIMED), marks)}, '{advisories.OSV_SCHEMA}') AS j").select("j.*")
+
+
+@plan(
+    "osv_timeline_join",
+    f"""WITH r AS ({REFS_SQL}), p AS (SELECT p_partkey, {_TIMED_FORM} AS form, CAST(p_size % 9 AS VARCHAR) AS a, CAST(p_partkey % 7 AS VARCHAR) AS b FROM part),
+    e AS ({" UNION ALL ".join(f"SELECT p_partkey, {n} AS rng, '{kind}' AS kind, {v} AS version FROM p WHERE form = {form}" for form, n, kind, v in _TIMED_EVENTS)}),
+    k AS (SELECT *, {_key_sql('version')} AS key, CASE kind WHEN 'introduced' THEN 1 ELSE 0 END AS late FROM e),
+    v AS (SELECT DISTINCT name, version, {_key_sql('version')} AS vkey, CAST(substr(name, 5) AS BIGINT) AS p_partkey FROM r),
+    s AS (SELECT name, v.version, p_partkey, rng, arg_max(kind, (key, late)) FILTER (WHERE key <= vkey) AS kind, max(key) FILTER (WHERE key <= vkey) AS latest,
+        min((key, k.version)) FILTER (WHERE kind = 'fixed' AND key > vkey) AS fix, any_value(vkey) AS vkey FROM v JOIN k USING (p_partkey) GROUP BY ALL),
+    hit AS (SELECT name, version, p_partkey, fix FROM s WHERE kind = 'introduced' OR kind = 'last_affected' AND latest = vkey
+        UNION ALL SELECT name, version, p_partkey, NULL FROM v JOIN p USING (p_partkey) WHERE form = 3 AND version IN ('1.' || a || '.0', '2.' || b || '.1')),
+    h AS (SELECT name, version, p_partkey, min(fix) AS fix FROM hit GROUP BY ALL)
+    SELECT 'TIMED-' || p_partkey AS vuln_id, r.ecosystem, version, (fix)[2] AS fixed_version, count(*) AS refs, count(DISTINCT project) AS projects
+    FROM r JOIN h USING (name, version) GROUP BY ALL""",
+    covers="A10 E9 G6 H6",
+)
+def osv_timeline_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """References whose version an advisory's time lines cover: several pairs, ranges, last affected and listed versions."""
+    found = advisories.affected_references(REFERENCES.frame(spark, sf_dir), advisories.affected_ranges(timed_advisories(spark, sf_dir)))
+    return found.groupBy("vuln_id", "ecosystem", "version", "fixed_version").agg(F.count("*").alias("refs"), F.countDistinct("project").alias("projects"))
+
+
 # Advisories as documents: two affected packages, the first with two ranges.
 _OSV = """{"id":"OSV-@K@","summary":"s","aliases":["CVE-2024-@K@","GHSA-@K@"],"severity":[@SEV@],"database_specific":{"severity":"@DB@"},"affected":[{"package":{"ecosystem":"@ECO@","name":"pkg-@K@"},"ranges":[{"type":"SEMVER","events":[{"introduced":"0"},{"fixed":"1.@S@.0"}]},{"type":"SEMVER","events":[{"introduced":"2.0.0"},{"fixed":"2.@S@.1"}]}]},{"package":{"ecosystem":"npm","name":"twin-@K@"},"ranges":[{"type":"SEMVER","events":[{"introduced":"3.@S@.0"}]}]}]}"""
 _OSV_FILL = {

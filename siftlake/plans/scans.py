@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftlake.operators import files, scan
+from siftlake.operators.rule_table import rejected_rules, scan_rules
 from siftlake.plans.examples import EXAMPLES
 from siftlake.plans.oracle import findings_sql, lines_sql
 from siftlake.plans.registry import plan
@@ -169,6 +170,48 @@ def policy_pattern_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("file_id", "line_no", "rule_id")
 
 
+# Neighbouring words of the benchmark's passages as rules: six forms, of which one does not compile and one has no literal.
+_RULES = (
+    "SELECT concat('R', CAST(item_id AS STRING), '-', CAST(k AS STRING)) AS rule_id, element_at({severities}, CAST(k % 4 + 1 AS INT)) AS severity, form, "
+    "CASE form WHEN 0 THEN concat(a, '\\s+', b) WHEN 1 THEN concat('\\b', a, '[ ,.]+(?:and\\s+)?', b, '\\b') WHEN 2 THEN concat('(?:', a, '|', b, 'x)\\s', b) "
+    "WHEN 3 THEN concat('(', a, ' (', b) WHEN 4 THEN concat('^', substring(a, 1, 1), '[a-z]?[a-z]? ', '.?.?$') ELSE concat(a, '(?: ', b, ')+\\W') END AS pattern, a, b FROM pairs"
+)
+_RULE_PAIRS = "SELECT item_id, k, CAST((item_id + k) % 6 AS INT) AS form, lower(w[k]) AS a, lower(w[k + 1]) AS b"
+_RULES_SQL = (
+    "words AS (SELECT item_id, regexp_extract_all(text, '[A-Za-z]+') AS w FROM benchmark), "
+    f"pairs AS ({_RULE_PAIRS} FROM (SELECT item_id, w, unnest(range(1, len(w))) AS k FROM words) WHERE len(w[k]) >= 3), "
+    "rules AS (" + _RULES.format(severities="['low', 'medium', 'high', 'critical']").replace("CAST(k AS STRING)", "CAST(k AS VARCHAR)").replace("element_at(", "list_extract(") + ")"
+)
+
+
+def _rule_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = table(spark, sf_dir, "benchmark").selectExpr("item_id", "regexp_extract_all(text, '[A-Za-z]+', 0) AS w")
+    pairs = words.selectExpr("item_id", "w", "explode(sequence(1, greatest(size(w) - 1, 1))) AS k").filter("k < size(w)")
+    pairs = pairs.selectExpr("item_id", "k", "CAST((item_id + k) % 6 AS INT) AS form", "lower(element_at(w, k)) AS a", "lower(element_at(w, k + 1)) AS b").filter("length(a) >= 3")
+    text = _RULES.format(severities="array('low', 'medium', 'high', 'critical')").replace("\\", "\\\\").replace("FROM pairs", "FROM {pairs}")
+    return spark.sql(text, pairs=pairs).select("rule_id", "severity", "pattern")
+
+
+@plan(
+    "rule_table_scan",
+    f"""WITH {_document_lines('file_id, source')}, {_RULES_SQL}
+    SELECT rule_id, severity, count(*) AS findings, count(DISTINCT file_id) AS files, CAST(sum(length(regexp_extract(line, pattern, 0, 'i'))) AS BIGINT) AS letters
+    FROM (SELECT *, lower(line) AS low FROM lines) JOIN rules ON CASE WHEN form = 3 THEN false WHEN form = 4 AND length(line) > 6 THEN false
+        WHEN form <> 4 AND NOT contains(low, b) THEN false WHEN form NOT IN (2, 4) AND NOT contains(low, a) THEN false ELSE regexp_matches(line, pattern, 'i') END GROUP BY ALL""",
+    covers="D2",
+)
+def rule_table_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Thousands of rules in a table against every line of the documents."""
+    found = scan_rules(_documents(spark, sf_dir), _rule_rows(spark, sf_dir))
+    return found.groupBy("rule_id", "severity").agg(F.count("*").alias("findings"), F.countDistinct("file_id").alias("files"), F.sum(F.col("col_end") - F.col("col_start")).alias("letters"))
+
+
+@plan("rejected_rule_rows", f"WITH {_RULES_SQL} SELECT rule_id, severity, pattern FROM rules WHERE form = 3", covers="D2")
+def rejected_rule_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules of the same table whose patterns do not compile."""
+    return rejected_rules(_rule_rows(spark, sf_dir))
+
+
 _ALL_TEXT = tuple(FAMILIES)
 _MIXED = tuple(e for n in _ALL_TEXT for e in EXAMPLES[n])
 _MIXED_SQL = (
