@@ -66,3 +66,31 @@ def scan_model_artifacts(artifacts: DataFrame) -> DataFrame:
     listed = shaped.selectExpr("*", f"IF(format = 'pickle', {opcodes}, array()) AS _globals")
     found = f"CASE format WHEN 'pickle' THEN {pickle} WHEN 'keras' THEN {keras} WHEN 'onnx' THEN {onnx} WHEN 'safetensors' THEN {tensors} ELSE {config} END"
     return listed.selectExpr("path", "format", f"inline({found})")
+
+
+def scan_pickle_references(references: DataFrame) -> DataFrame:
+    """Findings of the names that pickles refer to: path, rule_id, severity, evidence and calls, how often the name is called.
+
+    ``references``: as :func:`siftlake.sources.artifacts.read_pickle_references` gives them.  A name that an opcode spells out is
+    judged by all rules, one that is put together on the stack only by the list of dangerous ones.
+    """
+    usual, words = quote(models.USUAL_MODULES.replace(r"\b", r"(?!\w)")), quote(models.UNUSUAL_WORDS)
+    rule = F.expr(
+        f"CASE WHEN array_contains({_strings(models.DANGEROUS_GLOBALS)}, name) THEN IF(stacked, 'CG_MODEL_PKL_004', 'CG_MODEL_PKL_001') "
+        f"WHEN NOT stacked AND array_contains({_strings(models.SUSPICIOUS_GLOBALS)}, name) THEN 'CG_MODEL_PKL_002' "
+        f"WHEN NOT stacked AND NOT regexp_replace(name, '[.][^.]*$', '') RLIKE {usual} AND name RLIKE {words} THEN 'CG_MODEL_PKL_003' END")
+    severity = F.expr("CASE rule_id WHEN 'CG_MODEL_PKL_002' THEN 'medium' WHEN 'CG_MODEL_PKL_003' THEN 'high' ELSE 'critical' END")
+    named = references.filter("name IS NOT NULL").withColumn("rule_id", rule).filter("rule_id IS NOT NULL").withColumn("severity", severity)
+    return named.groupBy("path", "rule_id", "severity", F.col("name").alias("evidence")).agg(F.count_if("called").alias("calls"))
+
+
+def scan_byte_ranges(ranges: DataFrame) -> DataFrame:
+    """Findings of model files other than pickles, each once, from ranges that overlap by more than any pattern is long.
+
+    ``ranges``: as :func:`siftlake.sources.artifacts.read_byte_ranges` gives them.
+    """
+    others = ranges.filter(~model_format(F.col("path")).isin("pickle", "unknown"))
+    # The file's first bytes tell its kind in every range; what has a header is judged by its first range.
+    whole = F.when(F.col("start") > 0, F.concat("head", "content")).otherwise(F.col("content"))
+    headed = model_format(F.col("path")).isin("keras", "onnx") | (F.col("start") == 0)
+    return scan_model_artifacts(others.filter(headed).select("path", whole.alias("content"))).distinct()
