@@ -9,7 +9,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftlake.operators import telemetry
+from siftlake.operators import scoring, telemetry
 from siftlake.plans.activity import _FOLDED_SQL, _SUB_EVENTS, _SUBS
 from siftlake.plans.derived import EVENT_PUBLICATIONS, REPORTS, TELEMETRY
 from siftlake.plans.oracle import findings_sql, lines_sql
@@ -201,6 +201,110 @@ def stream_consolidate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ntz(done, "last_seen")
 
 
+def _in_time(rows: DataFrame, work: str, time: str, files: int = _EVENT_FILES, late: DataFrame | None = None) -> DataFrame:
+    """Rows as a stream of files, one micro-batch each, in order of time; ``late`` comes as a last file."""
+    path, spark = os.path.join(work, "in"), rows.sparkSession
+    low, high = rows.agg(F.unix_micros(F.min(F.col(time).cast("timestamp"))), F.unix_micros(F.max(F.col(time).cast("timestamp")))).first()
+    step = F.least(F.floor((F.unix_micros(F.col(time).cast("timestamp")) - F.lit(low)) * files / F.lit(max(1, high - low))), F.lit(files - 1))
+    for part in [*(rows.filter(step == k) for k in range(files)), *([late] if late is not None else [])]:
+        part.coalesce(1).write.mode("append").parquet(path)
+    return with_zones(spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path))
+
+
+def _with_rocksdb(spark: SparkSession, run):
+    """What needs the RocksDB store; the session's own choice is put back afterwards."""
+    store = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(store)
+    spark.conf.set(store, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        return run()
+    finally:
+        spark.conf.set(store, before)
+
+
+# Edits: the events' times, sixty thousand times as fast.
+_EDIT_COLUMNS = ("CAST(user_id AS STRING) AS document_id", "event_id % 3 = 0 AS is_generated")
+_QUICK_SQL = "make_timestamp(epoch_us(ts) // 60000)"
+
+
+@plan(
+    "stream_debounce",
+    f"""WITH e AS (SELECT {', '.join(_EDIT_COLUMNS)}, {_QUICK_SQL} AS t, t + CASE WHEN event_id % 3 = 0 THEN INTERVAL 100 MILLISECONDS ELSE INTERVAL 500 MILLISECONDS END AS until FROM events),
+    f AS (SELECT *, CASE WHEN t <= max(until) OVER (PARTITION BY document_id ORDER BY t, until ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS fresh FROM e),
+    s AS (SELECT *, sum(fresh) OVER (PARTITION BY document_id ORDER BY t, until) AS n FROM f),
+    g AS (SELECT document_id, min(t) AS started_at, max(until) AS ended_at, count(*) AS edits FROM s GROUP BY document_id, n)
+    SELECT * FROM g WHERE epoch_us(ended_at) <= 1000 * ((SELECT max(epoch_us(t)) // 1000 FROM e) - 2000)""",
+    covers="L5",
+)
+def stream_debounce(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bursts of edits with a pause that depends on the editor, over several batches: those that the last watermark has closed."""
+    work = _workspace(spark)
+    rows = table(spark, sf_dir, "events").selectExpr(*_EDIT_COLUMNS, "timestamp_micros(unix_micros(CAST(ts AS TIMESTAMP)) div 60000) AS created_at")
+    done = _append(streams.stream_debounce(_in_time(rows, work, "created_at"), "2 seconds"), work)
+    return _ntz(done, "started_at", "ended_at")
+
+
+@plan(
+    "stream_cache_answers",
+    """WITH RECURSIVE t AS (SELECT DISTINCT 'pkg-' || (event_id % 97) AS key, make_timestamp(epoch_us(ts) // 24) AS ts FROM events),
+    a AS (SELECT key, min(ts) AS answered_at FROM t GROUP BY key
+        UNION ALL SELECT a.key, n.ts FROM a JOIN LATERAL (SELECT min(ts) AS ts FROM t WHERE t.key = a.key AND t.ts >= a.answered_at + INTERVAL 60 MINUTES) n ON n.ts IS NOT NULL)
+    SELECT key, answered_at FROM a""",
+    covers="L7",
+)
+def stream_cache_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests about packages that a cache of one hour does not answer, over several batches with gaps."""
+    work = _workspace(spark)
+    rows = table(spark, sf_dir, "events").selectExpr("concat('pkg-', CAST(event_id % 97 AS STRING)) AS package_name", "timestamp_micros(unix_micros(CAST(ts AS TIMESTAMP)) div 24) AS created_at")
+    stream = _in_time(rows, work, "created_at")
+    return _with_rocksdb(spark, lambda: _ntz(_append(streams.stream_answers(stream, "package_name"), work), "answered_at"))
+
+
+@plan(
+    "stream_late_rows",
+    """WITH m AS (SELECT max(ts) AS top FROM events WHERE event_id % 50 <> 7)
+    SELECT count(*) AS input_rows, count(*) FILTER (WHERE event_id % 50 = 7) AS late_rows, count(*) FILTER (WHERE event_id % 50 <> 7) AS kept_rows FROM events, m""",
+    covers="A16 L12",
+)
+def stream_late_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every fiftieth event comes a thousand days late, after all others: each is dropped and counted, the others are kept."""
+    work = _workspace(spark)
+    events = table(spark, sf_dir, "events").selectExpr("event_id", "ts AS created_at")
+    late = events.filter("event_id % 50 = 7").withColumn("created_at", F.expr("created_at - INTERVAL 1000 DAYS"))
+    stream = _in_time(events.filter("event_id % 50 <> 7"), work, "created_at", late=late)
+    listener = streams.LateRows()
+    spark.streams.addListener(listener)
+    try:
+        out = os.path.join(work, "out")
+        query = streams.run_to_end(streams.stream_unique(stream, ["event_id"], "1 day"), os.path.join(work, "checkpoint"), out)
+        counted = listener.table(spark, query).filter(F.col("query_id") == str(query.id))
+    finally:
+        spark.streams.removeListener(listener)
+    kept = spark.read.parquet(out).agg(F.count("*").alias("kept_rows"))
+    return counted.select("input_rows", "late_rows").join(kept)
+
+
+_SCORES = ("concat('project-', CAST(user_id % 60 AS STRING)) AS project", "event_id AS snapshot_id", "CAST(CAST(floor(value * 7) AS BIGINT) % 101 AS DOUBLE) AS score", "ts")
+
+
+@plan(
+    "stream_score_snapshots",
+    f"""WITH r AS (SELECT *, row_number() OVER (PARTITION BY project ORDER BY ts DESC, snapshot_id DESC) AS n FROM (SELECT {', '.join(_SCORES)} FROM events)),
+    t AS (SELECT project, avg(score) FILTER (WHERE n <= 5) AS recent, avg(score) FILTER (WHERE n BETWEEN 6 AND 10) AS previous, count(*) FILTER (WHERE n <= 100) AS kept FROM r GROUP BY ALL)
+    SELECT *, CASE WHEN previous IS NULL THEN 'stable' WHEN recent - previous > 3 THEN 'improving' WHEN recent - previous < -3 THEN 'declining' ELSE 'stable' END AS trend FROM t""",
+    covers="J7 J8 L10 L13",
+)
+def stream_score_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores appended to a table as they come, flushed batch by batch; then each project's last hundred and its trend."""
+    work = _workspace(spark)
+    out = os.path.join(work, "scores")
+    stream = _in_time(table(spark, sf_dir, "events").selectExpr(*_SCORES), work, "ts")
+    streams.start_append(stream, out, os.path.join(work, "checkpoint"), trigger={"availableNow": True}).awaitTermination()
+    snapshots = spark.read.schema(stream.schema).parquet(out)
+    kept = scoring.keep_last(snapshots).groupBy("project").agg(F.count("*").alias("kept"))
+    return scoring.score_trend(snapshots).join(kept, "project").select("project", "recent", "previous", "trend", "kept")
+
+
 @plan("batch_daily_counts", f"SELECT CAST(created_at AS DATE) AS day, event_type, count(*) AS events FROM ({TELEMETRY.sql}) GROUP BY ALL", covers="K22")
 def batch_daily_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = TELEMETRY.frame(spark, sf_dir)

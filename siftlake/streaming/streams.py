@@ -1,18 +1,19 @@
 """Continuous versions of the batch operators.
 
 Streams read with an event-time watermark; late rows are dropped once their window is
-closed, and :func:`late_rows` counts them.
+closed; :class:`LateRows` counts them while a query runs, :func:`late_rows` over its last batches.
 """
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable, Iterator
 from datetime import timedelta
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery, StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from siftlake.operators import reports, scan, telemetry
@@ -86,7 +87,7 @@ def stream_exact_bursts(versions: DataFrame, delay: str = WATERMARK) -> DataFram
 
 def stream_debounce(edits: DataFrame, delay: str = WATERMARK) -> DataFrame:
     """One row per burst of edits of a document; the pause depends on who edits."""
-    gap = F.expr(f"CASE WHEN is_generated THEN interval {MACHINE_PAUSE} ELSE interval {HUMAN_PAUSE} END")
+    gap = F.when(F.col("is_generated"), F.lit(MACHINE_PAUSE)).otherwise(F.lit(HUMAN_PAUSE))
     session = F.session_window("created_at", gap)
     return edits.withWatermark("created_at", delay).groupBy(session, "document_id").agg(F.count("*").alias("edits")).select(
         "document_id", F.col("session_window.start").alias("started_at"), F.col("session_window.end").alias("ended_at"), "edits")
@@ -133,6 +134,91 @@ def stream_fresh(requests: DataFrame, keys: list[str], ttl: timedelta = timedelt
     return requests.withWatermark("created_at", f"{int(ttl.total_seconds())} seconds").dropDuplicatesWithinWatermark(keys)
 
 
+class Answers(StatefulProcessor):
+    """Answers a request of a key unless one was answered less than the time to live before; a timer forgets the answer.
+
+    Times are those of the requests.  One that is earlier than the last answer is taken as answered by it.
+    """
+
+    def __init__(self, ttl: timedelta):
+        self.ttl = int(ttl.total_seconds() * 1_000_000)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.answered = handle, handle.getValueState("answered", "ts bigint")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        # Only the different times of a key are held: requests of one moment have one answer.
+        times = sorted({int(t) for pdf in rows for t in pdf["created_at"].astype("datetime64[us]").astype("int64").unique()})
+        last, new = self.answered.get()[0] if self.answered.exists() else None, []
+        for t in times:
+            if last is None or t >= last + self.ttl:
+                last = t
+                new.append(t)
+        if new:
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            self.answered.update((last,))
+            self.handle.registerTimer(-(-(last + self.ttl) // 1000))
+        yield pd.DataFrame({"key": [key[0]] * len(new), "answered_at": pd.to_datetime(new, unit="us")})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.answered.clear()
+        yield pd.DataFrame({"key": pd.Series([], dtype=object), "answered_at": pd.Series([], dtype="datetime64[us]")})
+
+    def close(self) -> None:
+        pass
+
+
+def stream_answers(requests: DataFrame, key: str, ttl: timedelta = timedelta(hours=1), delay: str = "0 seconds") -> DataFrame:
+    """(key, answered_at): the requests that a cache with a time to live does not answer.  Needs the RocksDB state store.
+
+    State holds one time per key and ends ``ttl`` after it, when the watermark passes.
+    """
+    keyed = requests.select(F.col(key).alias("key"), "created_at").withWatermark("created_at", delay)
+    return keyed.groupBy("key").transformWithStateInPandas(
+        statefulProcessor=Answers(ttl), outputStructType="key string, answered_at timestamp", outputMode="Append", timeMode="EventTime")
+
+
+def stream_unique(events: DataFrame, keys: list[str], delay: str = WATERMARK) -> DataFrame:
+    """The first row of each key; rows behind the watermark are dropped one by one, so that :class:`LateRows` counts them exactly."""
+    return events.withWatermark("created_at", delay).dropDuplicatesWithinWatermark(keys)
+
+
+class LateRows(StreamingQueryListener):
+    """Adds up, for every query of the session, its batches, input rows and rows dropped behind the watermark, for as long as it runs."""
+
+    def __init__(self):
+        self.totals: dict[str, list[int]] = {}
+        self.ended: set[str] = set()
+        self.changed = threading.Condition()
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        progress = event.progress
+        with self.changed:
+            total = self.totals.setdefault(str(progress.id), [0, 0, 0])
+            total[0] += 1
+            total[1] += progress.numInputRows
+            total[2] += sum(op.numRowsDroppedByWatermark for op in progress.stateOperators)
+
+    def onQueryTerminated(self, event) -> None:
+        with self.changed:
+            self.ended.add(str(event.id))
+            self.changed.notify_all()
+
+    def table(self, spark: SparkSession, query: StreamingQuery, seconds: float = 60) -> DataFrame:
+        """(query_id, batches, input_rows, late_rows) of all queries so far, once ``query`` has ended and its last batch is counted."""
+        with self.changed:
+            if not self.changed.wait_for(lambda: str(query.id) in self.ended, seconds):
+                raise TimeoutError("the query has not ended")
+            return spark.createDataFrame([(k, *v) for k, v in self.totals.items()], "query_id string, batches long, input_rows long, late_rows long")
+
+
 def stream_alerts(events: DataFrame, subscriptions: DataFrame) -> DataFrame:
     """Payloads of every event and matching subscription; a stream joined with a table."""
     return telemetry.alert_payloads(telemetry.match_subscriptions(events, subscriptions))
