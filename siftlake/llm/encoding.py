@@ -119,7 +119,7 @@ class Encoder:
         codes = flat.indices.to_numpy().astype(np.int64)
         # A piece inside a text starts with its space, the first piece of a text does not.
         leads = (ends[:-1] - ends[0])[np.diff(ends) > 0]
-        words = flat.dictionary.to_pylist()
+        words = flat.dictionary.to_numpy(zero_copy_only=False).tolist()
         first = [words[i] for i in codes[leads].tolist()]
         codes[leads] = len(words) + np.arange(len(leads))
         pieces = [" " + w for w in words] + first
@@ -127,12 +127,11 @@ class Encoder:
         cores = [p.rstrip(MARKS) for p in pieces]
         cores = [c if c[-1:].isalpha() else p for c, p in zip(cores, pieces, strict=True)]
         tails = [p[len(c):] for c, p in zip(cores, pieces, strict=True)]
-        wanted = dict.fromkeys(cores)
-        wanted.update(dict.fromkeys(tails))
-        missing = [p for p in wanted if p not in self.place]
+        missing = dict.fromkeys(p for p in cores if p not in self.place)
+        missing.update(dict.fromkeys(p for p in tails if p not in self.place))
         if missing and len(self.place) + len(missing) > self.room:
             self._clear()
-            missing = list(wanted)
+            missing = dict.fromkeys(cores) | dict.fromkeys(tails)
         self._learn([p for p in missing if p[:1] == " "])
         for p in missing:
             if p[:1] != " ":

@@ -1,5 +1,8 @@
 """Token-id output: every shard of documents is one wavelet matrix in one compressed value.
 
+The value holds the rank directory and every plane by itself, compressed only where that saves a fifth.  A lookup reads
+the directory as it lies there and opens the planes that it walks through.
+
 A wavelet matrix keeps one bit plane for each bit of an id, most significant first.  Under each plane the ids are
 stably dealt into those with bit 0 and those with bit 1, so a token is read, counted and found by walking down the
 planes with rank and up with select.  Shards hold ascending documents and are rows of a Parquet table, which Spark's
@@ -30,10 +33,27 @@ _BLOCK = 512  # bits between two entries of a rank directory
 class WaveletMatrix:
     """Ids with access, rank, select, count and occurrence lookup."""
 
-    def __init__(self, n: int, planes: list[np.ndarray]):
-        """``planes``: packed bits, most significant plane first."""
-        self.n, self.planes = n, planes
-        self._ranks: list[np.ndarray] | None = None
+    def __init__(self, n: int, planes: list[np.ndarray], ranks: list[np.ndarray] | None = None):
+        """``planes``: packed bits, most significant plane first, or compressed ones, which are opened when they are needed."""
+        self.n, self._planes = n, list(planes)
+        #: For each plane the number of ones before each block.
+        self.ranks = ranks if ranks is not None else [self._directory(p) for p in planes]
+
+    @staticmethod
+    def _directory(plane: np.ndarray) -> np.ndarray:
+        full = np.zeros(-(-len(plane) // (_BLOCK // 8)) * (_BLOCK // 8), np.uint8)
+        full[:len(plane)] = plane
+        return np.concatenate([[0], np.cumsum(np.bitwise_count(full.view(np.uint64)).reshape(-1, _BLOCK // 64).sum(axis=1, dtype=np.int64))])
+
+    def plane(self, level: int) -> np.ndarray:
+        plane = self._planes[level]
+        if isinstance(plane, bytes):
+            plane = self._planes[level] = np.frombuffer(zstandard.ZstdDecompressor().decompress(plane), np.uint8)
+        return plane
+
+    @property
+    def bits(self) -> int:
+        return len(self._planes)
 
     @classmethod
     def build(cls, ids: np.ndarray) -> WaveletMatrix:
@@ -49,28 +69,40 @@ class WaveletMatrix:
         return cls(len(ids), planes)
 
     def to_bytes(self) -> bytes:
-        press = zstandard.ZstdCompressor(level=1)
-        parts = [press.compress(p.tobytes()) for p in self.planes]
-        return _HEAD.pack(b"WVM1", len(parts), self.n) + struct.pack(f"<{len(parts)}I", *map(len, parts)) + b"".join(parts)
+        """Head, for each plane its size (negative: compressed), the rank directories, the planes."""
+        press, parts, sizes = zstandard.ZstdCompressor(level=1), [], []
+        for level in range(self.bits):
+            raw = self.plane(level).tobytes()
+            small = press.compress(raw)
+            packed = len(small) < 0.8 * len(raw)
+            parts.append(small if packed else raw)
+            sizes.append(-len(small) if packed else len(raw))
+        # A shard of more ids than 32 bits count keeps wide directories.
+        kind = "<u4" if self.n < 1 << 32 else "<u8"
+        return _HEAD.pack(b"WVM2", self.bits, self.n) + struct.pack(f"<{self.bits}q", *sizes) + b"".join(r.astype(kind).tobytes() for r in self.ranks) + b"".join(parts)
 
     @classmethod
     def from_bytes(cls, data: bytes) -> WaveletMatrix:
         magic, bits, n = _HEAD.unpack_from(data)
-        if magic != b"WVM1":
+        if magic != b"WVM2":
             raise ValueError("not a wavelet matrix")
-        at, opener = _HEAD.size + 4 * bits, zstandard.ZstdDecompressor()
-        planes = []
-        for size in struct.unpack_from(f"<{bits}I", data, _HEAD.size):
-            planes.append(np.frombuffer(opener.decompress(data[at:at + size]), np.uint8))
-            at += size
-        return cls(n, planes)
+        sizes = struct.unpack_from(f"<{bits}q", data, _HEAD.size)
+        kind = np.dtype("<u4" if n < 1 << 32 else "<u8")
+        at, entries = _HEAD.size + 8 * bits, -(-n // _BLOCK) + 1
+        ranks = [np.frombuffer(data, kind, entries, at + level * entries * kind.itemsize) for level in range(bits)]
+        at += bits * entries * kind.itemsize
+        planes: list = []
+        for size in sizes:
+            planes.append(np.frombuffer(data, np.uint8, size, at) if size >= 0 else bytes(data[at:at - size]))
+            at += abs(size)
+        return cls(n, planes, ranks)
 
     def _bits(self, level: int) -> np.ndarray:
-        return np.unpackbits(self.planes[level], count=self.n, bitorder="little").view(bool)
+        return np.unpackbits(self.plane(level), count=self.n, bitorder="little").view(bool)
 
     def decode(self) -> np.ndarray:
         """All ids, by undoing the deals from the last plane to the first."""
-        bits = len(self.planes)
+        bits = self.bits
         ids = np.zeros(self.n, np.uint16 if bits <= 16 else np.uint32)
         for level in range(bits - 1, -1, -1):
             ones = self._bits(level)
@@ -81,31 +113,20 @@ class WaveletMatrix:
             ids |= ones.astype(ids.dtype) << ids.dtype.type(bits - 1 - level)
         return ids
 
-    @property
-    def ranks(self) -> list[np.ndarray]:
-        """For each plane the number of ones before each block."""
-        if self._ranks is None:
-            self._ranks = []
-            for plane in self.planes:
-                full = np.zeros(-(-len(plane) // (_BLOCK // 8)) * (_BLOCK // 8), np.uint8)
-                full[:len(plane)] = plane
-                self._ranks.append(np.concatenate([[0], np.cumsum(np.bitwise_count(full).reshape(-1, _BLOCK // 8).sum(axis=1, dtype=np.int64))]))
-        return self._ranks
-
     def _ones(self, level: int, i: int) -> int:
         """Ones among the first ``i`` bits of a plane."""
         block = i // _BLOCK
         start = block * (_BLOCK // 8)
-        part = self.planes[level][start:i // 8]
+        part = self.plane(level)[start:i // 8]
         out = int(self.ranks[level][block]) + int(np.bitwise_count(part).sum())
-        return out + int(self.planes[level][i // 8] & ((1 << i % 8) - 1)).bit_count() if i % 8 else out
+        return out + int(self.plane(level)[i // 8] & ((1 << i % 8) - 1)).bit_count() if i % 8 else out
 
     def access(self, i: int) -> int:
         if not 0 <= i < self.n:
             raise IndexError(i)
         value = 0
-        for level, plane in enumerate(self.planes):
-            one = int(plane[i // 8]) >> i % 8 & 1
+        for level in range(self.bits):
+            one = int(self.plane(level)[i // 8]) >> i % 8 & 1
             ones = self._ones(level, i)
             i = self.n - int(self.ranks[level][-1]) + ones if one else i - ones
             value = value << 1 | one
@@ -114,12 +135,12 @@ class WaveletMatrix:
     def _range(self, value: int, i: int) -> tuple[int, int]:
         """Where the occurrences of ``value`` among the first ``i`` ids stand below the last plane."""
         a, b = 0, i
-        if value >> len(self.planes):
+        if value >> self.bits:
             return 0, 0
-        for level in range(len(self.planes)):
+        for level in range(self.bits):
             x, y = self._ones(level, a), self._ones(level, b)
             zeros = self.n - int(self.ranks[level][-1])
-            a, b = (zeros + x, zeros + y) if value >> len(self.planes) - 1 - level & 1 else (a - x, b - y)
+            a, b = (zeros + x, zeros + y) if value >> self.bits - 1 - level & 1 else (a - x, b - y)
         return a, b
 
     def rank(self, value: int, i: int) -> int:
@@ -133,10 +154,10 @@ class WaveletMatrix:
     def _place(self, level: int, one: bool, k: int) -> int:
         """The place of the ``k``-th bit of that kind in a plane."""
         ranks = self.ranks[level]
-        before = ranks if one else np.arange(len(ranks), dtype=np.int64) * _BLOCK - ranks
+        before = ranks if one else np.arange(len(ranks), dtype=np.int64) * _BLOCK - ranks.astype(np.int64)
         block = int(np.searchsorted(before, k, side="right")) - 1
         start = block * (_BLOCK // 8)
-        bits = np.unpackbits(self.planes[level][start:start + _BLOCK // 8], bitorder="little") == one
+        bits = np.unpackbits(self.plane(level)[start:start + _BLOCK // 8], bitorder="little") == one
         return block * _BLOCK + int(np.flatnonzero(bits)[k - int(before[block])])
 
     def select(self, value: int, k: int) -> int:
@@ -145,9 +166,9 @@ class WaveletMatrix:
         if not 0 <= k < b - a:
             raise IndexError(k)
         at = a + k
-        for level in range(len(self.planes) - 1, -1, -1):
+        for level in range(self.bits - 1, -1, -1):
             zeros = self.n - int(self.ranks[level][-1])
-            at = self._place(level, True, at - zeros) if value >> len(self.planes) - 1 - level & 1 else self._place(level, False, at)
+            at = self._place(level, True, at - zeros) if value >> self.bits - 1 - level & 1 else self._place(level, False, at)
         return at
 
     def occurrences(self, value: int) -> list[int]:
@@ -225,7 +246,23 @@ def read_token_shards(spark: SparkSession, path: str) -> DataFrame:
     return rows.join(starts, ["part", "seq"]).select("doc_id", (F.col("base") + F.col("within")).alias("start"), "n_tokens", "ids_crc32")
 
 
+def find_tokens(spark: SparkSession, path: str, tokens: list[int]) -> DataFrame:
+    """Every occurrence of the given ids in the shards: token, doc_id, place in the document.  Counted by rank, found by select; nothing is decoded."""
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                matrix, ends = WaveletMatrix.from_bytes(row["matrix"]), np.cumsum(row["lengths"])
+                for token in tokens:
+                    at = np.array(matrix.occurrences(token), np.int64)
+                    doc = np.searchsorted(ends, at, side="right")
+                    ids = pa.array(row["doc_ids"], pa.int64()).take(pa.array(doc))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), token)), ids, pa.array(at - (ends - row["lengths"])[doc])], ["token", "doc_id", "place"])
+
+    return spark.read.schema(SHARDS).parquet(path).select("doc_ids", "lengths", "matrix").transform(lean).mapInArrow(find, "token bigint, doc_id bigint, place bigint")
+
+
 def op8_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' ids, written as shards and read back.  Nulls, repeated rows and ids: see ``write_token_shards``."""
     path = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
     write_token_shards(table(spark, sf_dir, "documents"), path)
     return read_token_shards(spark, path)

@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from siftlake.llm import bitsliced, bwt, encoding, fingerprint, langid, mixing, packing, shared, sigtree, toxicity, wavelet, wordpiece
 from siftlake.llm.components import components
@@ -413,6 +414,11 @@ def test_token_output(spark, sample, tmp_path):
     assert ids == sorted(ids, key=lambda i: (i is not None, i or 0))
     want = Counter((i, len(x), _crc(x)) for i, x in ((i, plain(t) + [0]) for i, t in ROWS))
     assert Counter((r[0], r[2], r[3]) for r in got) == want
+    tokenizer = Tokenizer.from_file(encoding.vocabulary_path("byte_bpe_50k.json"))
+    lists = [(i, [*tokenizer.encode(t or "", add_special_tokens=False).ids, 0]) for i, t in ROWS]
+    wanted = [0, 50256, 64, 31337, *Counter(x for _, ids in lists for x in ids).keys()][:40]
+    found = Counter(tuple(r) for r in wavelet.find_tokens(spark, str(tmp_path / "shards"), wanted).collect())
+    assert found == Counter((x, i, at) for i, ids in lists for at, x in enumerate(ids) for y in wanted if x == y)
     wavelet.write_token_shards(docs(spark, []), str(tmp_path / "none"))
     assert wavelet.read_token_shards(spark, str(tmp_path / "none")).collect() == []
 
