@@ -349,6 +349,22 @@ def test_toxicity_learns_words_stems_and_disguises(spark):
     assert by[5000]["predicted"] == by[5001]["predicted"] == 0 and by[None]["predicted"] == 1
     kind = toxicity.Lexicon(lexicon.weights, ("kind grobian",), lexicon.slope, lexicon.base)
     assert {g["doc_id"]: g["predicted"] for g in toxicity.score(df, kind).collect()}[5002] == 0
+    # Every score again from the lexicon alone: words looked up one by one, the longest entry, no automaton.
+    texts = {r[0]: r[1] for r in rows}
+    for g in toxicity.score(df, kind).collect():
+        text = texts[g["doc_id"]]
+        own = toxicity.fold(text or "").split()
+        spared = {i + k for x in kind.exceptions for p in [toxicity.fold(x).split()] for i in range(len(own) - len(p) + 1) if own[i:i + len(p)] == p for k in range(len(p))}
+        sums = 0.0
+        for i, w in enumerate(own):
+            hit = [e for e in kind.weights if e in toxicity.entries_of(w)]
+            sums += kind.weights[max(hit, key=len)] if hit and i not in spared else 0.0
+        n = toxicity.fold(text or "").count(" ")
+        want = 1 / (1 + np.exp(-np.clip(kind.base + kind.slope * sums / toxicity.Lexicon.scale(n if sums else 0), -30, 30)))
+        assert abs(g["score"] - want) < 1e-9
+    # A long text with very many spared phrases takes one sweep.
+    flooded = kind.matches("kind grobian " * 60_000 + "grobian", kind.automaton())
+    assert len(flooded[0]) == (1 if any(e in kind.weights for e in toxicity.entries_of(toxicity.fold("grobian").strip())) else 0)
     none = toxicity.learn(df, marks.filter("toxic = 0"))
     assert none.weights == {} and all(g["predicted"] == 0 for g in toxicity.score(df, none).collect())
     assert toxicity.score(docs(spark, []), lexicon).collect() == []
