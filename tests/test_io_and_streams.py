@@ -62,6 +62,35 @@ def test_snapshot_upsert_is_idempotent(spark, tmp_path):
     assert table.read().agg(F.sum("report_count")).first()[0] == 60
 
 
+def test_upserts_rewrite_touched_buckets_and_versions_end(spark, tmp_path):
+    """Ten keys rewrite ten buckets at most; old versions go; a failed merge leaves the table as it was."""
+    table = sinks.Snapshots(spark, str(tmp_path / "t"), ["k"], keep=3)
+    schema = "k long, n long"
+
+    def add(stored, batch):
+        return stored.unionByName(batch).groupBy("k").agg(F.sum("n").alias("n"))
+
+    table.write(spark.range(1000).selectExpr("id AS k", "1L AS n"), 0)
+    want = {k: 1 for k in range(1000)}
+    for version in range(1, 9):
+        keys = [(version * 37 + i * 11) % 1200 for i in range(10)]
+        before = table.manifest(version - 1)["folders"]
+        for _ in range(2):
+            table.upsert(spark.createDataFrame([(k, 5) for k in keys], schema), version, add)
+        after = table.manifest(version)["folders"]
+        assert 0 < sum(after[b] != before.get(b) for b in after) <= 10 and len(after) == 64
+        for k in keys:
+            want[k] = want.get(k, 0) + 5
+    assert {r.k: r.n for r in table.read().collect()} == want
+    assert table.versions() == [6, 7, 8]
+    folders = {f for v in table.versions() for f in table.manifest(v)["folders"].values()}
+    assert set(os.listdir(tmp_path / "t" / "data")) == folders and len(folders) <= 9
+    with pytest.raises(Exception, match="broken"):
+        table.upsert(spark.createDataFrame([(1, 1)], schema), 9, lambda a, b: a.withColumn("n", F.raise_error(F.lit("broken")).cast("long")))
+    assert table.versions() == [6, 7, 8] and {r.k: r.n for r in table.read().collect()} == want
+    assert table.read(before=8).count() >= 1000 and sinks.Snapshots(spark, str(tmp_path / "none"), ["k"]).read() is None
+
+
 def test_late_rows_are_dropped_and_counted(spark, tmp_path):
     """A batch drops what is late by the watermark of the batch before it."""
     schema = "event_id long, event_type string, created_at timestamp"
