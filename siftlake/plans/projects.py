@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,9 +13,11 @@ from siftlake.operators.scan import quote
 from siftlake.plans.derived import REFERENCES, SIGNALS, VULNERABILITIES
 from siftlake.plans.oracle import findings_sql, lines_sql
 from siftlake.plans.registry import plan
+from siftlake.plans.streams import _workspace
 from siftlake.plans.tables import fill, pick, planted, planted_sql, sql_pick, sql_text, table
 from siftlake.rules import FAMILIES
 from siftlake.session import spread
+from siftlake.sources import readers, sinks
 
 # --- manifests, one per order ---------------------------------------------------------------
 
@@ -478,6 +482,83 @@ def cyclonedx_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parsed.select("project", "_c.name", "_c.version")
 
 
+_SARIF = ("version STRING, runs ARRAY<STRUCT<tool: STRUCT<driver: STRUCT<rules: ARRAY<STRUCT<id: STRING>>>>, results: ARRAY<STRUCT<ruleId: STRING, level: STRING, "
+          "locations: ARRAY<STRUCT<physicalLocation: STRUCT<artifactLocation: STRUCT<uri: STRING>, region: STRUCT<startLine: INT>>>>>>>>")
+
+
+@plan(
+    "sarif_files",
+    f"""WITH corpus AS (SELECT *, source || '-' || (file_id // 100) AS project FROM ({planted_sql('secret')})), lines AS ({lines_sql('corpus', columns='file_id, project, path, lang')}),
+    found AS ({findings_sql(FAMILIES['secret'], 'file_id, project, path', False)}), n AS (SELECT project, count(DISTINCT rule_id) AS rules FROM found GROUP BY ALL)
+    SELECT project, '2.1.0' AS version, rules, rule_id, CASE severity WHEN 'critical' THEN 'error' WHEN 'high' THEN 'error' WHEN 'medium' THEN 'warning' ELSE 'note' END AS level,
+        path AS uri, line_no, count(*) AS results FROM found JOIN n USING (project) GROUP BY ALL""",
+    covers="B1 B2",
+)
+def sarif_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One SARIF log per project, written as a file, read back whole and parsed."""
+    path = os.path.join(_workspace(spark), "sarif")
+    corpus = planted(spark, sf_dir, "secret").withColumn("project", F.expr("concat(source, '-', CAST(file_id div 100 AS STRING))")).withColumn("lang", guess_language(F.col("path")))
+    found = scan.scan(corpus, FAMILIES["secret"]).withColumn("fix", F.lit(None).cast("string"))
+    sinks.write_documents(exports.to_sarif(found), path)
+    logs = spark.read.text(path, wholetext=True).select("project", F.from_json("value", _SARIF).alias("log"))
+    runs = logs.select("project", "log.version", F.inline("log.runs"))
+    results = runs.select("project", "version", F.size("tool.driver.rules").cast("long").alias("rules"), F.explode("results").alias("r"))
+    place = F.col("r.locations")[0]["physicalLocation"]
+    flat = results.select("project", "version", "rules", F.col("r.ruleId").alias("rule_id"), "r.level", place["artifactLocation"]["uri"].alias("uri"), place["region"]["startLine"].alias("line_no"))
+    return flat.groupBy(*flat.columns).agg(F.count("*").alias("results"))
+
+
+_SUPPLIED = tuple(c if c != "l_orderkey AS project" else "l_suppkey AS project" for c in REFERENCES.columns)
+
+
+@plan(
+    "cyclonedx_files",
+    f"""SELECT project, 'CycloneDX' AS format, name, version, count(*) AS components, min(license) AS license
+    FROM (SELECT DISTINCT project, ecosystem, name, version, {sql_pick(_LICENSES, 'project')} AS license FROM (SELECT {', '.join(_SUPPLIED)} FROM lineitem)) GROUP BY ALL""",
+    covers="A14 B3 K21",
+)
+def cyclonedx_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One CycloneDX document per project, written as a file and read with the reader of such documents."""
+    path = os.path.join(_workspace(spark), "bom")
+    parts = table(spark, sf_dir, "lineitem").selectExpr(*_SUPPLIED).select(
+        "project", F.col("line_no").alias("source_order"), "ecosystem", "name", "version", pick(_LICENSES, "project").alias("license"), F.expr("line_no % 2 = 0 AS dev"))
+    sinks.write_documents(exports.to_cyclonedx(deps.build_sbom(parts)), path)
+    documents = spark.read.schema(f"{readers.SBOM_SCHEMA}, project LONG").json(path, multiLine=True)
+    flat = documents.select("project", F.col("bomFormat").alias("format"), F.explode("components").alias("c"))
+    return flat.groupBy("project", "format", "c.name", "c.version").agg(F.count("*").alias("components"), F.min(F.col("c.licenses")[0]["license"]["id"]).alias("license"))
+
+
+@plan(
+    "compliance_csv",
+    f"""SELECT 'Vulnerability' AS section, coalesce(vuln_id, '') AS a, coalesce(package_name, '') AS b, severity AS c, count(*) AS n FROM ({VULNERABILITIES.sql}) GROUP BY ALL
+    UNION ALL SELECT 'Dependency', latest, name, CAST(provenance_verified AS VARCHAR), count(*) FROM ({SIGNALS.sql}) GROUP BY ALL
+    UNION ALL SELECT 'Hallucination', ecosystem, name, 'quoted "a, b"', count(*) FROM ({SIGNALS.sql}) WHERE known_hallucination GROUP BY ALL
+    UNION ALL SELECT 'Summary', 'Dependencies', CAST(count(*) AS VARCHAR), '', 1 FROM ({SIGNALS.sql})""",
+    covers="B4",
+)
+def compliance_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sectioned table written as CSV, read back and compared row by row."""
+    path = os.path.join(_workspace(spark), "compliance")
+    signals, known = SIGNALS.frame(spark, sf_dir), VULNERABILITIES.frame(spark, sf_dir)
+    written = exports.compliance_table(
+        known.selectExpr("vuln_id AS id", "package_name AS package", "ecosystem", "severity", "'open' AS status"),
+        signals.selectExpr("name AS package", "latest AS version", "provenance_verified AS provenance", "vulnerability_count AS vulnerabilities"),
+        signals.filter("known_hallucination").selectExpr("name AS package", "ecosystem", "'quoted \"a, b\"' AS ai_agent"),
+        signals.agg(F.count("*").alias("value")).selectExpr("'Dependencies' AS metric", "value"))
+    sinks.write_compliance_csv(written, path)
+    schema = ", ".join(f"{c} STRING" for c in written.columns if c != "section")
+    rows = spark.read.schema(f"{schema}, section STRING").csv(path, header=True, escape="\\")
+    first = {"Vulnerability": ("id", "package", "severity"), "Dependency": ("version", "package", "provenance"), "Hallucination": ("ecosystem", "package", "ai_agent"), "Summary": ("metric", "value", "id")}
+
+    def column(i: int):
+        chosen = F.lit(None).cast("string")
+        for section, names in first.items():
+            chosen = F.when(F.col("section") == section, F.col(names[i])).otherwise(chosen)
+        return F.coalesce(chosen, F.lit(""))
+
+    return rows.groupBy("section", *[column(i).alias(c) for i, c in enumerate("abc")]).agg(F.count("*").alias("n"))
+
+
 @plan(
     "compliance_export",
     f"""SELECT 'Vulnerability' AS section, count(*) AS "rows" FROM ({VULNERABILITIES.sql}) UNION ALL SELECT 'Dependency', count(*) FROM ({SIGNALS.sql})

@@ -59,7 +59,7 @@ def _ntz(df: DataFrame, *columns: str) -> DataFrame:
 @plan(
     "stream_daily_counts",
     f"SELECT date_trunc('day', created_at) AS window_start, event_type, count(*) AS events FROM ({TELEMETRY.sql}) GROUP BY ALL",
-    covers="A16 L3 L12 P17 P18",
+    covers="A16 L3 P17 P18",
 )
 def stream_daily_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = _stream(spark, sf_dir, "events").selectExpr(*TELEMETRY.columns)
@@ -161,27 +161,6 @@ def _in_batches(spark: SparkSession, sf_dir: str, work: str, columns: list[str])
     return with_zones(spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path))
 
 
-@plan(
-    "stream_exact_bursts",
-    f"""SELECT package, published_at FROM (SELECT package, published_at, ordinal, lag(published_at, 4) OVER (PARTITION BY package ORDER BY published_at, ordinal) AS fifth FROM ({EVENT_PUBLICATIONS.sql}))
-    WHERE published_at - fifth <= INTERVAL 6 HOURS""",
-    covers="L4 L12",
-)
-def stream_exact_bursts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every fifth publication within six hours, over several micro-batches whose rows are out of order."""
-    work = _workspace(spark)
-    published = _in_batches(spark, sf_dir, work, [*EVENT_PUBLICATIONS.columns, "event_id"]).drop("event_id")
-    # A list in the state needs the RocksDB store; the session's own choice is put back afterwards.
-    store = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(store)
-    spark.conf.set(store, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    try:
-        found = _append(streams.stream_exact_bursts(published, "3650 days"), work)
-    finally:
-        spark.conf.set(store, before)
-    return _ntz(found, "published_at")
-
-
 @plan(
     "stream_consolidate",
     f"""WITH r AS (SELECT *, CASE event_id % 5 WHEN 4 THEN 'FALSE_POSITIVE' WHEN 3 THEN 'TYPOSQUAT' ELSE 'HALLUCINATION' END AS kind, CAST(event_id % 10 AS DOUBLE) / 10 AS conf FROM (SELECT event_id, {', '.join(REPORTS.columns)} FROM events)),
@@ -222,6 +201,32 @@ def _with_rocksdb(spark: SparkSession, run):
         spark.conf.set(store, before)
 
 
+@plan(
+    "stream_exact_bursts",
+    f"""SELECT package, published_at FROM (SELECT package, published_at, ordinal, lag(published_at, 4) OVER (PARTITION BY package ORDER BY published_at, ordinal) AS fifth FROM ({EVENT_PUBLICATIONS.sql}))
+    WHERE published_at - fifth <= INTERVAL 6 HOURS""",
+    covers="L4",
+)
+def stream_exact_bursts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every fifth publication within six hours, over several micro-batches whose rows are out of order; the watermark follows by a day."""
+    work = _workspace(spark)
+    published = _in_time(EVENT_PUBLICATIONS.frame(spark, sf_dir), work, "published_at")
+    return _with_rocksdb(spark, lambda: _ntz(_append(streams.stream_exact_bursts(published, "1 day"), work), "published_at"))
+
+
+@plan(
+    "stream_closed_days",
+    f"""WITH e AS ({TELEMETRY.sql}), d AS (SELECT date_trunc('day', created_at) AS window_start, event_type, count(*) AS events FROM e GROUP BY ALL)
+    SELECT * FROM d WHERE window_start + INTERVAL 1 DAY <= (SELECT max(created_at) FROM e) - INTERVAL 1 DAY""",
+    covers="L3",
+)
+def stream_closed_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts by day, appended once the watermark has closed the day; state holds the open days alone."""
+    work = _workspace(spark)
+    events = _in_time(TELEMETRY.frame(spark, sf_dir), work, "created_at")
+    return _ntz(_append(streams.stream_counts(events, delay="1 day"), work), "window_start")
+
+
 # Edits: the events' times, sixty thousand times as fast.
 _EDIT_COLUMNS = ("CAST(user_id AS STRING) AS document_id", "event_id % 3 = 0 AS is_generated")
 _QUICK_SQL = "make_timestamp(epoch_us(ts) // 60000)"

@@ -10,6 +10,7 @@ import threading
 from collections.abc import Callable, Iterator
 from datetime import timedelta
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,38 +51,48 @@ def stream_bursts(versions: DataFrame, delay: str = WATERMARK) -> DataFrame:
 class ExactBursts(StatefulProcessor):
     """Reports each publication of a package that is the fifth, or later, within six hours, as soon as that is known.
 
-    Publications stay in the state until the watermark has passed them by six hours, with whether they were reported:
-    a late row within the watermark can complete the burst of one that came before it.
+    A key is a package and an interval of six hours.  It holds the publications of the interval and of the one before, with
+    whether they were reported: a late row within the watermark can complete the burst of one that came before it.  A
+    timer ends a key's state when the watermark reaches the end of its interval.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.times = handle.getListState("times", "ts bigint, told boolean")
+        self.handle = handle
+        self.times = handle.getListState("times", "ts bigint, told boolean, own boolean")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        new = [(int(t.value // 1000), False) for pdf in rows for t in pdf["published_at"]]
+        before = [tuple(row) for row in self.times.get()]
+        new = [(int(t), False, bool(own)) for pdf in rows for t, own in zip(pdf["published_at"].astype("datetime64[us]").astype("int64"), pdf["own"], strict=True)]
         # Of equal times those already reported come first.
-        held = sorted([(row[0], row[1]) for row in self.times.get()] + new, key=lambda x: (x[0], not x[1]))
+        held = sorted(before + new, key=lambda x: (x[0], not x[1]))
         kept, found = [], []
-        for i, (t, told) in enumerate(held):
-            if not told and i >= BURST_SIZE - 1 and t - held[i - BURST_SIZE + 1][0] <= BURST_SECONDS * 1_000_000:
+        for i, (t, told, own) in enumerate(held):
+            if own and not told and i >= BURST_SIZE - 1 and t - held[i - BURST_SIZE + 1][0] <= BURST_SECONDS * 1_000_000:
                 found.append((key[0], pd.Timestamp(t, unit="us")))
                 told = True
-            kept.append((t, told))
-        closed = timerValues.getCurrentWatermarkInMs() * 1000 - BURST_SECONDS * 1_000_000
-        kept = [x for x in kept if x[0] >= closed]
-        if kept:
-            self.times.put(kept)
-        else:
-            self.times.clear()
+            kept.append((t, told, own))
+        if not before:
+            self.handle.registerTimer((int(key[1]) + 1) * BURST_SECONDS * 1000)
+        self.times.put(kept)
         yield pd.DataFrame(found, columns=["package", "published_at"])
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.times.clear()
+        yield pd.DataFrame({"package": pd.Series([], dtype=object), "published_at": pd.Series([], dtype="datetime64[us]")})
+
     def close(self) -> None:
         pass
 
 
 def stream_exact_bursts(versions: DataFrame, delay: str = WATERMARK) -> DataFrame:
-    """Exact bursts per package; rows may be late by ``delay``.  Needs the RocksDB state store."""
-    return versions.withWatermark("published_at", delay).groupBy("package").transformWithStateInPandas(
+    """Exact bursts per package; rows may be late by ``delay``.  Needs the RocksDB state store.
+
+    A publication goes to its own interval of six hours and, for those behind it, to the next one: no key holds more than
+    twelve hours of a package.
+    """
+    interval = F.floor(F.unix_micros("published_at") / F.lit(BURST_SECONDS * 1_000_000))
+    both = F.inline(F.array(*[F.struct((interval + k).cast("long").alias("interval"), F.lit(k == 0).alias("own")) for k in (0, 1)]))
+    return versions.withWatermark("published_at", delay).select("package", "published_at", both).groupBy("package", "interval").transformWithStateInPandas(
         statefulProcessor=ExactBursts(), outputStructType="package string, published_at timestamp", outputMode="Append", timeMode="EventTime")
 
 
@@ -104,19 +115,24 @@ def _velocity(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterato
         state.remove()
         return
     last, characters, reset = state.get if state.exists else (None, 0, None)
-    changes = pd.concat(list(frames)).sort_values(["created_at", "change_id"], kind="stable")
-    flags = []
-    for ts, text in zip(changes["created_at"], changes["text"]):
-        now = int(ts.value // 1_000_000)
+    # Of each frame only numbers are held, whatever the texts' size.
+    times, ids, sizes = ([] for _ in range(3))
+    for pdf in frames:
+        times.append(pdf["created_at"].astype("datetime64[us]").astype("int64").to_numpy())
+        ids.append(pdf["change_id"].to_numpy())
+        sizes.append(pdf["text"].str.len().to_numpy())
+    times, ids, sizes = (np.concatenate(x) for x in (times, ids, sizes))
+    order, flags = np.lexsort((ids, times)), []
+    for now, size in zip((times[order] // 1000).tolist(), sizes[order].tolist(), strict=True):
         last, reset = (now if last is None else last), (now if reset is None else reset)
-        characters += len(text)
+        characters += size
         flags.append(bool(now - last < SPEED_MILLISECONDS and characters > SPEED_CHARACTERS))
         last = now
         if now - reset > RESET_MILLISECONDS:
             characters, reset = 0, now
     state.update((last, characters, reset))
     state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + IDLE_MILLISECONDS)
-    yield pd.DataFrame({"document_id": key[0], "change_id": changes["change_id"], "high_speed": flags})
+    yield pd.DataFrame({"document_id": key[0], "change_id": ids[order], "high_speed": flags})
 
 
 def stream_typing_velocity(changes: DataFrame, delay: str = "1 minute") -> DataFrame:
