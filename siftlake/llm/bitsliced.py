@@ -124,14 +124,16 @@ def _matrix(column: pd.Series) -> np.ndarray:
     return out
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 20, rows_per_block: int = 8192, queries_per_block: int = 256) -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, k: int = 20, rows_per_block: int = 8192, queries_per_block: int = 256, bundles_per_task: int = 4) -> DataFrame:
     """The ``k`` best rows of ``vectors`` for each row of ``queries``, both (vec_id, v): query_id, rank, vec_id, score.
 
     Rows with the query's own id are no candidates.  Where an id has several different vectors, each is a query and
-    each is a candidate.  Vectors of unequal length are compared as if the shorter had zeros at its end.
+    each is a candidate.  Vectors of unequal length are compared as if the shorter had zeros at its end.  A task compares a
+    block of rows with ``bundles_per_task`` bundles of queries at most, so the number of tasks follows rows times queries.
     """
     n, m = vectors.count(), queries.count()
     blocks, query_blocks = parts_for(n, rows_per_block), parts_for(m, queries_per_block)
+    slots = parts_for(query_blocks, bundles_per_task)
 
     def index(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("vec_id", kind="stable")
@@ -142,15 +144,18 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, rows_per_block:
     def bundle(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("vec_id", kind="stable")
         values = _matrix(pdf["v"])
-        return pd.DataFrame({"q_ids": [pdf["vec_id"].to_numpy(np.int64).tobytes()], "q_no": [pdf["no"].to_numpy(np.int64).tobytes()], "weights": [values.tobytes()], "dims": [values.shape[1]]})
+        return pd.DataFrame({"q": [int(pdf["q"].iloc[0])], "q_ids": [pdf["vec_id"].to_numpy(np.int64).tobytes()], "q_no": [pdf["no"].to_numpy(np.int64).tobytes()], "weights": [values.tobytes()], "dims": [values.shape[1]]})
 
     def dealt(df: DataFrame, count: int, name: str) -> DataFrame:
         return df.withColumn(name, F.pmod(F.xxhash64("vec_id", "v"), F.lit(count)).cast("int"))
 
     packed = dealt(vectors, blocks, "block").groupBy("block").applyInPandas(index, "block int, ids binary, slices binary, first binary, low binary")
-    asked = dealt(queries.withColumn("no", F.xxhash64("v")), query_blocks, "q").groupBy("q").applyInPandas(bundle, "q_ids binary, q_no binary, weights binary, dims int")
-    # Each bundle of queries meets each block once, by the block's number.
-    pairs = packed.join(asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))), "block")
+    asked = dealt(queries.withColumn("no", F.xxhash64("v")), query_blocks, "q").groupBy("q").applyInPandas(bundle, "q int, q_ids binary, q_no binary, weights binary, dims int")
+    # Each bundle of queries meets each block once, by the block's number and the bundles' slot.
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    left = packed.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(slots - 1)))).repartition(blocks * slots, "block", "slot")
+    right = asked.withColumn("slot", F.pmod(F.col("q"), F.lit(slots))).drop("q").withColumn("block", every).repartition(blocks * slots, "block", "slot")
+    pairs = left.join(right, ["block", "slot"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -183,6 +188,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, rows_per_block:
 
 
 def op1_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best rows for every twentieth vector.  Nulls, ties, repeats and unequal lengths: see ``quantised`` and ``search``."""
     rows = stored(quantised(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 64.0), "vectors")
     return search(rows, rows.filter("vec_id % 20 = 0"))
 
