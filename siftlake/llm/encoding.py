@@ -127,11 +127,11 @@ class Encoder:
         cores = [p.rstrip(MARKS) for p in pieces]
         cores = [c if c[-1:].isalpha() else p for c, p in zip(cores, pieces, strict=True)]
         tails = [p[len(c):] for c, p in zip(cores, pieces, strict=True)]
-        missing = dict.fromkeys(p for p in cores if p not in self.place)
-        missing.update(dict.fromkeys(p for p in tails if p not in self.place))
+        wanted = {*cores, *tails}
+        missing = wanted.difference(self.place)
         if missing and len(self.place) + len(missing) > self.room:
             self._clear()
-            missing = dict.fromkeys(cores) | dict.fromkeys(tails)
+            missing = wanted
         self._learn([p for p in missing if p[:1] == " "])
         for p in missing:
             if p[:1] != " ":
