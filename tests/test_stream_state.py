@@ -63,3 +63,18 @@ def test_late_rows_are_counted_over_more_than_a_hundred_batches(spark, tmp_path)
         spark.streams.removeListener(listener)
     assert planted > 80 and row.late_rows == planted and row.input_rows == n and row.batches >= 115
     assert spark.read.parquet(str(tmp_path / "out")).count() == n - planted
+
+
+def test_state_of_bursts_ends_with_the_watermark(spark, tmp_path):
+    """A busy package over forty days: equal to a window over all rows, with a state of some hours."""
+    r = random.Random(8)
+    parts = [[("hot" if r.random() < 0.8 else "cold", T0 + dt.timedelta(days=k, minutes=r.randrange(1440))) for _ in range(40)] for k in range(40)]
+    stream = batches(spark, str(tmp_path / "in"), parts, "package string, published_at timestamp")
+    query = streams.run_to_end(streams.stream_exact_bursts(stream, "6 hours"), str(tmp_path / "c"), str(tmp_path / "out"))
+    want = []
+    for name in ("hot", "cold"):
+        times = sorted(t for part in parts for k, t in part if k == name)
+        want += [(name, t) for i, t in enumerate(times) if i >= 4 and t - times[i - 4] <= dt.timedelta(hours=6)]
+    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).collect())) == sorted(want) and len(want) > 500
+    held = [op["numRowsTotal"] for p in query.recentProgress for op in p["stateOperators"]]
+    assert max(held) < 400
