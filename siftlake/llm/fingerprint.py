@@ -94,7 +94,8 @@ def with_next(docs: DataFrame, id_col: str, text_col: str, part_bytes: int = 32
     """doc_id, text and the text of the next document by ascending id, the first one's after the last; with (part, place) naming the row.
 
     Rows of one id follow in a fixed order of their texts; null ids come last.  Documents are dealt out by range, and
-    each part borrows the first document of the next part, so no part is larger than its share.
+    each part borrows the first document of the next part.  Ranges are made of equal steps of the ids: where most ids lie in one
+    step, or are null, one part is larger than its share.
     """
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     order = ["none", "doc_id", "k", "text"]
@@ -118,7 +119,12 @@ def with_next(docs: DataFrame, id_col: str, text_col: str, part_bytes: int = 32
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Fingerprints of each document and of its edited text, with likenesses; see ``op9_fingerprints``."""
+    """Fingerprints of each document and of its edited text, with likenesses.
+
+    One row per row.  Null text counts as empty: the fingerprint of no elements.  Rows of one id follow each other by a hash of
+    their texts, null ids come last; equal texts have equal fingerprints, whatever their rows.  A table of one row is its own next.
+    Other columns are not read.
+    """
     rows = with_next(docs, id_col, text_col)
     n = F.char_length("text")
     moved = F.floor(n / 4).cast("int")
@@ -135,4 +141,5 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents, of their edited texts and their likeness.  Nulls, ties and repeats: see ``fingerprints``."""
     return fingerprints(table(spark, sf_dir, "documents"))

@@ -138,4 +138,5 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of 2048 tokens.  Nulls, long documents and repeats: see ``pack_documents``."""
     return pack_documents(table(spark, sf_dir, "documents"))

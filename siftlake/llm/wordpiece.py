@@ -141,4 +141,5 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Word pieces of all documents.  Nulls, empty texts and repeats: see ``token_counts``."""
     return token_counts(table(spark, sf_dir, "documents"))
