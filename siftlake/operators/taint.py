@@ -14,7 +14,7 @@ from siftlake.operators.scan import _guard, _hits, may_match, quote, strip, to_l
 from siftlake.rules.flow import (
     ARROW_PARAMS, ASSIGNMENT, DESTRUCTURE, ES_IMPORT, FUNCTION_PARAMS, PYTHON_IMPORT, REQUIRE_IMPORT, SINKS, SOURCES,
 )
-from siftlake.session import checkpointed
+from siftlake.session import checkpointed, shuffled
 
 # Endings tried for an import path, in order.
 IMPORT_ENDINGS = (".ts", ".tsx", ".js", ".jsx", ".py", "", "/index.ts", "/index.js")
@@ -26,7 +26,7 @@ def _mentioned(lines: DataFrame, text: str, variables: DataFrame) -> DataFrame:
     Files are matched by equality and the name by a search in the line, so a long word costs no more rows.
     """
     named = variables.filter("var RLIKE '^\\\\w+$'").withColumnRenamed("file_id", "_file")
-    return lines.join(named, (F.col("file_id") == F.col("_file")) & F.contains(F.col(text), F.col("var"))).drop("_file")
+    return lines.join(shuffled(named), (F.col("file_id") == F.col("_file")) & F.contains(F.col(text), F.col("var"))).drop("_file")
 
 
 def _code_lines(corpus: DataFrame, family) -> DataFrame:
@@ -73,7 +73,7 @@ def propagate(seeds: DataFrame, assigned: DataFrame, max_rounds: int | None = No
     The lineage is cut after every round.  Rounds are as many as the longest chain of
     assignments; ``max_rounds`` stops earlier.
     """
-    relevant = assigned.join(seeds.select("file_id").distinct(), "file_id", "left_semi")
+    relevant = assigned.join(shuffled(seeds.select("file_id").distinct()), "file_id", "left_semi")
     uses = checkpointed(relevant)
     known = checkpointed(seeds)
     frontier, done = known, 0
@@ -81,7 +81,7 @@ def propagate(seeds: DataFrame, assigned: DataFrame, max_rounds: int | None = No
         reached = _mentioned(uses, "rhs", frontier).groupBy("file_id", "target").agg(
             F.min_by(F.struct("source_line", "category"), F.struct("source_line", "category")).alias("_s"))
         fresh = reached.select("file_id", F.col("target").alias("var"), "_s.source_line", "_s.category").join(
-            known.select("file_id", "var"), ["file_id", "var"], "left_anti")
+            shuffled(known.select("file_id", "var")), ["file_id", "var"], "left_anti")
         frontier = checkpointed(fresh)
         if frontier.isEmpty():
             break
@@ -142,7 +142,7 @@ def import_edges(corpus: DataFrame) -> DataFrame:
         f"posexplode(IF(exact, array(''), {endings})) AS (rank, ending)", f"{_resolved(f'concat({folder}, target)')} AS base",
     ).selectExpr("file_id", "project", "names", "target", "rank", "concat(base, ending) AS candidate")
     files = corpus.selectExpr("project", f"{_resolved('path')} AS candidate", "file_id AS to_file")
-    found = tried.join(files, ["project", "candidate"]).groupBy("file_id", "target", "names").agg(
+    found = tried.join(shuffled(files), ["project", "candidate"]).groupBy("file_id", "target", "names").agg(
         F.min_by("to_file", F.struct("rank", "to_file")).alias("to_file"))
     return found.select(F.col("file_id").alias("from_file"), "to_file", F.explode("names").alias("name")).filter("name <> ''").distinct()
 
@@ -152,11 +152,11 @@ def cross_file_flows(tainted: DataFrame, found_sinks: DataFrame, edges: DataFram
     s = found_sinks.select(F.col("file_id").alias("sink_file"), F.col("line_no").alias("sink_line"), "operation",
                            F.col("category").alias("sink_category"), "severity")
     origin = tainted.select(F.col("file_id").alias("source_file"), "var", "source_line", F.col("category").alias("source_category"))
-    inward = edges.join(origin, (edges["to_file"] == origin["source_file"]) & (edges["name"] == origin["var"])).join(
-        s, F.col("sink_file") == F.col("from_file"))
+    inward = edges.join(shuffled(origin), (edges["to_file"] == origin["source_file"]) & (edges["name"] == origin["var"])).join(
+        shuffled(s), F.col("sink_file") == F.col("from_file"))
     called = functions.select(F.col("file_id").alias("to_file"), "name").distinct()
-    callable_edges = edges.join(called, ["to_file", "name"]).select("from_file", "to_file").distinct()
-    outward = callable_edges.join(origin, F.col("from_file") == F.col("source_file")).join(s, F.col("sink_file") == F.col("to_file"))
+    callable_edges = edges.join(shuffled(called), ["to_file", "name"]).select("from_file", "to_file").distinct()
+    outward = callable_edges.join(shuffled(origin), F.col("from_file") == F.col("source_file")).join(shuffled(s), F.col("sink_file") == F.col("to_file"))
     columns = ["source_file", "source_line", "source_category", "sink_file", "sink_line", "operation", "sink_category", "severity", "var"]
     return inward.select(F.lit("cross").alias("kind"), *columns).unionByName(outward.select(F.lit("cross-call").alias("kind"), *columns))
 

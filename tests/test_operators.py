@@ -270,6 +270,26 @@ def test_taint_takes_long_words(spark):
     assert (3, "secret_q") in flows and (4, "other") in flows
 
 
+def test_taint_sends_nothing_through_the_driver(spark, monkeypatch):
+    """Lines are sized by the file they come from, so no join of the data flow may rest on such an estimate."""
+    text = "const q = req.query.id\nconst r = q\ndb.raw(r)\nexport function run(c) {}"
+    caller = "import { q } from './a';\nconst { run } = require('./a')\ndb.raw(q)\nrun(req.body)"
+    rows = [(1, "javascript", "p", "a.js", text), (2, "javascript", "p", "b.js", caller)]
+    corpus = spark.createDataFrame(rows, "file_id long, lang string, project string, path string, text string")
+    plans, plain = [], taint.checkpointed
+
+    def seen(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return plain(df)
+
+    monkeypatch.setattr(taint, "checkpointed", seen)
+    flows = taint.analyze(corpus)
+    plans.append(flows._jdf.queryExecution().executedPlan().toString())
+    assert any("SortMergeJoin" in p for p in plans[:-1]) and "SortMergeJoin" in plans[-1]
+    assert not any("Broadcast" in p for p in plans)
+    assert {(r.kind, r.source_file, r.sink_file, r.sink_line) for r in flows.collect()} >= {("local", 1, 1, 3), ("cross", 1, 2, 3)}
+
+
 @pytest.mark.parametrize("name", ["namespace_confusion", "nearest_popular", "mcp_cve_matches", "agent_leaderboard"])
 def test_built_in_tables_have_a_known_size(spark, name):
     from siftlake.plans import PLANS
