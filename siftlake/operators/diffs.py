@@ -4,33 +4,32 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from siftlake.functions.versions import version_key
 from siftlake.operators.scan import quote, scan
-from siftlake.rules.regressions import ADDED, DEPENDENCY_LINE, HUNK, REMOVED
+from siftlake.rules.regressions import ADDED, DEPENDENCY_LINE, HUNK, NEW_SIDE, REMOVED
+from siftlake.session import shuffled
 
 NEARBY = 5
 
 
 def read_unified_diff(diffs: DataFrame, column: str = "diff") -> DataFrame:
-    """Added and removed lines of each diff, numbered on the new side; one row of input per diff.
+    """Added and removed lines of each diff, numbered on the new side; every row of input is a diff of its own.
 
-    A diff is cut at its hunk headers within its row, so the window that counts lines
-    covers one hunk at a time.
+    A diff is cut at its hunk headers, and a hunk before every line of the new side: the pieces number those lines, and the
+    removed lines after one take the next number.  All of it happens within the row, so nothing is shuffled or sorted.
     """
     keys = [c for c in diffs.columns if c != column]
-    hunks = diffs.select(*keys, F.posexplode(F.split(column, r"(?m)^(?=@@ -)")).alias("_hunk", "_body"))
-    headed = hunks.selectExpr(*keys, "_hunk", "_body", f"try_cast(regexp_extract(_body, {quote(HUNK)}, 1) AS INT) AS _start")
-    lines = headed.filter("_start IS NOT NULL").selectExpr(*keys, "_hunk", "_start", "posexplode(split(_body, '\\n')) AS (_pos, _line)")
-    marked = lines.filter("_pos > 0").withColumn("op", F.expr(
+    hunks = diffs.select(*keys, F.explode(F.split(column, r"(?m)^(?=@@ -)")).alias("_body"))
+    headed = hunks.selectExpr(*keys, "_body", f"try_cast(regexp_extract(_body, {quote(HUNK)}, 1) AS INT) AS _start").filter("_start IS NOT NULL")
+    # The first piece is the header with the lines removed before any line of the new side.
+    pieces = headed.selectExpr(*keys, "_start", f"posexplode(split(_body, {quote(NEW_SIDE)})) AS (_piece, _lines)")
+    lines = pieces.selectExpr(*keys, "_start + _piece AS _next", "_piece", "posexplode(split(_lines, '\\n')) AS (_pos, _line)")
+    marked = lines.filter("_piece > 0 OR _pos > 0").withColumn("op", F.expr(
         "CASE WHEN startswith(_line, '+') AND NOT startswith(_line, '+++') THEN '+' "
-        "WHEN startswith(_line, '-') AND NOT startswith(_line, '---') THEN '-' "
-        "WHEN startswith(_line, '\\\\') THEN '' ELSE ' ' END"))
-    before = W.partitionBy(*keys, "_hunk").orderBy("_pos").rowsBetween(W.unboundedPreceding, -1)
-    numbered = marked.withColumn(
-        "line_no", F.col("_start") + F.coalesce(F.count_if(F.col("op").isin("+", " ")).over(before), F.lit(0)).cast("int"))
-    return numbered.filter(F.col("op").isin("+", "-")).select(*keys, "op", "line_no", F.substring("_line", 2, 2**31 - 1).alias("text"))
+        "WHEN startswith(_line, '-') AND NOT startswith(_line, '---') THEN '-' END"))
+    return marked.filter("op IS NOT NULL").select(
+        *keys, "op", F.expr("IF(_pos = 0, _next - 1, _next)").alias("line_no"), F.substring("_line", 2, 2**31 - 1).alias("text"))
 
 
 def _rule_changes(lines: DataFrame, keys: list[str], *families) -> DataFrame:
@@ -62,7 +61,7 @@ def dependency_downgrades(lines: DataFrame, keys: list[str]) -> DataFrame:
         *keys, "op", "line_no", f"regexp_extract(text, {pattern}, 1) AS name", f"regexp_extract(text, {pattern}, 2) AS version")
     old = parsed.filter("op = '-'").groupBy(*keys, "name").agg(F.max_by("version", F.struct("line_no", "version")).alias("previous"))
     new = parsed.filter("op = '+'").select(*keys, "name", "line_no", "version")
-    return new.join(old, [*keys, "name"]).filter(f"{version_key('version')} < {version_key('previous')}")
+    return new.join(shuffled(old), [*keys, "name"]).filter(f"{version_key('version')} < {version_key('previous')}")
 
 
 def regression_report(lines: DataFrame, keys: list[str], path: str = "path") -> DataFrame:

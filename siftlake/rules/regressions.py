@@ -32,6 +32,7 @@ ADDED = Family("regression_added", check((
     Rule("REG_NEW_005", "medium", "new-unsafe-pattern", r"""Access-Control-Allow-Origin['"]\s*[:,]\s*['"]?\*""", "CORS wildcard added", ("access-control-allow-origin",)),
 )), finding_type="regression")
 
-# A dependency line of a manifest, and a hunk header.
+# A dependency line of a manifest, a hunk header, and the line end before a line that counts on the new side.
 DEPENDENCY_LINE = r"""["']([^"']+)["']\s*:\s*["']([^"']+)["']"""
 HUNK = r"^@@ -\d+(?:,\d+)? \+(\d+)(?:,\d+)? @@"
+NEW_SIDE = r"\n(?!-(?!--)|\\)"
