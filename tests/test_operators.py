@@ -350,3 +350,19 @@ def test_spread_bounds_the_rows_of_a_task(spark, monkeypatch):
     assert session.spread(spark.range(5000, numPartitions=16), "id").rdd.getNumPartitions() == 50
     assert session.spread(spark.range(500, numPartitions=16), "id").rdd.getNumPartitions() == 16
     assert session.spread(spark.range(0), "id").count() == 0
+
+
+def test_sarif_computes_its_findings_once(spark):
+    """Sections read what was written; none scans the corpus again."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(rows):
+        for r in rows:
+            seen.add(1)
+            yield r
+
+    schema = "project string, path string, line_no int, col_start int, rule_id string, severity string, message string, fix string"
+    rows = [("p", "a.js", i, 1, f"R{i}", "high", "m", None) for i in range(5)]
+    found = spark.createDataFrame(spark.sparkContext.parallelize(rows, 1).mapPartitions(counted), schema)
+    assert exports.to_sarif(found).count() == 3 + 5 + 5
+    assert seen.value == 5
