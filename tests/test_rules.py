@@ -7,7 +7,7 @@ from siftlake.operators import scan
 from siftlake.operators.files import classify
 from siftlake.plans.examples import EXAMPLES
 from siftlake.plans.tables import planted
-from siftlake.rules import FAMILIES
+from siftlake.rules import FAMILIES, Family, Rule
 
 # Rules whose match spans two lines and so can never fire on one.
 TWO_LINES = {"CG_IAC_K8S_012", "CG_API_BOLA_002"}
@@ -86,3 +86,17 @@ def test_classify(spark):
 def test_scan_reads_text_once(spark):
     plan = scan.scan(planted(spark, SMALL, "secret"), FAMILIES["secret"], FAMILIES["api"])._jdf.queryExecution().executedPlan().toString()
     assert plan.count("FileScan parquet") == 1
+
+
+def test_flags_of_many_families_lose_nothing_and_read_a_line_once(spark):
+    """Anchors and shapes are looked up in lines by Arrow; no text is searched for one anchor after another."""
+    wallet, tags = "1" + "BvBMSEYstWetqTFn5Au4m4GFg7xJaNVN", "\U000E0041\U000E0042"
+    corpus = spark.createDataFrame(
+        [(1, f"pay {wallet} now\nTOKEN61 x\r\ntoken3 -K\n{tags}"), (2, None), (3, ""), (4, "4" + "A" * 94 + "\nbc1" + "q" * 20)], "file_id long, text string")
+    many = [Family(f"f{i}", (Rule(f"R{i}", "high", "c", rf"(?i)\btoken{i}\b|\$\({i};", "t", (f"token{i}", f"$({i};")),)) for i in range(70)]
+    families = [*many, Family("bare", (Rule("B", "low", "c", "^x?$", "t"),)), FAMILIES["cryptojack"], FAMILIES["jailbreak"]]
+    found, want = (scan.scan(corpus, *families, prefilter=p).select("file_id", "line_no", "rule_id", "col_start", "evidence") for p in (True, False))
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect()))
+    assert {"R61", "R3", "B", "CG_CJACK_002", "CG_CJACK_003", "CG_JB_052"} <= {r["rule_id"] for r in found.collect()}
+    below = found._jdf.queryExecution().optimizedPlan().toString().split("posexplode(")[-1].lower()
+    assert "contains(" not in below and "rlike" not in below
