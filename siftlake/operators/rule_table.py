@@ -1,10 +1,12 @@
 """Rules that come as a table: any number of patterns against every line, through an index of required literals.
 
-A pattern cannot match a line without one of its literals, or one of several where it has alternatives.  Every literal
-enters the index under one of its grams of three letters, the one that fewest literals share.  Lines meet the index by their
-own grams in an equality join, and only the pairs that hold a whole literal run the pattern, which is a column like any
-other: the plan has the same size for one rule and for a million.  Rules without a literal are tried on every line, a
-bounded group of them at a time.
+A pattern cannot match a line without one of its literals, or one of several where it has alternatives.  Literals are
+looked for in the lower-cased line and in the line with every run of marks and white space written as one space, so a
+literal may go on over what separates words.  Every literal enters the index under one of its grams, the one that fewest
+literals share.  Lines meet the index by their own grams in an equality join, and only the pairs that hold a whole
+literal run the pattern, which is a column like any other: the plan has the same size for one rule and for a million.
+Equal patterns run once.  Patterns without a literal are tried on every line that is neither too short nor too long for
+them, a bounded group of them at a time.
 """
 
 from __future__ import annotations
@@ -18,14 +20,21 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftlake.operators.scan import to_lines
+from siftlake.operators.scan import LINE_END, to_lines
 from siftlake.rules.model import jvm_regex
 from siftlake.session import checkpointed
 
 GRAM = 3
+#: Longer literals are indexed under grams of so many letters, which fewer lines have.
+LONG_GRAM = 6
 #: An index of so many literals goes to all executors; a larger one is shuffled with the lines' grams.
 INDEX_ROWS = 200_000
 _GROUP = 128
+_SEPARATORS = {c for c in range(128) if not chr(c).isalnum() and c != ord("_")}
+#: The same in lower-cased text.
+_SEPARATOR_RUN = r"[\x00-\x2f\x3a-\x60\x7b-\x7f&&[^_]]+"
+#: Literals that alternatives of a pattern are multiplied out to, at most.
+_FORMS = 16
 
 
 def _plain(codes: Iterable[int]) -> str:
@@ -76,27 +85,139 @@ def required_literals(pattern: str) -> list[str]:
 
     Empty where none is certain, also for what Java and Python write differently: such a rule is tried on every line.
     """
+    tree = _tree(pattern)
+    return [] if tree is None else _required(tree) or []
+
+
+def _separates(kind, value) -> bool:
+    """Whether an item of a pattern matches one separator and nothing else."""
+    if kind is sre.LITERAL:
+        return value in _SEPARATORS
+    if kind is not sre.IN:
+        return False
+    return all(
+        k is sre.LITERAL and v in _SEPARATORS or k is sre.CATEGORY and v is sre.CATEGORY_SPACE
+        or k is sre.RANGE and all(c in _SEPARATORS for c in range(v[0], min(v[1], 128) + 1)) and v[1] < 128
+        for k, v in value)
+
+
+def _join(left: set[str], right: set[str]) -> set[str]:
+    """Every left part with every right one; separators that meet are one space."""
+    return {a + (b[1:] if a[-1:] == " " and b[:1] == " " else b) for a in left for b in right}
+
+
+def _forms(kind, value) -> set[str] | None:
+    """All that an item of a pattern can match, with a space for each run of separators; None for too many."""
+    if kind is sre.AT:
+        return {""}
+    if _separates(kind, value):
+        return {" "}
+    if kind is sre.LITERAL:
+        return {chr(value).lower()} if 32 <= value < 127 else None
+    if kind in (sre.MAX_REPEAT, sre.MIN_REPEAT, sre.POSSESSIVE_REPEAT):
+        low, high, inner = value
+        once = _sequence(inner)
+        if once is None or not (high == 1 or once == {" "}):
+            return None
+        return once if low > 0 else {"", *once}
+    if kind is sre.SUBPATTERN:
+        return _sequence(value[-1])
+    if kind is sre.ATOMIC_GROUP:
+        return _sequence(value)
+    if kind is sre.BRANCH:
+        parts = [_sequence(x) for x in value[1]]
+        return None if any(x is None for x in parts) else set().union(*parts)
+    return None
+
+
+def _sequence(tree) -> set[str] | None:
+    found = {""}
+    for kind, value in tree:
+        one = _forms(kind, value)
+        if one is None or len(found) * len(one) > _FORMS:
+            return None
+        found = _join(found, one)
+    return found
+
+
+def _phrases(tree) -> list[str] | None:
+    """As :func:`_required`, for text in which each run of separators is one space."""
+    best, run = None, {""}
+
+    def close(after: set[str]) -> None:
+        nonlocal best, run
+        best = _better(best, sorted(run) if all(len(x) >= GRAM for x in run) else None)
+        run = after
+
+    for kind, value in tree:
+        one = _forms(kind, value)
+        if one is not None and len(one) <= _FORMS:
+            if len(run) * len(one) > _FORMS:
+                close({""})
+            run = _join(run, one)
+            continue
+        repeated = _sequence(value[2]) if kind in (sre.MAX_REPEAT, sre.MIN_REPEAT, sre.POSSESSIVE_REPEAT) and value[0] > 0 else None
+        if repeated and len(run) * len(repeated) <= _FORMS:
+            # The first of the repeats goes on from what stands before, the last one starts what stands behind.
+            run = _join(run, repeated)
+            close(repeated)
+            continue
+        close({""})
+        if kind in (sre.SUBPATTERN, sre.ATOMIC_GROUP):
+            best = _better(best, _phrases(value[-1] if kind is sre.SUBPATTERN else value))
+        elif kind is sre.BRANCH:
+            parts = [_phrases(x) for x in value[1]]
+            best = _better(best, None if any(x is None for x in parts) else sorted({y for x in parts for y in x}))
+        elif kind in (sre.MAX_REPEAT, sre.MIN_REPEAT, sre.POSSESSIVE_REPEAT) and value[0] > 0:
+            best = _better(best, _phrases(value[2]))
+    close({""})
+    return best
+
+
+def _tree(pattern: str):
+    """The parsed pattern; None for what Java and Python write differently."""
     bare = re.sub(r"\\.", "", pattern, flags=re.DOTALL)
     if "&&" in bare or re.search(r"\[[^\]]*\[|\(\?[a-zA-Z]*[xudU]", bare):
-        return []
+        return None
     try:
-        return _required(_parser.parse(re.sub(r"\(\?<(?=[A-Za-z])", "(?P<", pattern))) or []
+        return _parser.parse(re.sub(r"\(\?<(?=[A-Za-z])", "(?P<", pattern))
     except (re.error, OverflowError, RecursionError, ValueError):
-        return []
+        return None
+
+
+def indexed_literals(pattern: str) -> list[str]:
+    """The more selective of :func:`required_literals` and literals that go on over separators, which a space stands for."""
+    tree = _tree(pattern)
+    return [] if tree is None else _better(_phrases(tree), required_literals(pattern)) or []
+
+
+def line_length(pattern: str) -> tuple[int, int | None]:
+    """Letters that a matching line has at least, and at most where the pattern is tied to both ends."""
+    tree = _tree(pattern)
+    if tree is None:
+        return 0, None
+    low, high = tree.getwidth()
+    items = list(tree)
+    tied = len(items) > 1 and items[0] == (sre.AT, sre.AT_BEGINNING) and items[-1] == (sre.AT, sre.AT_END) and not tree.state.flags & re.MULTILINE
+    # An end may be followed by a line end of two letters.
+    return low, high + 2 if tied and high < 1 << 30 else None
 
 
 def compile_rules(rules: DataFrame, pattern: str = "pattern") -> DataFrame:
-    """Add ``jvm``, the pattern as it runs and null where it does not compile, and ``literals`` to a table of rules.
+    """Add ``jvm``, the pattern as it runs and null where it does not compile, ``literals``, ``shortest`` and ``longest`` line to a table of rules.
 
     Patterns match without regard to case and with ASCII word boundaries.  A null pattern does not compile.
     """
-    @F.pandas_udf("struct<jvm:string,literals:array<string>>")
+    @F.pandas_udf("struct<jvm:string,literals:array<string>,shortest:int,longest:int>")
     def read(patterns: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame({"jvm": [None if p is None else "(?i)" + jvm_regex(p) for p in patterns], "literals": [[] if p is None else required_literals(p) for p in patterns]})
+        lengths = [(0, None) if p is None else line_length(p) for p in patterns]
+        return pd.DataFrame({
+            "jvm": [None if p is None else "(?i)" + jvm_regex(p) for p in patterns], "literals": [[] if p is None else indexed_literals(p) for p in patterns],
+            "shortest": [min(a, 1 << 30) for a, _ in lengths], "longest": pd.array([b for _, b in lengths], "Int32")})
 
     ready = rules.withColumn("_r", read(F.col(pattern)))
     valid = F.try_reflect(F.lit("java.util.regex.Pattern"), F.lit("compile"), F.col("_r.jvm")).isNotNull() & F.col("_r.jvm").isNotNull()
-    return ready.withColumns({"jvm": F.when(valid, F.col("_r.jvm")), "literals": F.col("_r.literals")}).drop("_r")
+    return ready.withColumns({"jvm": F.when(valid, F.col("_r.jvm")), **{c: F.col(f"_r.{c}") for c in ("literals", "shortest", "longest")}}).drop("_r")
 
 
 def rejected_rules(rules: DataFrame, pattern: str = "pattern") -> DataFrame:
@@ -104,15 +225,21 @@ def rejected_rules(rules: DataFrame, pattern: str = "pattern") -> DataFrame:
     return compile_rules(rules, pattern).filter("jvm IS NULL").select(*rules.columns)
 
 
-def grams(text: Column) -> Column:
+def grams(text: Column, length: int = GRAM) -> Column:
     """The different grams of a text; none for a shorter one."""
-    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{GRAM}}}))"), F.lit(1)))
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{length}}}))"), F.lit(1)))
+
+
+def searched(line: Column) -> Column:
+    """The text in which literals are looked for: the lower-cased line, and the same with a space for each run of separators."""
+    return F.concat(F.lower(line), F.lit("\n"), F.regexp_replace(F.lower(line), _SEPARATOR_RUN, " "))
 
 
 def literal_index(compiled: DataFrame) -> DataFrame:
     """(gram, rule, which): every literal of every rule under its gram that fewest literals have."""
     literals = compiled.select("rule", F.posexplode("literals").alias("which", "literal"))
-    each = literals.select("rule", "which", F.explode(grams(F.col("literal"))).alias("gram"))
+    own = F.when(F.char_length("literal") < LONG_GRAM, grams(F.col("literal"))).otherwise(grams(F.col("literal"), LONG_GRAM))
+    each = literals.select("rule", "which", F.explode(own).alias("gram"))
     common = each.groupBy("gram").agg(F.count("*").alias("n"))
     rarest = F.min(F.struct("n", "gram")).alias("best")
     return each.join(common, "gram").groupBy("rule", "which").agg(rarest).select(F.col("best.gram").alias("gram"), "rule", "which")
@@ -127,38 +254,40 @@ def scan_rules(corpus: DataFrame, rules: DataFrame, text: str = "text", pattern:
     """
     rest = [c for c in corpus.columns if c != text]
     named = [c for c in rules.columns if c not in rest]
-    # Rules are numbered once and written: the number joins the index to the patterns.
-    numbered = compile_rules(rules, pattern).filter("jvm IS NOT NULL").select(
-        F.struct(*named).alias("about"), "jvm", "literals").withColumn("rule", F.monotonically_increasing_id())
-    numbered = checkpointed(numbered)
-    texts = corpus.select(F.struct(*rest).alias("place"), F.col(text).alias("text"), F.lower(text).alias("low"))
+    # Rules are compiled once and written.  Equal patterns are one, which a number joins to the index and to its rules.
+    compiled = checkpointed(compile_rules(rules, pattern).filter("jvm IS NOT NULL").select(F.struct(*named).alias("about"), "jvm", "literals", "shortest", "longest"))
+    numbered = checkpointed(compiled.groupBy("jvm").agg(*[F.first(c).alias(c) for c in ("literals", "shortest", "longest")]).withColumn("rule", F.monotonically_increasing_id()))
+    owners = compiled.select("about", "jvm")
     indexed = numbered.filter(F.size("literals") > 0)
-    index = literal_index(indexed).join(indexed.select("rule", "about", "jvm", "literals"), "rule").drop("rule")
+    index = literal_index(indexed).join(indexed.select("rule", "jvm", "literals"), "rule").drop("rule")
     # Both sides go to all executors only while they have few rows; the stored table gives the planner no size.
     small = numbered.agg(F.coalesce(F.sum(F.greatest(F.size("literals"), F.lit(1))), F.lit(0))).first()[0] <= index_rows
+    few = small and owners.count() <= index_rows
 
-    def meet(rows: DataFrame, side: DataFrame, key: str) -> DataFrame:
-        return rows.join(F.broadcast(side) if small else side, key).drop(key)
+    def meet(rows: DataFrame, side: DataFrame, key: str, sent: bool = small) -> DataFrame:
+        return rows.join(F.broadcast(side) if sent else side, key).drop(key)
 
-    met = texts.select("place", "text", "low", F.explode(grams(F.col("low"))).alias("gram"))
+    lines = to_lines(corpus.select(F.struct(*rest).alias("place"), F.col(text).alias("text"))).withColumn("low", searched(F.col("line")))
+    met = lines.select("place", "line_no", "line", "low", F.explode(F.concat(grams(F.col("low")), grams(F.col("low"), LONG_GRAM))).alias("gram"))
     joined = meet(met, index, "gram")
-    # A text that holds several literals of a rule is taken at the first of them alone.
+    # A line that holds several literals of a pattern is taken at the first of them alone.
     first = F.array_position(F.transform("literals", lambda x: F.contains(F.col("low"), x)), True) - 1
-    found = joined.filter(first == F.col("which")).select("place", "text", "about", "jvm", "literals")
+    found = joined.filter(first == F.col("which")).filter(F.rlike("line", F.col("jvm"))).select("place", "line_no", "line", "jvm")
 
     bare = numbered.filter(F.size("literals") == 0)
     count = bare.count()
     if count:
         parts = 1 + (count - 1) // _GROUP
-        groups = bare.withColumn("g", F.pmod(F.xxhash64("rule"), F.lit(parts)).cast("int")).groupBy("g").agg(F.collect_list(F.struct("about", "jvm", "literals")).alias("rules"))
-        every = texts.select("place", "text", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("g"))
-        found = found.unionByName(meet(every, groups, "g").select("place", "text", F.explode("rules").alias("r")).select("place", "text", "r.about", "r.jvm", "r.literals"))
-    # All lines of a text follow each other under one rule: a pattern is compiled once for them.
-    lines = to_lines(found)
-    held = (F.size("literals") == 0) | F.exists("literals", lambda x: F.contains(F.lower("line"), x))
-    matched = lines.filter(held & F.rlike("line", F.col("jvm")))
-    start = F.regexp_instr("line", F.col("jvm"))
-    evidence = F.coalesce(F.regexp_substr("line", F.col("jvm")), F.lit(""))
+        groups = bare.withColumn("g", F.pmod(F.xxhash64("rule"), F.lit(parts)).cast("int")).groupBy("g").agg(F.collect_list(F.struct("jvm", "shortest", "longest")).alias("rules"))
+        # All lines of a text follow each other under one pattern, which is compiled once for them.
+        numbered_lines = F.transform(F.split(text, LINE_END), lambda x, i: F.struct((i + 1).alias("line_no"), x.alias("line"), F.char_length(x).alias("n")))
+        texts = corpus.select(F.struct(*rest).alias("place"), numbered_lines.alias("lines"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("g"))
+        each = meet(texts, groups, "g").select("place", "lines", F.explode("rules").alias("r"))
+        fits = F.filter("lines", lambda x: (x["n"] >= F.col("r.shortest")) & (x["n"] <= F.coalesce("r.longest", x["n"])) & F.rlike(x["line"], F.col("r.jvm")))
+        found = found.unionByName(each.select("place", "r.jvm", F.explode(fits).alias("x")).select("place", "x.line_no", "x.line", "jvm"))
+    matched = meet(found.withColumn("_jvm", F.col("jvm")), owners, "jvm", few)
+    start = F.regexp_instr("line", F.col("_jvm"))
+    evidence = F.coalesce(F.regexp_substr("line", F.col("_jvm")), F.lit(""))
     return matched.select(
         *[F.col(f"place.{c}").alias(c) for c in rest], "line_no", *[F.col(f"about.{c}").alias(c) for c in named],
         start.alias("col_start"), (start + F.char_length(evidence)).alias("col_end"), F.substring(evidence, 1, 120).alias("evidence"))

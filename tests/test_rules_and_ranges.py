@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siftlake.operators import advisories, attribution
-from siftlake.operators.rule_table import compile_rules, rejected_rules, required_literals, scan_rules
+from siftlake.operators.rule_table import compile_rules, indexed_literals, line_length, rejected_rules, required_literals, scan_rules
 
 PATTERNS = [
     "pass(?:word|phrase)\\s*=", "api[_-]?key", "(?:token|secret){1,2}:", "\\bfrom\\b", "([", None, "x?y*", "colou?rs? of", "(?<name>abc)def", "a{3,}bcd", "(?i)HELLO", "end$", "^start",
@@ -41,6 +41,21 @@ def test_scan_rules_equals_every_pattern_on_every_line(spark):
         assert sorted(map(tuple, got)) == sorted(want)
 
 
+def test_literals_over_separators_and_lengths_of_lines(spark):
+    want = {"the\\s+end": ["the end"], "\\bthe[ ,.]+(?:and\\s+)?end\\b": ["the and end", "the end"], "(?:the|andx)\\sof": ["andx of", "the of"], "the(?: of)+\\W": ["the of"], "the\\Wend": ["end", "the"],
+            "the[^a]end": ["the"], "the[ é]end": ["the"], "pass\\s*=": ["pass "], "x(?:a|b|c){2}\\s(?=the)": []}
+    assert {p: indexed_literals(p) for p in want} == {**want, "the\\Wend": ["the"]}
+    assert [line_length(p) for p in ("^a[a-z]?b$", "^ab", "^a|b$", "(?m)^ab$", "^ab?c+$", "[x[yz]]abc")] == [(2, 5), (2, None), (1, None), (2, None), (2, None), (0, None)]
+    r = random.Random(5)
+    words, marks = ["The", "end", "and", "of", "andx", "pass", "İs", "é", "x_", "12"], [" ", "  ", ", ", "\t", ".", "=", "-", "", "\x0b", "\u00a0"]
+    corpus = [(i, "\n".join("".join(r.choice(words) + r.choice(marks) for _ in range(r.randint(0, 6))) for _ in range(5))) for i in range(80)]
+    patterns = [*want, "^[a-z]{2,3} .?$", "^[a-z]{2,3} .?$", "of.?$", "end[.=]?\\s?of"]
+    docs = spark.createDataFrame(corpus, "file_id long, text string")
+    table = spark.createDataFrame(list(enumerate(patterns)), "rule_id long, pattern string")
+    truth = [(i, n + 1, k) for k, p in enumerate(patterns) for i, t in corpus for n, line in enumerate(t.split("\n")) if re.search(p, line, re.I | re.A)]
+    assert sorted(map(tuple, scan_rules(docs, table).select("file_id", "line_no", "rule_id").collect())) == sorted(truth) and len({x[2] for x in truth}) > 8
+
+
 def test_plan_does_not_grow_with_the_rules(spark):
     docs = spark.createDataFrame([(1, "word17 x word9999 y\nnothing")], "file_id long, text string")
 
