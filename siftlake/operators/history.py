@@ -5,12 +5,13 @@ Input ``versions``: (ecosystem, package, version, published_at, publisher, ordin
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from siftlake.functions.versions import major, version_key
 from siftlake.operators.sequences import consecutive, time_bucket
+from siftlake.session import checkpointed
 
 KEYS = ["ecosystem", "package"]
 ORDER = ["published_at", "ordinal"]
@@ -38,22 +39,14 @@ def _anomaly(df: DataFrame, anomaly: str, severity: str, evidence: str) -> DataF
     return df.selectExpr(*KEYS, f"{anomaly} AS anomaly_id", f"{severity} AS severity", f"{evidence} AS evidence")
 
 
+#: A package with more publications than this is cut into intervals; the others are put in order by one task each.
+LONG_HISTORY = 100_000
 #: Interval of the blocks in which neighbours are found, long enough that most rows of a daily history are inside one.
 _WEEK = 7 * 86400
 
 
-def neighbour_anomalies(versions: DataFrame) -> DataFrame:
-    """What two publications in a row show: the first lower version after a higher one, and the first gap of more than a year.
-
-    One pass finds the neighbours, and one aggregate per package the first of each kind.  The gap is worse when the
-    publisher changed.
-    """
-    keyed = versions.withColumn("_key", F.expr(version_key("version", 3)))
-    at = F.struct("cur.published_at", "cur.ordinal")
-    gap = F.unix_micros(F.col("cur.published_at").cast("timestamp")) - F.unix_micros(F.col("prev.published_at").cast("timestamp"))
-    both = F.struct(F.struct("prev.version", "prev.publisher").alias("prev"), F.struct("cur.version", "cur.publisher").alias("cur"))
-    first = consecutive(keyed, KEYS, ORDER, time_bucket("published_at", _WEEK)).groupBy(*KEYS).agg(
-        F.min_by(both, F.when(F.expr("cur._key < prev._key"), at)).alias("o"), F.min_by(both, F.when(gap > 365 * 86_400_000_000, at)).alias("d"))
+def _neighbours_found(first: DataFrame) -> DataFrame:
+    """The anomalies of ``o`` and ``d``, the first pairs of neighbours out of order and with a long gap."""
     changed = "coalesce(d.prev.publisher <> d.cur.publisher, false)"
     found = (
         "array_compact(array(IF(o IS NULL, NULL, named_struct('id', 'CG_PANOM_001', 'severity', 'high', 'evidence', concat(o.prev.version, ' > ', o.cur.version))), "
@@ -63,6 +56,25 @@ def neighbour_anomalies(versions: DataFrame) -> DataFrame:
     return _anomaly(first.selectExpr(*KEYS, f"explode({found}) AS a"), "a.id", "a.severity", "a.evidence")
 
 
+def _first_neighbours() -> list[Column]:
+    """Of structs ``prev`` and ``cur``: the first that are out of order, as ``o``, and the first with a gap of more than a year, as ``d``."""
+    at = F.struct("cur.published_at", "cur.ordinal")
+    gap = F.unix_micros(F.col("cur.published_at").cast("timestamp")) - F.unix_micros(F.col("prev.published_at").cast("timestamp"))
+    both = F.struct(F.struct("prev.version", "prev.publisher").alias("prev"), F.struct("cur.version", "cur.publisher").alias("cur"))
+    return [F.min_by(both, F.when(F.expr("cur._key < prev._key"), at)).alias("o"), F.min_by(both, F.when(gap > 365 * 86_400_000_000, at)).alias("d")]
+
+
+def neighbour_anomalies(versions: DataFrame) -> DataFrame:
+    """What two publications in a row show: the first lower version after a higher one, and the first gap of more than a year.
+
+    One pass finds the neighbours, and one aggregate per package the first of each kind.  The gap is worse when the
+    publisher changed.
+    """
+    keyed = versions.withColumn("_key", F.expr(version_key("version", 3)))
+    pairs = consecutive(keyed, KEYS, ORDER, time_bucket("published_at", _WEEK))
+    return _neighbours_found(pairs.groupBy(*KEYS).agg(*_first_neighbours()))
+
+
 def out_of_order(versions: DataFrame) -> DataFrame:
     """The first version of each package that is lower than the one published before it."""
     return neighbour_anomalies(versions).filter("anomaly_id = 'CG_PANOM_001'")
@@ -83,9 +95,12 @@ def bursts(versions: DataFrame) -> DataFrame:
 
 
 def burst_publish(versions: DataFrame) -> DataFrame:
-    first = bursts(versions).groupBy(*KEYS).agg(
+    return _burst_found(bursts(versions).groupBy(*KEYS).agg(
         F.min_by(F.struct("window_start", "published_at"), F.struct(*ORDER)).alias("f")
-    )
+    ))
+
+
+def _burst_found(first: DataFrame) -> DataFrame:
     return _anomaly(first, "'CG_PANOM_002'", "'high'", "concat(CAST(f.window_start AS STRING), ' > ', CAST(f.published_at AS STRING))")
 
 
@@ -100,10 +115,8 @@ def version_jump(versions: DataFrame) -> DataFrame:
     Only the lowest and highest version of each major matter, so the history is reduced to
     its majors before it is put in order.
     """
-    at = f"struct({version_key('version', 3)} AS k, published_at, ordinal)"
-    majors = versions.groupBy(*KEYS, F.expr(major("version")).alias("_major")).agg(
-        F.min_by("version", F.expr(at)).alias("_lowest"), F.max_by("version", F.expr(at)).alias("_highest")
-    )
+    placed = versions.selectExpr(*KEYS, "version", f"{major('version')} AS _major", f"struct({version_key('version', 3)} AS k, published_at, ordinal) AS _at")
+    majors = placed.groupBy(*KEYS, "_major").agg(F.min_by("version", "_at").alias("_lowest"), F.max_by("version", "_at").alias("_highest"))
     window = W.partitionBy(*KEYS).orderBy("_major")
     steps = majors.select(*KEYS, "_major", "_lowest", F.lag("_major").over(window).alias("_from"),
                           F.lag("_highest").over(window).alias("_before"))
@@ -117,6 +130,10 @@ def history_shape(versions: DataFrame) -> DataFrame:
         F.count_distinct("version").alias("_versions"), F.count_distinct("publisher").alias("_publishers"),
         F.bool_or(F.expr("version LIKE '0.%'")).alias("_zero"), F.bool_or(F.expr("version = '1.0.0'")).alias("_one"),
     )
+    return _shape_found(shape)
+
+
+def _shape_found(shape: DataFrame) -> DataFrame:
     found = (
         "array_compact(array(IF(_zero AND _one AND _versions <= 3, named_struct('id', 'CG_PANOM_005', 'severity', 'low', "
         "'evidence', concat(_versions, ' versions')), NULL), IF(_publishers >= 3, named_struct('id', 'CG_PANOM_006', "
@@ -125,11 +142,44 @@ def history_shape(versions: DataFrame) -> DataFrame:
     return _anomaly(shape.selectExpr(*KEYS, f"explode({found}) AS a"), "a.id", "a.severity", "a.evidence")
 
 
-def publish_anomalies(versions: DataFrame) -> DataFrame:
-    """All anomalies, at most one of each kind per package."""
-    found = neighbour_anomalies(versions)
-    for other in (burst_publish, version_jump, history_shape):
-        found = found.unionByName(other(versions))
+def _short_anomalies(versions: DataFrame) -> DataFrame:
+    """All anomalies of packages whose history one task can put in order.
+
+    Rows are dealt out by package once; inside a package they are sorted by version and by publisher, to count different
+    ones, and by time, to find neighbours.
+    """
+    dealt = versions.select(*KEYS, "version", "published_at", "publisher", "ordinal").repartition(*KEYS)
+    rows = dealt.withColumn("_key", F.expr(version_key("version", 3)))
+    for column in ("version", "publisher"):
+        window = W.partitionBy(*KEYS, column).orderBy(column)
+        rows = rows.withColumn(f"_new_{column}", F.col(column).isNotNull() & (F.row_number().over(window) == 1))
+    order = W.partitionBy(*KEYS).orderBy(*ORDER)
+    row = F.struct("version", "publisher", "published_at", "ordinal", "_key")
+    rows = rows.select(
+        *KEYS, "_new_version", "_new_publisher", row.alias("cur"), F.lag(row).over(order).alias("prev"), F.lag("published_at", BURST_SIZE - 1).over(order).alias("_start"))
+    close = F.unix_micros(F.col("cur.published_at").cast("timestamp")) - F.unix_micros(F.col("_start").cast("timestamp")) <= BURST_SECONDS * 1_000_000
+    burst = F.struct(F.col("_start").alias("window_start"), F.col("cur.published_at").alias("published_at"))
+    # Computed once and written: four kinds of anomalies read it.
+    packages = checkpointed(rows.groupBy(*KEYS).agg(
+        *_first_neighbours(), F.min_by(burst, F.when(close, F.struct("cur.published_at", "cur.ordinal"))).alias("f"),
+        F.count_if("_new_version").alias("_versions"), F.count_if("_new_publisher").alias("_publishers"),
+        F.bool_or(F.expr("cur.version LIKE '0.%'")).alias("_zero"), F.bool_or(F.expr("cur.version = '1.0.0'")).alias("_one")))
+    found = _neighbours_found(packages).unionByName(_burst_found(packages.filter("f IS NOT NULL"))).unionByName(_shape_found(packages))
+    return found.unionByName(version_jump(dealt))
+
+
+def publish_anomalies(versions: DataFrame, long_history: int = LONG_HISTORY) -> DataFrame:
+    """All anomalies, at most one of each kind per package.
+
+    Packages with more than ``long_history`` publications, of which there are few, are cut into intervals.
+    """
+    long = checkpointed(versions.groupBy(*KEYS).agg(F.count("*").alias("_n")).filter(F.col("_n") > long_history).select(*[F.col(k).alias(f"_{k}") for k in KEYS]))
+    if long.isEmpty():
+        return _short_anomalies(versions)
+    same = F.expr(" AND ".join(f"{k} <=> _{k}" for k in KEYS))
+    found, others = _short_anomalies(versions.join(F.broadcast(long), same, "left_anti")), versions.join(F.broadcast(long), same, "left_semi")
+    for kind in (neighbour_anomalies, burst_publish, version_jump, history_shape):
+        found = found.unionByName(kind(others))
     return found
 
 
