@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from siftlake.operators import (
-    attribution, diffs, exports, history, intel, licenses, policy, reports, scoring, sequences, similarity, taint, telemetry,
+    attribution, deps, diffs, exports, history, intel, licenses, policy, reports, scoring, sequences, similarity, taint, telemetry,
 )
 
 DAY = dt.timedelta(days=1)
@@ -355,3 +355,34 @@ def test_sarif_computes_its_findings_once(spark):
     found = spark.createDataFrame(spark.sparkContext.parallelize(rows, 1).mapPartitions(counted), schema)
     assert exports.to_sarif(found).count() == 3 + 5 + 5
     assert seen.value == 5
+
+
+def test_short_and_long_histories_show_the_same_anomalies(spark):
+    r = random.Random(11)
+    versions = ["0.1.0", "1.0.0", "1.2.0", "2.0.0", "15.0.1", "v3.1.0", None, "rc1.2"]
+    rows = [("npm", r.choice(["a", "b", "c", "d", None]), r.choice(versions), dt.datetime(2020, 1, 1) + dt.timedelta(minutes=r.choice([r.randint(0, 2_000_000), r.randint(0, 3000)])), r.choice(["p", "q", "s", None]), i) for i in range(160)]
+    rows += [("npm", f"one{i}", r.choice(versions), dt.datetime(2020, 1, 1), "p", 1000 + i) for i in range(5)] + [("npm", "odd", "0.1.0", None, "p", 2000), ("npm", "odd", "1.0.0", dt.datetime(2021, 1, 1), "q", None)]
+    df = spark.createDataFrame(rows, "ecosystem string, package string, version string, published_at timestamp, publisher string, ordinal long")
+    short, mixed, cut = (sorted(map(str, history.publish_anomalies(df, n).collect())) for n in (10**9, 20, 0))
+    assert short == mixed == cut and len({x.split("anomaly_id='")[1][:13] for x in short}) >= 5
+    # What is left after the aggregate that is written: the rows of the jump between versions, dealt out by package.
+    assert history.publish_anomalies(df)._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+
+
+def test_components_dealt_out_by_project_are_shuffled_once(spark):
+    import json
+
+    rows = [(p, n % 5, "npm", f"n{n % 40}", f"1.{n % 3}.0", "MIT", n % 2 == 0) for p in (1, 2, 3, None) for n in range(200)] + [(4, 0, "npm", "x", "1.0.0", None, None)]
+    parts = spark.createDataFrame(rows, "project long, source_order int, ecosystem string, name string, version string, license string, dev boolean")
+    bom = deps.build_sbom(parts.repartition("project"))
+    pieces = exports.to_cyclonedx(bom)
+    assert pieces._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    for found in (pieces, exports.to_cyclonedx(deps.build_sbom(parts))):
+        texts = {}
+        for x in found.filter("project IS NOT NULL").orderBy("project", "section", "at").collect():
+            texts[x["project"]] = texts.get(x["project"], "") + x["text"]
+        got = {p: [(c["bom-ref"], c.get("licenses")) for c in json.loads(t)["components"]] for p, t in texts.items()}
+        want = {}
+        for x in bom.filter("project IS NOT NULL").collect():
+            want.setdefault(x["project"], []).append((x["bom_ref"], x["license"] and [{"license": {"id": x["license"]}}]))
+        assert got == {p: sorted(v, key=lambda c: c[0]) for p, v in want.items()} and found.filter("project IS NULL AND section = 1").isEmpty()
