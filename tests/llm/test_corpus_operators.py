@@ -529,3 +529,15 @@ def test_encoder_reads_slices_of_large_columns(name):
     parts = list(shared.small([batch], size=20_000))
     assert len(parts) > 5 and [t for p in parts for t in p.column("text").to_pylist()] == texts.to_pylist() and sum((p.column("i").to_pylist() for p in parts), []) == list(range(900))
     assert langid.pc.utf8_lower(parts[3].column("text")).to_pylist() == [t.lower() for t in parts[3].column("text").to_pylist()]
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_encoder_learns_words_not_pairs_around_line_ends_and_marks(name):
+    """What the library encodes follows the different words, not how lines and marks put them together."""
+    words = ["thing", "Été", "x1", "Σς", "it's", "ñ", "日本", "<|endoftext|>", "a\tb", "e\u0301", "don'", "yİ", "y\u0958"]
+    texts = [f"{v}{m}\n{w}{m} {v}{n} {w}" for v in words for w in words for m, n in (("", "..."), ("$$$", "'"), ("|", ",***"), (").", ">"))]
+    texts += ["", None, "\n", "a\r\nb", "$$$", "a\n\nb", "'s\n's", "<|endoftext|>\n<|endoftext|>$", "q'\ns"]
+    encode, plain = encoding.Encoder(encoding.vocabulary_path(name)), _ids(name)
+    ids, offsets = encode.encode(pa.array(texts))
+    assert [ids[a:b].tolist() for a, b in zip(offsets[:-1], offsets[1:], strict=True)] == [plain(t) for t in texts]
+    assert encode.known < 200
