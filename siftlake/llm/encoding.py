@@ -28,11 +28,15 @@ def vocabulary_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def encoder(path: str) -> Encoder:
-    """The encoder of this worker process for a tokenizer file, with its cache."""
+def encoder(path: str, room: int = 700_000) -> Encoder:
+    """The encoder of this worker process for a tokenizer file, with its cache of at most ``room`` pieces from here on."""
     if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+        _ENCODERS[path] = Encoder(path, room)
+    found = _ENCODERS[path]
+    found.room = room
+    if len(found.place) > room:
+        found._clear()
+    return found
 
 
 class Encoder:

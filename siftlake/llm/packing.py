@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from siftlake.llm.encoding import encoder, vocabulary_path, with_end
 from siftlake.llm.shared import lean, parts_for, small, stored, table
 
+#: Pieces of text whose ids a worker keeps; packing also runs after other steps, whose workers have grown.
+CACHED = 300_000
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, bin bigint, at bigint, fill bigint"
 
 
@@ -72,7 +74,7 @@ def pieces_of(docs: DataFrame, id_col: str, text_col: str, vocabulary: str, room
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, held, n = encoder(vocabulary), [], 0
+        encode, held, n = encoder(vocabulary, CACHED), [], 0
         next_bin = TaskContext.get().partitionId() << 40
 
         def flush() -> pa.RecordBatch:

@@ -541,3 +541,29 @@ def test_encoder_learns_words_not_pairs_around_line_ends_and_marks(name):
     ids, offsets = encode.encode(pa.array(texts))
     assert [ids[a:b].tolist() for a, b in zip(offsets[:-1], offsets[1:], strict=True)] == [plain(t) for t in texts]
     assert encode.known < 200
+
+
+def test_workers_get_about_a_megabyte_at_a_time(spark):
+    """Long texts reach Python in small batches, whatever their number of rows, and none is left out."""
+    long = spark.range(0, 64, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("x"), 100_000).alias("text"))
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"n": pa.array([len(b)], pa.int64()), "size": pa.array([b.nbytes], pa.int64())})
+
+    got = long.transform(shared.lean).mapInArrow(sizes, "n long, size long").collect()
+    assert sum(r["n"] for r in got) == 64 and max(r["size"] for r in got) < 3 << 19
+
+
+def test_a_smaller_cache_gives_the_same_ids():
+    """A worker's encoder keeps to the room it is last asked for."""
+    name = "word_bpe_49k.json"
+    plain, path = _ids(name), encoding.vocabulary_path(name)
+    for room in (2000, 300, 2000):
+        encode = encoding.encoder(path, room)
+        for k in range(8):
+            texts = [words(50, 100 * k + i) for i in range(4)]
+            ids, offsets = encode.encode(pa.array(texts))
+            assert [ids[a:b].tolist() for a, b in zip(offsets[:-1], offsets[1:], strict=True)] == [plain(t) for t in texts]
+            assert len(encode.place) <= room
+    assert packing.CACHED < 700_000
