@@ -3,8 +3,9 @@
 A pattern cannot match a line without one of its literals, or one of several where it has alternatives.  Literals are
 looked for in the lower-cased line and in the line with every run of marks and white space written as one space, so a
 literal may go on over what separates words.  Every literal enters the index under one of its grams, the one that fewest
-literals share.  Lines meet the index by their own grams in an equality join, and only the pairs that hold a whole
-literal run the pattern, which is a column like any other: the plan has the same size for one rule and for a million.
+literals share.  The bytes of many lines are read at once for these grams; of a small index the whole literals behind them are
+told there too, of a larger one a line meets its entries by the grams.  Both are an equality join, and only the pairs that hold a
+whole literal run the pattern, which is a column like any other: the plan has the same size for one rule and for a million.
 Equal patterns run once.  Patterns without a literal are tried on every line that is neither too short nor too long for
 them, a bounded group of them at a time.
 """
@@ -16,7 +17,9 @@ from collections.abc import Iterable
 from re import _constants as sre  # the standard library's own parser: its tree is only read
 from re import _parser
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +32,9 @@ GRAM = 3
 LONG_GRAM = 6
 #: An index of so many literals goes to all executors; a larger one is shuffled with the lines' grams.
 INDEX_ROWS = 200_000
+#: Bits of the slot of a gram, and bytes of text that are read for grams at once.
+_SLOT_BITS = 24
+_STRETCH = 1 << 20
 _GROUP = 128
 _SEPARATORS = {c for c in range(128) if not chr(c).isalnum() and c != ord("_")}
 #: The same in lower-cased text.
@@ -245,6 +251,151 @@ def literal_index(compiled: DataFrame) -> DataFrame:
     return each.join(common, "gram").groupBy("rule", "which").agg(rarest).select(F.col("best.gram").alias("gram"), "rule", "which")
 
 
+def _codes(text: np.ndarray, length: int) -> np.ndarray:
+    """The bytes of the gram that begins at each byte, as one number."""
+    n = max(0, len(text) - length + 1)
+    code = np.zeros(n, np.uint64)
+    for k in range(length):
+        code |= text[k:k + n].astype(np.uint64) << np.uint64(8 * k)
+    return code
+
+
+def _slots(codes: np.ndarray) -> np.ndarray:
+    return ((codes * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _SLOT_BITS)).astype(np.int64)
+
+
+def _bytes(lines: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all lines one after the other, and where each begins and the last one ends."""
+    lines = lines.cast(pa.large_binary())
+    at = np.frombuffer(lines.buffers()[1], np.int64)[lines.offset:lines.offset + len(lines) + 1]
+    return np.frombuffer(lines.buffers()[2] or b"", np.uint8)[at[0]:at[-1]] if len(lines) else np.zeros(0, np.uint8), at - at[0]
+
+
+def _spaced(text: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same lines with a space for each run of separators."""
+    separates = np.zeros(256, bool)
+    separates[list(_SEPARATORS)] = True
+    mark = separates[text]
+    kept = np.ones(len(text), bool)
+    kept[1:] = ~(mark[1:] & mark[:-1])
+    kept[ends[:-1][ends[:-1] < len(text)]] = True
+    return np.where(mark, np.uint8(32), text)[kept], np.concatenate([[0], np.cumsum(kept)])[ends]
+
+
+def _candidates(text: np.ndarray, length: int, marked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places where a gram begins whose slot is marked, and the grams' numbers; a stretch of text at a time."""
+    places, found = [], []
+    for a in range(0, len(text), _STRETCH):
+        codes = _codes(text[a:a + _STRETCH + length - 1], length)
+        at = np.flatnonzero(marked[_slots(codes)])
+        places.append(at + a)
+        found.append(codes[at])
+    return np.concatenate(places or [np.zeros(0, np.int64)]), np.concatenate(found or [np.zeros(0, np.uint64)])
+
+
+def _lists(line: np.ndarray, which: np.ndarray, names: pa.Array, lines: int) -> pa.Array:
+    """For each line the different names of its pairs."""
+    pairs = np.unique(line * np.int64(max(1, len(names))) + which)
+    counts = np.bincount(pairs // max(1, len(names)), minlength=lines)
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), names.take(pa.array(pairs % max(1, len(names)))))
+
+
+class _Literals:
+    """Literals by their grams; ``of`` tells those that lines hold."""
+
+    def __init__(self, pairs: list[tuple[str, str]]):
+        pairs = sorted(pairs)
+        self.names = pa.array([x for _, x in pairs], pa.string())
+        text = [x.encode() for _, x in pairs]
+        self.bytes = np.frombuffer(b"".join(text), np.uint8)
+        self.size = np.array([len(x) for x in text], np.int64)
+        self.start = np.cumsum(self.size) - self.size
+        self.before = np.array([x.find(g.encode()) for (g, _), x in zip(pairs, text, strict=True)], np.int64)
+        self.grams = {}
+        for length in {len(g) for g, _ in pairs}:
+            own = np.array([k for k, (g, _) in enumerate(pairs) if len(g) == length])
+            codes = _codes(np.frombuffer("".join(pairs[k][0] for k in own).encode(), np.uint8), length)[::length]
+            order = np.argsort(codes, kind="stable")
+            self.grams[length] = codes[order], own[order]
+
+    def of(self, lines: pa.Array) -> pa.Array:
+        """For each lower-cased line the literals that it holds, also with a space for each run of separators."""
+        text, ends = _bytes(lines)
+        found = [self._pairs(*x) for x in ((text, ends), _spaced(text, ends))]
+        return _lists(*map(np.concatenate, zip(*found, strict=True)), self.names, len(lines))
+
+    def _pairs(self, text: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        line, which = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for length, (codes, own) in self.grams.items():
+            marked = np.zeros(1 << _SLOT_BITS, bool)
+            marked[_slots(codes)] = True
+            place, code = _candidates(text, length, marked)
+            first, last = np.searchsorted(codes, code), np.searchsorted(codes, code, "right")
+            # A gram stands for several literals.
+            each = np.repeat(np.arange(len(place)), last - first)
+            literal = own[np.arange(len(each)) - np.repeat(np.cumsum(last - first) - last, last - first)]
+            begin = place[each] - self.before[literal]
+            row = np.searchsorted(ends, begin, "right") - 1
+            inside = begin >= 0
+            inside[inside] = begin[inside] + self.size[literal[inside]] <= ends[row[inside] + 1]
+            begin, literal, row = begin[inside], literal[inside], row[inside]
+            k = 0
+            while len(literal):
+                over = self.size[literal] == k
+                line.append(row[over])
+                which.append(literal[over])
+                begin, literal, row = begin[~over], literal[~over], row[~over]
+                same = text[begin + k] == self.bytes[self.start[literal] + k]
+                begin, literal, row = begin[same], literal[same], row[same]
+                k += 1
+        return np.concatenate(line), np.concatenate(which)
+
+
+def _grams_of(lines: pa.Array, bitmap: bytes) -> pa.Array:
+    """For each line its different grams whose slots are marked."""
+    text, ends = _bytes(lines)
+    marked = np.unpackbits(np.frombuffer(bitmap, np.uint8), bitorder="little").view(bool)
+    line, names, which, seen = [], [], [], 0
+    for length in (GRAM, LONG_GRAM):
+        place, code = _candidates(text, length, marked)
+        row = np.searchsorted(ends, place, "right") - 1
+        inside = place + length <= ends[row + 1]
+        place, code, row = place[inside], code[inside], row[inside]
+        codes, index = np.unique(code, return_inverse=True)
+        raw = [c.tobytes()[:length] for c in codes]
+        # Grams of literals are ASCII; others are marked by chance.
+        names += [x.decode("ascii") if x.isascii() else None for x in raw]
+        line.append(row)
+        which.append(index + seen)
+        seen += len(codes)
+    return _lists(np.concatenate(line), np.concatenate(which), pa.array(names, pa.string()), len(lines))
+
+
+def _slot_bitmap(index: DataFrame) -> bytes:
+    """A bit for each slot, up where a gram of the index has it: of one size however many grams there are."""
+    @F.arrow_udf("long")
+    def slot(grams: pa.Array) -> pa.Array:
+        text, ends = _bytes(grams)
+        return pa.array([int(_slots(_codes(text[a:b], b - a))[0]) for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.int64())
+
+    part = 1 << 15
+    rows = index.select(slot("gram").alias("s")).groupBy(F.expr(f"s div {part}").alias("k")).agg(F.bitmap_construct_agg(F.expr(f"s % {part}")).alias("bits")).collect()
+    out = bytearray((1 << _SLOT_BITS) // 8)
+    for k, bits in rows:
+        out[k * part // 8:(k + 1) * part // 8] = bits
+    return bytes(out)
+
+
+def _keys(index: DataFrame, whole: bool):
+    """A function that gives the keys of lower-cased lines: the literals that they hold, or grams, some of which may be no key of the index."""
+    # Told apart from a plain expression, which a filter would compute a second time.
+    if whole:
+        literals = _Literals([tuple(r) for r in index.select("gram", "literal").distinct().collect()])
+        return F.arrow_udf(lambda lines: literals.of(lines), "array<string>").asNondeterministic()
+    bitmap = _slot_bitmap(index)
+    return F.arrow_udf(lambda lines: _grams_of(lines, bitmap), "array<string>").asNondeterministic()
+
+
 def scan_rules(corpus: DataFrame, rules: DataFrame, text: str = "text", pattern: str = "pattern", index_rows: int = INDEX_ROWS) -> DataFrame:
     """Findings of a table of rules over a corpus: one per line and rule, at the first match.
 
@@ -259,7 +410,7 @@ def scan_rules(corpus: DataFrame, rules: DataFrame, text: str = "text", pattern:
     numbered = checkpointed(compiled.groupBy("jvm").agg(*[F.first(c).alias(c) for c in ("literals", "shortest", "longest")]).withColumn("rule", F.monotonically_increasing_id()))
     owners = compiled.select("about", "jvm")
     indexed = numbered.filter(F.size("literals") > 0)
-    index = literal_index(indexed).join(indexed.select("rule", "jvm", "literals"), "rule").drop("rule")
+    index = literal_index(indexed).join(indexed.select("rule", "jvm", "literals"), "rule").drop("rule").withColumn("literal", F.get("literals", F.col("which")))
     # Both sides go to all executors only while they have few rows; the stored table gives the planner no size.
     small = numbered.agg(F.coalesce(F.sum(F.greatest(F.size("literals"), F.lit(1))), F.lit(0))).first()[0] <= index_rows
     few = small and owners.count() <= index_rows
@@ -267,12 +418,15 @@ def scan_rules(corpus: DataFrame, rules: DataFrame, text: str = "text", pattern:
     def meet(rows: DataFrame, side: DataFrame, key: str, sent: bool = small) -> DataFrame:
         return rows.join(F.broadcast(side) if sent else side, key).drop(key)
 
-    lines = to_lines(corpus.select(F.struct(*rest).alias("place"), F.col(text).alias("text"))).withColumn("low", searched(F.col("line")))
-    met = lines.select("place", "line_no", "line", "low", F.explode(F.concat(grams(F.col("low")), grams(F.col("low"), LONG_GRAM))).alias("gram"))
-    joined = meet(met, index, "gram")
+    lines = to_lines(corpus.select(F.struct(*rest).alias("place"), F.col(text).alias("text")))
+    low = F.lower("line") if small else searched(F.col("line"))
+    keyed = lines.withColumn("low", low).select("place", "line_no", "line", *[] if small else ["low"], _keys(index, small)(F.col("low")).alias("keys"))
+    met = keyed.select("*", F.explode("keys").alias("key"))
+    joined = meet(met, index.withColumn("key", F.col("literal" if small else "gram")).drop("gram", "literal"), "key")
     # A line that holds several literals of a pattern is taken at the first of them alone.
-    first = F.array_position(F.transform("literals", lambda x: F.contains(F.col("low"), x)), True) - 1
-    found = joined.filter(first == F.col("which")).filter(F.rlike("line", F.col("jvm"))).select("place", "line_no", "line", "jvm")
+    first = F.array_position(F.transform("literals", lambda x: F.array_contains("keys", x) if small else F.contains(F.col("low"), x)), True) - 1
+    alone = F.lit(small) & (F.size("literals") == 1)
+    found = joined.filter(alone | (first == F.col("which"))).filter(F.rlike("line", F.col("jvm"))).select("place", "line_no", "line", "jvm")
 
     bare = numbered.filter(F.size("literals") == 0)
     count = bare.count()

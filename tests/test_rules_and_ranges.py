@@ -69,6 +69,31 @@ def test_plan_does_not_grow_with_the_rules(spark):
     assert scan_rules(docs, spark.createDataFrame([], "id long, pattern string")).collect() == []
 
 
+def test_literals_are_told_from_the_bytes_of_many_lines(spark, monkeypatch):
+    import pyarrow as pa
+
+    from siftlake.operators import rule_table
+
+    monkeypatch.setattr(rule_table, "_STRETCH", 5)
+    r = random.Random(11)
+    literals = ["the", "the end", "end", "he end of", "a.b", "xy z", "thethe", "of the end", "  x"]
+    pairs = [(r.choice([x[i:i + n] for i in range(len(x) - n + 1)]), x) for x in literals for n in [3 if len(x) < 6 else 6]]
+    pieces = ["the", "end", " ", "  ", "of", "a.b", "é", "\t", ",", "xy", "z", "_", "i̇", "\x00", "x"]
+    lines = ["".join(r.choice(pieces) for _ in range(r.randint(0, 9))) for _ in range(300)] + ["", "th", "e end", "the"]
+    want = [{x for x in literals if x in line or x in re.sub(r"[\x00-\x2f\x3a-\x5e\x60\x7b-\x7f]+", " ", line)} for line in lines]
+    whole = rule_table._Literals(pairs).of(pa.array(["before", *lines]).slice(1))
+    assert [set(x) for x in whole.to_pylist()] == want and all(len(x) == len(set(x)) for x in whole.to_pylist()) and len(set(map(frozenset, want))) > 12
+    assert rule_table._Literals(pairs).of(pa.array([], pa.string())).to_pylist() == [] and rule_table._Literals([]).of(pa.array(["the"])).to_pylist() == [[]]
+    index = spark.createDataFrame(pairs, "gram string, literal string")
+    grams = rule_table._grams_of(pa.array(lines), rule_table._slot_bitmap(index)).to_pylist()
+    assert all({g for g, _ in pairs if g in line} <= set(x) <= {line[i:i + n] for n in (3, 6) for i in range(len(line))} | {None} for line, x in zip(lines, grams, strict=True))
+    # Lines are not multiplied by all their grams.
+    docs, rules = spark.createDataFrame([(1, "the end of it")], "file_id long, text string"), spark.createDataFrame([("the end",)], "pattern string")
+    for rows in (200_000, 0):
+        plan = rule_table.scan_rules(docs, rules, index_rows=rows)._jdf.queryExecution().executedPlan().toString()
+        assert not re.search(r"regexp_extract_all\((?!literal)", plan) and plan.count("ArrowEvalPython") == 1
+
+
 def test_events_decide_by_the_last_one_before_a_version(spark):
     def key(v):
         return tuple(int(x) for x in v.split(".")) + (0,) * (4 - len(v.split(".")))
