@@ -12,6 +12,41 @@ from siftlake.sources import readers, sinks
 from siftlake.streaming import streams
 
 
+def test_whole_texts_are_the_bytes_of_files(spark, tmp_path):
+    import gzip
+
+    (tmp_path / "k=7").mkdir()
+    for name, content in {"a.py": b"x\r\ny\n", "b.py": b"\xff\xfe\xc3", "c.py": "é\u2028".encode(), "empty.py": b"", "_hidden.py": b"h", "d e%.py": b"\xef\xbb\xbfbom", "z.txt.gz": gzip.compress(b"packed")}.items():
+        (tmp_path / "k=7" / name).write_bytes(content)
+    seen = [sorted((r.k, r.path, r.bytes, bytes(r.b)) for r in readers.whole_texts(spark, str(tmp_path), "k", packed=packed).withColumn("b", F.col("text").cast("binary")).collect() if not r.path.endswith(".gz")) for packed in (True, False)]
+    assert seen[0] == seen[1] and len(seen[0]) == 4 and {os.path.basename(x[1]) for x in seen[0]} == {"a.py", "b.py", "c.py", "d%20e%25.py"}
+    # Without a list of endings files are unpacked as before.
+    assert "packed" in {r.text for r in readers.read_corpus(spark, str(tmp_path), extensions=()).collect()}
+    plan = readers.read_corpus(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert "binaryFile" in plan.replace("BinaryFile", "binaryFile")
+
+
+def test_many_small_files_are_few_tasks(spark, tmp_path):
+    for n in range(60):
+        (tmp_path / f"d{n}").mkdir()
+        (tmp_path / f"d{n}" / "x.py").write_text(f"a{n}")
+    context, before = spark.sparkContext, spark.conf.get("spark.sql.files.openCostInBytes")
+    context.setJobGroup("listing", "folders of small files")
+    # A file counts as much as a split, so each is one.
+    spark.conf.set("spark.sql.files.openCostInBytes", str(128 << 20))
+    try:
+        corpus = readers.read_corpus(spark, str(tmp_path))
+        tracker = context.statusTracker()
+        listed = [tracker.getStageInfo(s).numTasks for j in tracker.getJobIdsForGroup("listing") for s in tracker.getJobInfo(j).stageIds]
+        assert listed and max(listed) <= 4 * context.defaultParallelism < 60
+        assert corpus.rdd.getNumPartitions() <= 4 * context.defaultParallelism
+        assert sorted(r.text for r in corpus.collect()) == sorted(f"a{n}" for n in range(60))
+        assert spark.conf.get("spark.sql.sources.parallelPartitionDiscovery.parallelism") == "10000"
+    finally:
+        spark.conf.set("spark.sql.files.openCostInBytes", before)
+        context.setLocalProperty("spark.jobGroup.id", None)
+
+
 def test_read_corpus_leaves_out_directories_and_no_file_by_size(spark, tmp_path):
     for name in ("src/a.js", "node_modules/x/b.js", ".git/c.py", "src/d.py", "src/e.txt"):
         (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
