@@ -12,6 +12,35 @@ from siftlake.sources import readers, sinks
 from siftlake.streaming import streams
 
 
+def _files(root):
+    return {os.path.relpath(os.path.join(d, f), root): open(os.path.join(d, f), "rb").read() for d, _, names in os.walk(root) for f in names}
+
+
+def test_documents_are_one_plain_file_each_in_folders_as_spark_names_them(spark, tmp_path):
+    projects = ["a", "b/c=d", "50%", "é:{x}[y]^", "q'\"#*?\\\\", "tab\there", "\x7f", None, "", "z" * 90]
+    rows = [(p, s, f"{n:03d}", None if n == 7 else f"{s}-{n}é" * (n % 5)) for p in projects for s in (0, 1) for n in range(20)]
+    for kind in ("string", "long"):
+        own = rows if kind == "string" else [(None if p is None else len(p), *x) for p, *x in rows]
+        pieces = spark.createDataFrame(own, f"project {kind}, section int, at string, text string").repartition(3, "project")
+        wanted, root = str(tmp_path / f"spark-{kind}"), str(tmp_path / f"own-{kind}")
+        pieces.coalesce(1).sortWithinPartitions("project", "section", "at").select("project", "text").write.partitionBy("project").text(wanted)
+        for dealt in (True, False, False):
+            # Writing again replaces everything.
+            sinks.write_documents(pieces, root, dealt=dealt)
+            found = _files(root)
+            assert "_SUCCESS" in found and not [f for f in found if f.endswith(".txt.crc")] and not [f for f in found if os.path.basename(f).startswith(".part")]
+            texts = {}
+            for f, x in found.items():
+                if f.endswith(".txt"):
+                    texts.setdefault(os.path.dirname(f), []).append(x)
+            want = {os.path.dirname(f): x for f, x in _files(wanted).items() if f.endswith(".txt")}
+            lines = {d: sorted(b"".join(x).split(b"\n")) for d, x in texts.items()}
+            assert lines == {d: sorted(x.split(b"\n")) for d, x in want.items()}
+            assert all(len(x) == 1 and x[0] == want[d] for d, x in texts.items() if "HIVE" not in d)
+            back = [sorted(map(tuple, spark.read.text(x, wholetext=True).select("project").distinct().collect()), key=str) for x in (root, wanted)]
+            assert back[0] == back[1]
+
+
 def test_whole_texts_are_the_bytes_of_files(spark, tmp_path):
     import gzip
 
