@@ -16,7 +16,7 @@ from siftlake.plans.registry import plan
 from siftlake.plans.streams import _workspace
 from siftlake.plans.tables import fill, pick, planted, planted_sql, sql_pick, sql_text, table
 from siftlake.rules import FAMILIES
-from siftlake.session import spread
+from siftlake.session import read_small_files, spread
 from siftlake.sources import readers, sinks
 
 # --- manifests, one per order ---------------------------------------------------------------
@@ -524,7 +524,7 @@ def cyclonedx_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         "project", F.col("line_no").alias("source_order"), "ecosystem", "name", "version", pick(_LICENSES, "project").alias("license"), F.expr("line_no % 2 = 0 AS dev"))
     # One task writes a project's file: dealt out by project once, here, its parts need no other shuffle on the way.
     sinks.write_documents(exports.to_cyclonedx(deps.build_sbom(parts.repartition("project"))), path, dealt=True)
-    documents = spark.read.schema(f"{readers.SBOM_SCHEMA}, project LONG").json(path, multiLine=True)
+    documents = read_small_files(spark, lambda reader: reader.schema(f"{readers.SBOM_SCHEMA}, project LONG").json(path, multiLine=True))
     flat = documents.select("project", F.col("bomFormat").alias("format"), F.explode("components").alias("c"))
     return flat.groupBy("project", "format", "c.name", "c.version").agg(F.count("*").alias("components"), F.min(F.col("c.licenses")[0]["license"]["id"]).alias("license"))
 
