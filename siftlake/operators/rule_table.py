@@ -13,7 +13,7 @@ them, a bounded group of them at a time.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from re import _constants as sre  # the standard library's own parser: its tree is only read
 from re import _parser
 
@@ -279,7 +279,15 @@ def _spaced(text: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     kept = np.ones(len(text), bool)
     kept[1:] = ~(mark[1:] & mark[:-1])
     kept[ends[:-1][ends[:-1] < len(text)]] = True
-    return np.where(mark, np.uint8(32), text)[kept], np.concatenate([[0], np.cumsum(kept)])[ends]
+    return np.where(mark, np.uint8(32), text)[kept], ends - np.searchsorted(np.flatnonzero(~kept), ends)
+
+
+def _in_parts(lines: pa.Array, read: Callable[[pa.Array], pa.Array]) -> pa.Array:
+    """What ``read`` gives for some lines after the others, so that what it holds beside the text does not grow with long lines in a batch."""
+    _, ends = _bytes(lines)
+    cuts = [0, *(np.flatnonzero(np.diff(ends[:-1] // (4 * _STRETCH))) + 1).tolist(), len(lines)]
+    parts = [read(lines.slice(a, b - a)) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    return pa.concat_arrays(parts)
 
 
 def _candidates(text: np.ndarray, length: int, marked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -311,7 +319,7 @@ class _Literals:
         self.size = np.array([len(x) for x in text], np.int64)
         self.start = np.cumsum(self.size) - self.size
         self.before = np.array([x.find(g.encode()) for (g, _), x in zip(pairs, text, strict=True)], np.int64)
-        self.grams = {}
+        self.grams, self.marks = {}, {}
         for length in {len(g) for g, _ in pairs}:
             own = np.array([k for k, (g, _) in enumerate(pairs) if len(g) == length])
             codes = _codes(np.frombuffer("".join(pairs[k][0] for k in own).encode(), np.uint8), length)[::length]
@@ -327,9 +335,10 @@ class _Literals:
     def _pairs(self, text: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         line, which = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for length, (codes, own) in self.grams.items():
-            marked = np.zeros(1 << _SLOT_BITS, bool)
-            marked[_slots(codes)] = True
-            place, code = _candidates(text, length, marked)
+            if length not in self.marks:
+                self.marks[length] = np.zeros(1 << _SLOT_BITS, bool)
+                self.marks[length][_slots(codes)] = True
+            place, code = _candidates(text, length, self.marks[length])
             first, last = np.searchsorted(codes, code), np.searchsorted(codes, code, "right")
             # A gram stands for several literals.
             each = np.repeat(np.arange(len(place)), last - first)
@@ -353,8 +362,12 @@ class _Literals:
 
 def _grams_of(lines: pa.Array, bitmap: bytes) -> pa.Array:
     """For each line its different grams whose slots are marked."""
-    text, ends = _bytes(lines)
     marked = np.unpackbits(np.frombuffer(bitmap, np.uint8), bitorder="little").view(bool)
+    return _in_parts(lines, lambda some: _marked_grams(some, marked))
+
+
+def _marked_grams(lines: pa.Array, marked: np.ndarray) -> pa.Array:
+    text, ends = _bytes(lines)
     line, names, which, seen = [], [], [], 0
     for length in (GRAM, LONG_GRAM):
         place, code = _candidates(text, length, marked)
@@ -391,7 +404,7 @@ def _keys(index: DataFrame, whole: bool):
     # Told apart from a plain expression, which a filter would compute a second time.
     if whole:
         literals = _Literals([tuple(r) for r in index.select("gram", "literal").distinct().collect()])
-        return F.arrow_udf(lambda lines: literals.of(lines), "array<string>").asNondeterministic()
+        return F.arrow_udf(lambda lines: _in_parts(lines, literals.of), "array<string>").asNondeterministic()
     bitmap = _slot_bitmap(index)
     return F.arrow_udf(lambda lines: _grams_of(lines, bitmap), "array<string>").asNondeterministic()
 
@@ -426,7 +439,9 @@ def scan_rules(corpus: DataFrame, rules: DataFrame, text: str = "text", pattern:
     # A line that holds several literals of a pattern is taken at the first of them alone.
     first = F.array_position(F.transform("literals", lambda x: F.array_contains("keys", x) if small else F.contains(F.col("low"), x)), True) - 1
     alone = F.lit(small) & (F.size("literals") == 1)
-    found = joined.filter(alone | (first == F.col("which"))).filter(F.rlike("line", F.col("jvm"))).select("place", "line_no", "line", "jvm")
+    # As a generator the place of a match is looked for once; as a column the filter would look for it again.
+    tried = joined.filter(alone | (first == F.col("which"))).selectExpr("place", "line_no", "line", "jvm", "stack(1, regexp_instr(line, jvm)) AS start")
+    found = tried.filter("start > 0")
 
     bare = numbered.filter(F.size("literals") == 0)
     count = bare.count()
@@ -438,10 +453,9 @@ def scan_rules(corpus: DataFrame, rules: DataFrame, text: str = "text", pattern:
         texts = corpus.select(F.struct(*rest).alias("place"), numbered_lines.alias("lines"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("g"))
         each = meet(texts, groups, "g").select("place", "lines", F.explode("rules").alias("r"))
         fits = F.filter("lines", lambda x: (x["n"] >= F.col("r.shortest")) & (x["n"] <= F.coalesce("r.longest", x["n"])) & F.rlike(x["line"], F.col("r.jvm")))
-        found = found.unionByName(each.select("place", "r.jvm", F.explode(fits).alias("x")).select("place", "x.line_no", "x.line", "jvm"))
+        found = found.unionByName(each.select("place", "r.jvm", F.explode(fits).alias("x")).select("place", "x.line_no", "x.line", "jvm", F.regexp_instr("x.line", F.col("jvm")).alias("start")))
     matched = meet(found.withColumn("_jvm", F.col("jvm")), owners, "jvm", few)
-    start = F.regexp_instr("line", F.col("_jvm"))
     evidence = F.coalesce(F.regexp_substr("line", F.col("_jvm")), F.lit(""))
     return matched.select(
         *[F.col(f"place.{c}").alias(c) for c in rest], "line_no", *[F.col(f"about.{c}").alias(c) for c in named],
-        start.alias("col_start"), (start + F.char_length(evidence)).alias("col_end"), F.substring(evidence, 1, 120).alias("evidence"))
+        F.col("start").alias("col_start"), (F.col("start") + F.char_length(evidence)).alias("col_end"), F.substring(evidence, 1, 120).alias("evidence"))

@@ -83,6 +83,8 @@ def test_literals_are_told_from_the_bytes_of_many_lines(spark, monkeypatch):
     want = [{x for x in literals if x in line or x in re.sub(r"[\x00-\x2f\x3a-\x5e\x60\x7b-\x7f]+", " ", line)} for line in lines]
     whole = rule_table._Literals(pairs).of(pa.array(["before", *lines]).slice(1))
     assert [set(x) for x in whole.to_pylist()] == want and all(len(x) == len(set(x)) for x in whole.to_pylist()) and len(set(map(frozenset, want))) > 12
+    assert rule_table._in_parts(pa.array(lines), rule_table._Literals(pairs).of).to_pylist() == whole.to_pylist()
+    assert rule_table._in_parts(pa.array([], pa.string()), rule_table._Literals(pairs).of).to_pylist() == []
     assert rule_table._Literals(pairs).of(pa.array([], pa.string())).to_pylist() == [] and rule_table._Literals([]).of(pa.array(["the"])).to_pylist() == [[]]
     index = spark.createDataFrame(pairs, "gram string, literal string")
     grams = rule_table._grams_of(pa.array(lines), rule_table._slot_bitmap(index)).to_pylist()
