@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 from test_operators import T0, hot, typing
 
-from siftlake.operators import history, reports
+from siftlake.operators import deps, exports, history, reports
 from siftlake.sources import readers, sinks
 from siftlake.streaming import streams
 
@@ -41,6 +41,21 @@ def test_documents_are_one_plain_file_each_in_folders_as_spark_names_them(spark,
             assert back[0] == back[1]
 
 
+def test_pieces_in_order_are_not_ordered_again(spark, tmp_path):
+    rows = [(n % 3, 0, f"{n:03d}", f"t{n}") for n in range(30)]
+    pieces = spark.createDataFrame(rows, "project long, section int, at string, text string").repartition(2, "project")
+    sinks.write_documents(pieces.sortWithinPartitions("project", F.desc("at")), str(tmp_path / "x"), dealt=True, in_order=True)
+    found = {os.path.dirname(f): x.decode().split() for f, x in _files(str(tmp_path / "x")).items() if f.endswith(".txt")}
+    assert found == {f"project={p}": [f"t{n}" for n in reversed(range(p, 30, 3))] for p in range(3)}
+    # The pieces of components come in their order.
+    parts = spark.createDataFrame([(p, n % 5, "npm", f"n{n % 40}", f"1.{n % 3}.0", "MIT", True) for p in (1, 2, 3, None) for n in range(200)], "project long, source_order int, ecosystem string, name string, version string, license string, dev boolean")
+    bom = exports.to_cyclonedx(deps.build_sbom(parts.repartition(5, "project")))
+    for dealt, in_order in ((True, True), (True, False)):
+        sinks.write_documents(bom, str(tmp_path / f"bom-{in_order}"), dealt=dealt, in_order=in_order)
+    one, other = ({os.path.dirname(f): x for f, x in _files(str(tmp_path / f"bom-{k}")).items() if f.endswith(".txt")} for k in (True, False))
+    assert one == other and [len(json.loads(one[f"project={p}"])["components"]) for p in (1, 2, 3)] == [120] * 3
+
+
 def test_whole_texts_are_the_bytes_of_files(spark, tmp_path):
     import gzip
 
